@@ -7,6 +7,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z, all else as it is.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,6 +43,14 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
+    """df's schema and further fields (name, type)."""
+    out = StructType(list(df.schema.fields))
+    for name, kind in fields:
+        out = out.add(name, kind)
+    return out
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z lower-cased; lower() does the same where all characters are ASCII, and is faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

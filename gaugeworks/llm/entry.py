@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from .bpe import op1_byte_bpe
+from .decontam import OP5_SQL, op5_decontamination
 from .sharding import op6_sharding
 
 QUERIES = {
+    "op1_byte_bpe": op1_byte_bpe,
+    "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontamination": OP5_SQL,
+}
