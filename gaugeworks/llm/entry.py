@@ -3,15 +3,23 @@
 from __future__ import annotations
 
 from .bpe import op1_byte_bpe
+from .chat import OP2_SQL, op2_chat
 from .decontam import OP5_SQL, op5_decontamination
+from .html_extract import op4_html
 from .sharding import op6_sharding
+from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op2_chat": op2_chat,
+    "op3_warc": op3_warc,
+    "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat": OP2_SQL,
+    "op3_warc": OP3_SQL,
     "op5_decontamination": OP5_SQL,
 }
