@@ -5,7 +5,9 @@ from __future__ import annotations
 from .bpe import op1_byte_bpe
 from .chat import OP2_SQL, op2_chat
 from .decontam import OP5_SQL, op5_decontamination
+from .fingerprints import op10_fingerprints
 from .html_extract import op4_html
+from .line_dedup import OP9_SQL, op9_line_dedup
 from .sharding import op6_sharding
 from .warc import OP3_SQL, op3_warc
 
@@ -16,10 +18,13 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_fingerprints": op10_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_decontamination": OP5_SQL,
+    "op9_line_dedup": OP9_SQL,
 }
