@@ -93,9 +93,8 @@ class Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, SLICE)
             for name, base in (("up", BASE), ("down", INVERSE)):
-                x = np.full(n, base, np.uint64)
+                x = np.full(max(n, SLICE), base, np.uint64)
                 x[0] = 1
                 setattr(self, name, np.cumprod(x, dtype=np.uint64))
         return self.up[:n], self.down[:n]
