@@ -8,6 +8,7 @@ from .decontam import OP5_SQL, op5_decontamination
 from .fingerprints import op10_fingerprints
 from .html_extract import op4_html
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality import op8_quality
 from .sharding import op6_sharding
 from .warc import OP3_SQL, op3_warc
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_html": op4_html,
     "op5_decontamination": op5_decontamination,
     "op6_sharding": op6_sharding,
+    "op7_ngram_join": op7_ngram_join,
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
@@ -28,5 +30,6 @@ ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op3_warc": OP3_SQL,
     "op5_decontamination": OP5_SQL,
+    "op7_ngram_join": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
 }
