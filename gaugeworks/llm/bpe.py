@@ -202,25 +202,28 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "to
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text") -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256, the text encoded and decoded again in one step, so that neither ids nor bytes travel."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
+    """docs with n_tokens, ids_sha256 and decoded_sha256 (by these names plus underscores where docs has them), and the packed ids if ids_col names a column for them. The text is encoded and decoded again in one step, so that bytes needn't travel."""
     shared = docs.sparkSession.sparkContext.broadcast(Bpe.load(vocabulary, pattern))
     names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256")
-    schema = with_fields(docs, *zip(names, ("long", "string", "string"), strict=True))
+    schema = with_fields(docs, *zip(names, ("long", "string", "string"), strict=True), *([(ids_col, "binary")] if ids_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, enc = _worker_state(shared)
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
-            counts, hashes, back = [], [], []
+            counts, hashes, back, all_ids = [], [], [], []
             for x in texts:
                 ids = enc(x.as_py() or "")
+                data = packed(ids)
                 counts.append(len(ids))
-                hashes.append(hashlib.sha256(packed(ids)).hexdigest())
+                if ids_col:
+                    all_ids.append(data)
+                hashes.append(hashlib.sha256(data).hexdigest())
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             for name, values, kind in zip(names, (counts, hashes, back), (pa.int64(), pa.string(), pa.string()), strict=True):
                 batch = batch.append_column(name, pa.array(values, kind))
-            yield batch
+            yield batch.append_column(ids_col, pa.array(all_ids, pa.binary())) if ids_col else batch
 
     return docs.mapInArrow(run, schema)
 
