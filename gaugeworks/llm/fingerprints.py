@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import sha256_hex, table
+from .common import sha256_hex, stored, table
 
 SAMPLES = 32
 #: Bytes of text in one group of neighbouring documents.
-GROUP_BYTES = 6 << 20
+GROUP_BYTES = 2 << 20
 #: Ranges of ids that are found from quantiles; beyond, a range is split evenly.
 RANGES = 500
 BLANKS = "[ \\t\\n\\x0b\\f\\r]+"
@@ -114,7 +114,8 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = edited.select("part", "place", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("text").alias("t")), F.struct(F.lit(0).alias("own"), F.col("edited").alias("t")))).alias("x"))
     words = both.select("part", "place", F.col("x.own").alias("own"), F.explode(terms(F.col("x.t"))).alias("word"))
     bags = words.select("part", "place", F.xxhash64("word").alias("term"), "own").groupBy("part", "place", "term").agg(F.sum("own").alias("w_text"), F.sum(1 - F.col("own")).alias("w_edited"))
-    prints = signatures(bags, ["part", "place"], {"w_text": "own_print", "w_edited": "edited_print"})
+    # read twice below: stored, so that it is made once
+    prints = stored(signatures(bags, ["part", "place"], {"w_text": "own_print", "w_edited": "edited_print"}), "prints")
     following = prints.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("own_print").alias("next_print"))
     out = about.join(prints, ["part", "place"]).join(following, ["next_part", "next_place"])
     return out.select(
