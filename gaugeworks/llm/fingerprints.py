@@ -114,8 +114,10 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = edited.select("part", "place", F.explode(F.array(F.struct(F.lit(1).alias("own"), F.col("text").alias("t")), F.struct(F.lit(0).alias("own"), F.col("edited").alias("t")))).alias("x"))
     words = both.select("part", "place", F.col("x.own").alias("own"), F.explode(terms(F.col("x.t"))).alias("word"))
     bags = words.select("part", "place", F.xxhash64("word").alias("term"), "own").groupBy("part", "place", "term").agg(F.sum("own").alias("w_text"), F.sum(1 - F.col("own")).alias("w_edited"))
-    # read twice below: stored, so that it is made once
-    prints = stored(signatures(bags, ["part", "place"], {"w_text": "own_print", "w_edited": "edited_print"}), "prints")
+    # both halves come from one shuffle of the text; stored, since the prints are read twice below
+    halves = stored(signatures(bags, ["part", "place"], {"w_text": "own_print", "w_edited": "edited_print"}).unionByName(about, allowMissingColumns=True), "prints")
+    prints = halves.filter(F.col("own_print").isNotNull()).select("part", "place", "own_print", "edited_print")
+    about = halves.filter(F.col("own_print").isNull()).select(*about.columns)
     following = prints.select(F.col("part").alias("next_part"), F.col("place").alias("next_place"), F.col("own_print").alias("next_print"))
     out = about.join(prints, ["part", "place"]).join(following, ["next_part", "next_place"])
     return out.select(
