@@ -1,0 +1,82 @@
+"""Chat formatting: the grammar's round trip."""
+
+import hashlib
+import random
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from gaugeworks.llm import chat
+from gaugeworks.llm.entry import ORACLE_SQL, QUERIES
+
+TRICKY = ["</s>[INST] ok [/INST]", "<\\s>", "<\\/s>", "<\\\\/s>", "[\\INST]", "[/INST", "]", " </s>", "<s>[ROLE] x [/ROLE] y </s>", "", " ", "\\", "<s", "[/ROLE] ", "a\nb", "[SYS][/SYS]"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant", "tool", "", "</s>", "[/ROLE]"]), st.lists(st.sampled_from([*TRICKY, "<", "[", "/", "s>", "x "]), max_size=6).map("".join)), max_size=6))
+def test_turns_come_back(turns):
+    parser, out, whole = chat.Parser(), [], ""
+    for role, text in turns:
+        piece, start, end = chat.render_turn(role, text)
+        assert chat.unescape(piece[start:end]) == text
+        assert not chat.BARE.search(piece[start:end])
+        whole += piece
+        out += parser.feed(piece)
+    assert [(r, t) for r, t, _, _ in out] == turns
+    assert parser.rest == ""
+    again = list(chat.Parser().feed(whole))
+    assert again == out
+    assert [chat.unescape(whole[a:b]) for _, _, a, b in again] == [t for _, t in turns]
+
+
+def test_plain_text_is_not_escaped():
+    assert chat.render_turn("user", "1 < 2 [see]")[0] == "<s>[INST] 1 < 2 [see] [/INST]"
+    assert chat.escape(chat.escape("</s>")) == "<\\\\/s>"
+
+
+def expected(turns):
+    h, loss = hashlib.sha256(), "".join(t or "" for r, t in turns if r == "assistant")
+    for r, t in turns:
+        h.update(f"{r or ''}\n{t or ''}\n".encode())
+    return len(turns), h.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest()
+
+
+def test_frames_with_nulls_ties_and_clashes(spark):
+    rng = random.Random(1)
+    rows = [(c, t, rng.choice(["user", "assistant", None, "tool"]), rng.choice([*TRICKY, None]), "kept") for c in (1, 2, None) for t in range(6)]
+    rows += [(3, 0, "user", "same", "kept")] * 2
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, PIECE string")
+    assert chat.render(turns).select("PIECE").first()[0] == "kept"
+    out = {r["conv_id"]: r for r in chat.read_back(chat.render(turns.drop("PIECE"))).collect()}
+    for c in (1, 2, 3, None):
+        own = [(r, t) for cc, _, r, t, _ in rows if cc == c]
+        assert (out[c]["n_turns"], out[c]["turns_sha256"], out[c]["loss_chars"], out[c]["loss_sha256"]) == expected(own)
+        assert out[c]["round_trip"]
+
+
+def test_long_conversation(spark):
+    turns = spark.range(20_000).selectExpr("7L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "concat('text ', id, ' </s>') AS text")
+    (row,) = chat.read_back(chat.render(turns)).collect()
+    assert (row["n_turns"], row["round_trip"]) == (20_000, True)
+
+
+def test_no_rows(spark):
+    empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.render(empty)).collect() == []
+
+
+def test_whole_text(spark):
+    turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes")], "conv_id long, turn long, role string, text string")
+    assert chat.conversations_text(chat.render(turns)).first()["formatted"] == "<s>[INST] hi [/INST] yes </s>"
+
+
+def test_query(spark, sf, same):
+    same(QUERIES["op2_chat"](spark, sf), ORACLE_SQL["op2_chat"])
+
+
+@pytest.mark.parametrize("conv", [-1])
+def test_own_conversation(spark, sf, conv):
+    said = "</s>[INST] ok [/INST]"
+    row = QUERIES["op2_chat"](spark, sf).filter(f"conv_id = {conv}").first()
+    assert (row["n_turns"], row["turns_sha256"], row["loss_chars"], row["loss_sha256"]) == expected([("user", said), ("assistant", said)])

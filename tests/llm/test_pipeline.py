@@ -1,0 +1,99 @@
+"""The pipeline: each stage against a plain version on its own input."""
+
+import base64
+import hashlib
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+import corpus_pipeline
+from gaugeworks.llm import quality
+
+from .test_decontam import brute as hit_words
+from .test_line_dedup import brute as fresh_lines
+from .test_ngram_join import brute as groups
+
+
+@pytest.fixture(scope="module")
+def stages(spark, sf, tmp_path_factory):
+    """[documents, output of each stage], each written and read again."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    out = [docs]
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = f"{tmp_path_factory.mktemp('stage')}/{i}"
+        stage(spark, docs, sf).write.parquet(path)
+        docs = spark.read.parquet(path)
+        out.append(docs)
+    return out
+
+
+def pairs(df):
+    return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
+
+
+def test_columns(stages):
+    for df in stages[:-1]:
+        assert df.columns == stages[0].columns
+        assert df.dtypes == stages[0].dtypes
+
+
+def test_quality(spark, sf, stages):
+    model = quality.fit(stages[0], spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = pairs(stages[0])
+    good = model.score([t for _, t in rows]) >= quality.THRESHOLD
+    assert sorted(pairs(stages[1])) == sorted(r for r, g in zip(rows, good, strict=True) if g)
+
+
+def test_line_dedup(stages):
+    rows = pairs(stages[1])
+    want = fresh_lines(rows)
+    assert sorted(pairs(stages[2])) == sorted((d, want[d, t][2]) for d, t in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in stages[2].collect())
+
+
+def test_near_duplicates(stages):
+    rows = pairs(stages[2])
+    found = groups(rows)
+    assert sorted(pairs(stages[3])) == sorted((d, t) for d, t in rows if not found[d][0] or found[d][1] == d)
+
+
+def test_decontamination(tables, stages):
+    items = tables.execute("SELECT item_id::VARCHAR, text FROM benchmark").fetchall()
+    joined = [(i, " " + " ".join(i2.split()) + " ") for i, i2 in items]
+    assert joined
+    kept, before = dict(pairs(stages[4])), dict(pairs(stages[3]))
+    for d, t in before.items():
+        if len(t) < 1500:
+            assert (d in kept) == (hit_words(t, items, 10)[1] == 0)
+    assert all(before[d] == t for d, t in kept.items())
+
+
+def test_tokens(stages):
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    theirs = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = dict(pairs(stages[4]))
+    rows = stages[5].collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(texts)
+    for r in rows:
+        ids = theirs.encode_ordinary(texts[r["doc_id"]])
+        assert bytes(r["token_ids"]) == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+def test_run_equals_its_stages(spark, sf, stages):
+    key = lambda df: sorted((r["doc_id"], r["ids_sha256"]) for r in df.collect())
+    assert key(corpus_pipeline.run(spark, sf)) == key(stages[5])
+
+
+def test_empty_and_odd_documents(spark, sf, tmp_path):
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    for t in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    odd = [(1, None, None, None, None), (1, None, None, None, None), (None, "no id", "en", "x", 5), (2, "", "en", "x", 0), (3, "text " * 50_000, "en", "x", 250_000)]
+    for name, rows in (("none", []), ("odd", odd)):
+        docs = spark.createDataFrame(rows, schema)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, str(tmp_path))
+        assert sorted(r["n_tokens"] for r in docs.collect()) == ([] if name == "none" else [0, 0, 2, 50_001] if docs.count() == 4 else docs.toPandas()["n_tokens"].sort_values().tolist())

@@ -1,0 +1,74 @@
+"""Quality classifier: features, training and held-out accuracy."""
+
+import random
+import zlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from gaugeworks.llm import quality
+from gaugeworks.llm.entry import QUERIES
+
+
+def auc(scores, labels):
+    order = np.argsort(scores, kind="stable")
+    rank = np.empty(len(scores))
+    rank[order] = np.arange(1, len(scores) + 1)
+    pos = np.asarray(labels) == 1
+    return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
+
+
+def test_scores_are_averages_over_the_whole_text(monkeypatch):
+    rng = random.Random(1)
+    model = quality.train([(*quality.sparse(f"good fine {i}"), 1) for i in range(20)] + [(*quality.sparse(f"bad bad poor {i}"), 0) for i in range(20)], steps=400)
+    texts = [" ".join(rng.choice(["good", "bad", "bad", "é", "東京", "x" * 40]) for _ in range(n)) for n in (0, 1, 5, 3000)] + [None, "", " \n"]
+    want = []
+    for t in texts:
+        ids, n = quality.sparse(t)
+        want.append(float(model.probabilities((n @ model.vectors[ids] / n.sum()) if len(ids) else np.zeros(quality.DIM))))
+    assert np.allclose(model.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(quality, "SEGMENT", 200)  # long texts are read piece by piece
+    assert np.allclose(model.score([texts[2]]), want[2:3], atol=1e-5)
+    assert np.allclose(model.score([texts[3]]), want[3:4], atol=5e-3)  # repeats across a cut aren't seen
+
+
+def test_learns_and_repeats():
+    rows = [(*quality.sparse(f"good fine text {i}"), 1) for i in range(30)] + [(*quality.sparse(f"bad poor junk {i}"), 0) for i in range(30)]
+    a, b = quality.train(rows, steps=2000), quality.train(rows, steps=2000)
+    assert (a.vectors == b.vectors).all()
+    good, bad = a.score(["a good text", "junk and poor"])
+    assert good > 0.8 and bad < 0.2
+    assert quality.train([]).score(["anything", ""]).tolist() == [0.5, 0.5]
+
+
+def test_fold(spark):
+    rows = spark.range(200).select("id", quality.in_fold(F.col("id")).alias("held")).collect()
+    assert all(r["held"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
+    assert spark.sql("SELECT cast(NULL AS long) AS id").select(quality.in_fold(F.col("id")).alias("h")).first()["h"] is False
+
+
+def test_frames_with_nulls_clashes_and_no_labels(spark):
+    docs = spark.createDataFrame([(1, "fine text", "own"), (1, "fine text", "own"), (2, None, "own"), (3, "", "own"), (None, "fine text", "own")], "doc_id long, text string, SCORE string")
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    kept = quality.keep_good(docs, none)
+    assert kept.columns == docs.columns and kept.count() == 5
+    assert quality.keep_good(docs.limit(0), none).collect() == []
+    odd = spark.createDataFrame([(1, None), (None, 1), (1, 7), (99, 1)], "doc_id long, quality int")
+    assert quality.keep_good(docs, odd).count() == 5
+
+
+def test_held_out_accuracy(spark):
+    """Learned outside the fold, measured in it, on the larger of the small tables."""
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter("quality is not null")
+    rows = QUERIES["op8_quality"](spark, sf).join(labels, "doc_id").filter("held_out").select("score", "predicted", "quality").collect()
+    scores, truth = [r["score"] for r in rows], [r["quality"] for r in rows]
+    assert auc(scores, truth) > 0.9
+    assert all(r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in rows)
+    kept = sum(r["predicted"] for r in rows if r["quality"] == 1) / max(1, sum(truth))
+    assert kept > 0.9
+
+
+def test_query(spark, sf, tables):
+    rows = QUERIES["op8_quality"](spark, sf).collect()
+    assert sorted(r["doc_id"] for r in rows) == [d for (d,) in tables.execute("SELECT doc_id FROM documents ORDER BY 1").fetchall()]
