@@ -184,9 +184,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_ro
             found = [sparse(t) for t in texts]
             yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "y": pa.array(ys, pa.int32()), "ids": pa.array([f.tobytes() for f, _ in found], pa.binary()), "counts": pa.array([n.tobytes() for _, n in found], pa.binary())})
 
-    got = joined.mapInArrow(run, "doc_id long, y int, ids binary, counts binary").toArrow().to_pylist()
-    got.sort(key=lambda r: (r["doc_id"], r["y"], r["ids"]))
-    return train([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32), r["y"]) for r in got])
+    got = joined.mapInArrow(run, "doc_id long, y int, ids binary, counts binary").toArrow()
+    got = got.sort_by([("doc_id", "ascending"), ("y", "ascending"), ("ids", "ascending")]).combine_chunks()
+    # views of the table's own memory
+    view = lambda value, kind: np.frombuffer(value.as_buffer() or b"", kind)
+    return train([(view(i, np.int32), view(n, np.float32), y.as_py()) for i, n, y in zip(got["ids"], got["counts"], got["y"], strict=True)])
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score") -> DataFrame:
