@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import kernels
 from ..functions import scalars as fn
-from ..operators import features, manifests, metrics, profiles, quality, splits, sweeps
+from ..operators import features, generate, manifests, metrics, profiles, quality, splits, sweeps
 from ..sources import proxies as src
+from ..sources.shared import shared_folder
+from ..streaming import enrolment
+from ..streaming import events as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -339,9 +344,9 @@ def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""WITH {EVENTS},
 a AS (SELECT session, list(x ORDER BY pos) AS xs, count(*) AS n FROM touch GROUP BY session),
-b AS (SELECT *, greatest(1, floor(n / 3.0::DOUBLE))::INT AS l FROM a),
-c AS (SELECT *, greatest(1, floor(l * 0.5::DOUBLE))::INT AS st, unnest(range(5)) AS w FROM b),
-d AS (SELECT session, xs, w, CASE WHEN n < 5 THEN 1 ELSE least(w * st, n - l) + 1 END AS first, CASE WHEN n < 5 THEN n ELSE l END AS size FROM c)
+b AS (SELECT *, greatest(1, floor(n * 0.5::DOUBLE / 4.000000001::DOUBLE))::INT AS st FROM a),
+c AS (SELECT *, unnest(range(5)) AS w FROM b),
+d AS (SELECT session, xs, w, CASE WHEN n < 5 THEN 1 ELSE w * st + 1 END AS first, CASE WHEN n < 5 THEN n ELSE n - st * 4 END AS size FROM c)
 SELECT session, w::INT AS "window", first::INT AS first, size::INT AS size, round(list_sum(xs[first:first + size - 1]), 6) AS total FROM d""")
 def count_windows_k5(spark: SparkSession, sf: str) -> DataFrame:
     a = src.touch(spark, sf).groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("xs"))
@@ -583,7 +588,82 @@ def events_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) AS risk FROM events")
 def risk_smoothing(spark: SparkSession, sf: str) -> DataFrame:
     """An extra: scores smoothed over five events."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(-4, 0)
     return src.table(spark, sf, "events").select("user_id", "event_id", F.round(F.avg("value").over(w), 6).alias("risk"))
+
+
+# --- generation ---
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{kind}', '{name}', {i}::INT, {low}::DOUBLE, {high}::DOUBLE)" for kind, axes in (("touch", generate.TOUCH_AXES), ("keystroke", generate.KEY_AXES), ("motion", generate.MOTION_AXES)) for i, (name, (low, high)) in enumerate(axes.items())) + ") t(attack_type, axis, axis_pos, low, high)")
+def ontology_axes_long(spark: SparkSession, sf: str) -> DataFrame:
+    """The behavioural catalogue as a dimension table."""
+    return _catalogue(spark).select("attack_type", "axis", "axis_pos", "low", "high")
+
+
+def _catalogue(spark: SparkSession) -> DataFrame:
+    kinds = {"touch": generate.TOUCH_AXES, "keystroke": generate.KEY_AXES, "motion": generate.MOTION_AXES}
+    return generate.axes_table(spark, [{"version": "1", "attack_type": kind, "axes": {n: {"type": "uniform", "low": a, "high": b, "provenance": {"paper": "given range"}} for n, (a, b) in axes.items()}} for kind, axes in kinds.items()])
+
+
+@query()
+def ontology_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Parameters of each supplier's items, drawn from their own seeds."""
+    s = src.table(spark, sf, "supplier").select("s_name", "s_suppkey")
+    items = manifests.work_items(s, "s_name", "s_suppkey", 5, "behavioral", (("keystroke", 0.4), ("motion", 0.2), ("touch", 0.4)), 3)
+    return generate.sampled(items, _catalogue(spark))
+
+
+@query()
+def work_items_numpy(spark: SparkSession, sf: str) -> DataFrame:
+    """As work_items, with the attacks that numpy's weighted choice draws."""
+    return generate.dispatched(work_items(spark, sf), dict(ATTACKS), "face", 11)
+
+
+@query()
+def session_generate(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of all suppliers, as subjects, and their features."""
+    items = generate.session_items(src.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "s_suppkey", 2, 1)
+    made = generate.sessions(items)
+    touch, keys, motion = generate.event_rows(made)
+    return r6(features.feature_vector(items.select(F.col("session_id").alias("session")), touch, keys, motion), *features.FEATURES)
+
+
+@query()
+def kernel_pictures(spark: SparkSession, sf: str) -> DataFrame:
+    """Small pictures made of hashes of the suppliers' names, each attacked in three ways."""
+    s = src.table(spark, sf, "supplier").select("s_suppkey", F.unhex(F.repeat(F.sha2("s_name", 512), 27)).alias("pixels"), F.explode(F.array(*map(F.lit, sorted(kernels.KERNELS)))).alias("attack"))
+    made = kernels.simulated(s.select("s_suppkey", "pixels", F.lit(24).alias("height"), F.lit(24).alias("width"), "attack", fn.derive_seed("s_suppkey", "attack").alias("seed"), F.lit(None).cast("map<string, double>").alias("params")))
+    return made.select("s_suppkey", "attack", F.sha2("attacked", 256).alias("sha256"), "fault")
+
+
+# --- streams, run to their end ---
+
+
+@query(SQL["events_sliding_windows"])
+def stream_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """The batch query as a stream: updates of each window are kept, the last one counts."""
+    stream = streams.sliding(streams.event_stream(spark, f"{sf}/events.parquet"), ["event_type"], "ts", "value")
+    last = streams.last_state(streams.run_to_end(stream, shared_folder(spark, "stream"), "update"), ["event_type", "start"])
+    return last.select("event_type", F.unix_micros("start").alias("start_us"), "n", F.round("total", 6).alias("total"))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Appends the first row of each key; which row that is depends on arrival, so the key is returned."""
+    stream = streams.without_repeats(streams.event_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "ts", "3650 days")
+    return streams.run_to_end(stream.select("user_id", "event_type"), shared_folder(spark, "stream"))
+
+
+@query()
+def stream_enrolment(spark: SparkSession, sf: str) -> DataFrame:
+    """Subjects of the embeddings enrol with six reps of five vectors, are calibrated, and then attempt."""
+    v = src.profiles(spark, sf).select(F.col("subject").cast("string").alias("user"), F.expr("vec_id div 50").alias("rep"), "vec_id", F.slice("vector", 1, 9).alias("x"))
+    reps = v.groupBy("user", "rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "x"))), lambda e: e["x"]).alias("windows"))
+    place = F.row_number().over(Window.partitionBy("user").orderBy("rep"))
+    done = reps.withColumn("_p", place).withColumn("action", F.explode(F.when(F.col("_p") == 6, F.array(F.lit("enroll"), F.lit("calibrate"))).otherwise(F.array(F.when(F.col("_p") < 6, "enroll").otherwise("attempt")))))
+    rows = done.select("user", (F.col("_p") * 2 + (F.col("action") == "calibrate").cast("int")).cast("long").alias("seq"), "action", "windows", F.lit(None).cast("string").alias("fault"))
+    folder = shared_folder(spark, "actions")
+    rows.write.parquet(folder)
+    out = streams.run_to_end(enrolment.run(spark.readStream.schema(rows.schema).parquet(folder)), shared_folder(spark, "stream"))
+    return r6(out.drop("batch"), "threshold", "part_above")

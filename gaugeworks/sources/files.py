@@ -46,7 +46,7 @@ def identity_list(spark: SparkSession, path: str) -> DataFrame:
 
 def session_payloads(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """manifest rows with the session in their payload file (one JSON object a file), by its path below root."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(root)
+    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
     below = root.rstrip("/").rpartition(":")[2].lstrip("/")
     parsed = files.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?\Q{below}\E/", "").alias("payload_path"), F.from_json("value", SESSION).alias("s"), F.sha2(F.encode("value", "UTF-8"), 256).alias("sha256"))
     return manifest.join(parsed, "payload_path")
@@ -57,7 +57,7 @@ def spoof_labels(spark: SparkSession, json_path: str | None, text_path: str | No
     short = lambda n: F.raise_error(F.concat(F.lit("too few labels: "), F.col("path"))).cast("int")
     parts = []
     if json_path:
-        rows = spark.read.option("wholetext", True).text(json_path).select(F.explode(F.from_json("value", "map<string, array<int>>")).alias("path", "labels"))
+        rows = spark.read.text(json_path, wholetext=True).select(F.explode(F.from_json("value", "map<string, array<int>>")).alias("path", "labels"))
         parts.append(rows.select("path", F.lit(0).alias("rank"), F.when(F.size("labels") > place, F.get("labels", F.lit(place))).otherwise(short(place)).alias("code")))
     if text_path:
         # the path comes first, so labels are one place further on

@@ -7,13 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import with_fields
+
 
 def event_stream(spark: SparkSession, path: str, time: str = "ts", files_per_trigger: int | None = None) -> DataFrame:
     """A parquet file or folder as a stream, in the schema it has; times without a zone are read as UTC, as watermarks need."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path).withColumn(time, F.col(time).cast("timestamp"))
+    base = path.rstrip("/")
+    # as a pattern: the source takes a single file only so
+    return reader.parquet(f"{base[:-1]}[{base[-1]}]").withColumn(time, F.col(time).cast("timestamp"))
 
 
 def without_repeats(stream: DataFrame, key: Sequence[str], time: str, delay: str) -> DataFrame:
@@ -40,7 +44,7 @@ def run_to_end(stream: DataFrame, folder: str, mode: str = "append") -> DataFram
 
     query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/rows")
+    return spark.read.schema(with_fields(stream, batch="long")).parquet(f"{folder}/rows")
 
 
 def last_state(updates: DataFrame, key: Sequence[str]) -> DataFrame:
