@@ -652,7 +652,7 @@ def stream_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Appends the first row of each key; which row that is depends on arrival, so the key is returned."""
     stream = streams.without_repeats(streams.event_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "ts", "3650 days")
-    return streams.run_to_end(stream.select("user_id", "event_type"), shared_folder(spark, "stream"))
+    return streams.run_to_end(stream.select("user_id", "event_type"), shared_folder(spark, "stream")).drop("batch")
 
 
 @query()
