@@ -25,7 +25,7 @@ RATE = 0.5
 NGRAMS = (2, 3, 4)
 THRESHOLD = 0.3
 #: Bytes of text that are looked at together.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 VALUES = byte_values(False)
 #: The feature of a repeated word.
 REPEAT = 0
