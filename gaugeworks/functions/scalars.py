@@ -27,8 +27,8 @@ def subject_seed(subject: Column | str) -> Column:
     return first32(F.sha2(col(subject).cast("string"), 256))
 
 
-def session_seed(master: Column, subject_index: Column, n_sessions: int, session_index: Column, label: Column, subject: Column) -> Column:
-    return derive_seed(master * 1000 + subject_index * n_sessions + session_index, F.lit("defid"), label, subject_seed(subject))
+def session_seed(master: Column, subject_index: Column, n_sessions: int, session_index: Column, modality: str, label: Column, subject: Column | str) -> Column:
+    return derive_seed(master * 1000 + subject_index * n_sessions + session_index, F.lit(modality), label, subject_seed(subject))
 
 
 def domain_scale(domain: Column | str) -> Column:

@@ -623,7 +623,7 @@ def work_items_numpy(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def session_generate(spark: SparkSession, sf: str) -> DataFrame:
     """Sessions of all suppliers, as subjects, and their features."""
-    items = generate.session_items(src.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "s_suppkey", 2, 1)
+    items = generate.session_items(src.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "s_suppkey", 2, 1, "behavioral")
     made = generate.sessions(items)
     touch, keys, motion = generate.event_rows(made)
     return r6(features.feature_vector(items.select(F.col("session_id").alias("session")), touch, keys, motion), *features.FEATURES)
