@@ -17,6 +17,8 @@ SAMPLES = 32
 GROUP_BYTES = 2 << 20
 #: Ranges of ids that are found from quantiles; beyond, a range is split evenly.
 RANGES = 500
+#: Groups whose highest ids are looked up by broadcast; more are joined by a shuffle.
+GROUPS_BROADCAST = 1_000_000
 BLANKS = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -92,7 +94,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     order = Window.orderBy(F.col("part").desc())  # a row per group
     after = tops.select("part", F.lead("part").over(order).alias("_lower"), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_highest")).select("part", F.coalesce("_lower", "_highest").alias("next_part"))
     # the first text of each group: of the documents with the highest ids, one per group
-    heads = parted.join(F.broadcast(tops.withColumnRenamed("part", "_p")), (F.col("part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("_head"))
+    named = tops.withColumnRenamed("part", "_p")
+    heads = parted.join(F.broadcast(named) if n <= GROUPS_BROADCAST else named, (F.col("part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("_head"))
     turn = after.join(heads.withColumnRenamed("part", "next_part"), "next_part").select("part", F.col("next_part").alias("_np"), "_head")
     last = F.col("_more").isNull()
     return row.join(turn, "part").select(
