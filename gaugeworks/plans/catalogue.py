@@ -424,7 +424,7 @@ def logistic_bot(spark: SparkSession, sf: str) -> DataFrame:
     v = features.feature_vector(src.sessions(spark, sf), src.touch(spark, sf), src.keys(spark, sf), src.motion(spark, sf))
     n = src.touch(spark, sf).groupBy("session").agg(F.count(F.lit(1)).alias("n"))
     rows = v.join(n, "session", "left").select("session", F.array(*features.FEATURES).alias("vector"), (F.coalesce("n", F.lit(0)) > 13).cast("int").alias("label"))
-    w, b, mean, std = profiles.logistic(rows, "vector", "label", steps=25)
+    w, b, mean, std = profiles.logistic(rows, "vector", "label")
     return profiles.logistic_scores(rows, "vector", w, b, mean, std).select("session", "label", F.round("score", 6).alias("score"))
 
 
