@@ -38,3 +38,31 @@ def test_logistic_of_blocks(spark):
     fit = profiles.logistic(rows, "v", "y", steps=50, block=70)
     score = [r["score"] for r in profiles.logistic_scores(rows, "v", *fit).orderBy("i").collect()]
     assert np.abs(np.array(score) - descended(x, y, steps=50)).max() < 1e-12
+
+
+def test_mahalanobis_score_is_numpys(spark, sf):
+    rows = proxies.profiles(spark, sf).collect()
+    ours = {r["vec_id"]: r["distance"] for r in catalogue.mahalanobis_score(spark, sf).collect()}
+    assert len(ours) == len(rows)
+    for subject in {r["subject"] for r in rows}:
+        of = [r for r in rows if r["subject"] == subject]
+        x = np.array([r["vector"] for r in of], float)
+        cov = np.cov(x, rowvar=False) if len(x) > 1 else np.zeros((64, 64))
+        d = x - x.mean(axis=0)
+        theirs = np.sqrt(np.einsum("ij,jk,ik->i", d, np.linalg.pinv(cov + 1e-3 * np.eye(64)), d))
+        assert np.abs(np.array([ours[r["vec_id"]] for r in of]) - theirs).max() < 2e-6
+
+
+def test_subject_disjoint_split_numpy_is_the_greedy_one(spark, sf):
+    first, n = {}, {}
+    for r in proxies.scored(spark, sf).select("subject", "unit").collect():
+        if r["subject"] is not None:
+            first[r["subject"]] = min(first.get(r["subject"], r["unit"]), r["unit"])
+            n[r["subject"]] = n.get(r["subject"], 0) + 1
+    listed = sorted(first, key=lambda s: (first[s], s))
+    target, taken, split = max(1, int(proxies.scored(spark, sf).count() * 0.25)), 0, {}
+    for i in np.random.default_rng(0).permutation(len(listed)):
+        split[listed[i]] = "test" if taken < target else "train"
+        taken += n[listed[i]] if taken < target else 0
+    ours = catalogue.subject_disjoint_split_numpy(spark, sf).collect()
+    assert {r["subject"]: (r["n"], r["split"]) for r in ours} == {s: (n[s], split[s]) for s in n} and len(ours) == len(n)
