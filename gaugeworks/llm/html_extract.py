@@ -27,6 +27,10 @@ SCOPE = frozenset("table ul ol dl select html body div article section main".spl
 #: These never hold the article's text.
 DROPPED = RAW | frozenset("head nav aside footer form button select input svg math canvas object audio video menu dialog fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
+#: Of these, wrappers that some pages put around all they have.
+FORMS = frozenset("form fieldset".split())
+#: Characters of a paragraph that counts as the article's when nothing else marks it, and how many such make an article.
+LONG, MANY = 80, 3
 #: Words in class and id of parts that aren't the article.
 OTHER_NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside rail widget widgets comment comments commentlist discussion disqus respond reply replies footer header masthead menu menus nav navbar navigation topbar breadcrumb breadcrumbs pagination pager paging related recommended recommendations share sharing social newsletter subscribe subscription signup login search toolbar skip legal copyright".split()
@@ -42,10 +46,10 @@ NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 
 
 class Node:
-    __slots__ = ("children", "dropped", "link_chars", "names", "parent", "points", "tag", "text_chars")
+    __slots__ = ("children", "dropped", "link_chars", "names", "parent", "points", "tag", "text_chars", "wraps")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), dropped: bool = False) -> None:
-        self.tag, self.parent, self.names, self.dropped = tag, parent, names, dropped
+    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), dropped: bool = False, wraps: str = "") -> None:
+        self.tag, self.parent, self.names, self.dropped, self.wraps = tag, parent, names, dropped, wraps
         self.children: list[Node | str] = []
         self.points = 0.0
         self.text_chars = self.link_chars = 0
@@ -54,20 +58,22 @@ class Node:
         return self.link_chars / self.text_chars if self.text_chars else 0.0
 
 
-def _marks(tag: str, attributes: str) -> tuple[frozenset, bool]:
-    """Words in class and id, and whether the element is none of the article's whatever its names."""
+def _marks(tag: str, attributes: str) -> tuple[frozenset, bool, str]:
+    """Words in class and id, whether the element is none of the article's whatever its names, and "form" or "hidden" if only for that."""
     names: set[str] = set()
-    dropped = tag in DROPPED
+    form = tag in FORMS
+    hidden, dropped = False, tag in DROPPED and not form
     if attributes and not attributes.isspace():
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
                 names.update(x.lower() for x in NAME_PART.findall(unescape(value)))
             elif key == "role":
-                dropped |= value.lower() in DROPPED_ROLES
+                form |= value.lower() == "form"
+                dropped |= value.lower() in DROPPED_ROLES and value.lower() != "form"
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
-                dropped = True
-    return frozenset(names), dropped
+                hidden = True
+    return frozenset(names), dropped or form or hidden, "" if dropped else "hidden" if hidden else "form" if form else ""
 
 
 def parse(html: str) -> Node:
@@ -109,8 +115,7 @@ def parse(html: str) -> Node:
                 at = at.parent
             if ends is not None:
                 node = ends.parent
-        names, dropped = _marks(tag, m[3])
-        child = Node(tag, node, names, dropped)
+        child = Node(tag, node, *_marks(tag, m[3]))
         node.children.append(child)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, pos)
@@ -131,6 +136,28 @@ def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
             stack += [(c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
 
 
+def _keep_wrappers(root: Node) -> None:
+    """Keeps forms and fieldsets around an article, a main part or a first heading. If that leaves a page without any, hidden parts around one are kept too, and forms around some long paragraphs."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and (not c.dropped or c.wraps)]
+    wrapped = any(n.wraps for n in order)
+    for last in (False, True) if wrapped else ():
+        # of each node: whether such a part lies in it, and its long paragraphs
+        inner: dict[int, tuple[bool, int]] = {}
+        for node in reversed(order):
+            shown = [c for c in node.children if isinstance(c, Node) and not c.dropped]
+            marked = node.tag != "header" and any(c.tag in ("article", "main", "h1") or inner[id(c)][0] for c in shown)
+            long = sum(inner[id(c)][1] for c in shown) + (node.tag == "p" and sum(len(c.strip()) for c in node.children if isinstance(c, str)) >= LONG)
+            inner[id(node)] = marked, long
+            if node.dropped and (marked and (last or node.wraps == "form") or last and node.wraps == "form" and long >= MANY):
+                node.dropped = False
+        if inner[id(root)][0]:
+            break
+
+
 def _drop_others(root: Node) -> None:
     """Drops parts by their names, but for those that hold an article, a main part or a page's first heading; a header is dropped unless it is the article's."""
     holds: dict[int, bool] = {}
@@ -238,6 +265,7 @@ def extract(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    _keep_wrappers(root)
     _drop_others(root)
     pieces = _pieces(root)
     found = _score(pieces)

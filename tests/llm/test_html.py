@@ -39,6 +39,26 @@ def test_white_space_references_and_breaks():
     assert html_extract.extract(PAGE.format(article=article)) == "\n".join([f"{p[0]} & éAB boldtext", "one two", "first item", "second item", p[1], p[2]])
 
 
+def test_page_within_a_form_or_hidden():
+    p = paragraphs(4, 7)
+    text = "".join(f"<p>{x}</p>" for x in p)
+    rest = "<nav><a href='x'>Home</a></nav><input name='state'><select><option>One</option></select><button>Go</button>"
+    article = f"<article><h1>A title</h1>{text}<form><p>Your mail</p><input></form></article>"
+    for open_, close in (("<form id='aspnetForm'>", "</form>"), ("<fieldset>", "</fieldset>"), ("<div role='form'>", "</div>"), ("<div style='display:none'>", "</div>"), ("<div hidden><form>", "</form></div>")):
+        assert html_extract.extract(f"<body>{open_}{rest}{article}{close}</body>") == "\n".join(["A title", *p])
+    assert html_extract.extract(f"<body style='display: none'>{article}</body>") == "\n".join(["A title", *p])
+    # no article, but a first heading or paragraphs
+    assert html_extract.extract(f"<body><form>{rest}<div><h1>A title</h1>{text}</div></form></body>") == "\n".join(["A title", *p])
+    assert html_extract.extract(f"<body><header><h1>Site</h1></header><form>{rest}<div>{text}</div></form></body>") == "\n".join(p)
+
+
+def test_forms_and_hidden_parts_beside_an_article_go():
+    p = paragraphs(4, 8)
+    article = f"<article><h1>A title</h1>{''.join(f'<p>{x}</p>' for x in p)}<form>{''.join(f'<p>{x}</p>' for x in paragraphs(4, 9))}</form><div hidden><h1>Join us</h1><p>{SENTENCE}</p></div></article>"
+    assert html_extract.extract(PAGE.format(article=article)) == "\n".join(["A title", *p])
+    assert html_extract.extract("<form><p>Your name, please</p><input name='q'></form><div hidden><p>Later</p></div>") == ""
+
+
 def test_broken_markup():
     p = paragraphs(3, 3)
     article = f"<article><p>{p[0]}<p>{p[1]}</b></i><div><p>{p[2]}</div></article>"
