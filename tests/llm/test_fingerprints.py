@@ -32,6 +32,26 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert len({len(p) for p in prints.values()}) == 1
 
 
+def test_error_of_each_pair_at_the_querys_setting(spark):
+    """Every pair keeps to the binomial law of SAMPLES samples; pairs have words of their own."""
+    rng = random.Random(6)
+    pairs = []
+    for i in range(150):
+        a = [f"{i}w{rng.randrange(40)}" for _ in range(120)]
+        pairs.append((a, [x if rng.random() < i % 10 / 10 else f"{i}v{rng.randrange(40)}" for x in a]))
+    rows = [(i * 2 + j, w) for i, p in enumerate(pairs) for j, words in enumerate(p) for w in words]
+    bags = spark.createDataFrame(rows, "k long, word string").groupBy("k", F.xxhash64("word").alias("term")).agg(F.count("*").alias("w"))
+    prints = {r["k"]: r["p"] for r in fingerprints.signatures(bags, ["k"], {"w": "p"}).collect()}
+    n = fingerprints.SAMPLES
+    off = []
+    for i, (a, b) in enumerate(pairs):
+        want = jaccard(a, b)
+        got = sum(x == y for x, y in zip(prints[i * 2], prints[i * 2 + 1], strict=True)) / n
+        off.append(abs(got - want) / max((want * (1 - want) / n) ** 0.5, 1 / n))
+    assert {len(p) for p in prints.values()} == {n}
+    assert max(off) < 5 and sum(x > 2 for x in off) < 0.1 * len(off)
+
+
 def edited(docs):
     """[(doc_id, text, edited, next text)] in falling order of doc_id, of one doc_id by text."""
     order = sorted(docs, key=lambda x: x[1])
