@@ -6,7 +6,7 @@ from .bpe import op1_byte_bpe
 from .chat import OP2_SQL, op2_chat
 from .decontam import OP5_SQL, op5_decontamination
 from .fingerprints import op10_fingerprints
-from .html_extract import op4_html
+from .html_extract import OP4_SQL, op4_html
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality import op8_quality
@@ -29,6 +29,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_chat": OP2_SQL,
     "op3_warc": OP3_SQL,
+    "op4_html": OP4_SQL,
     "op5_decontamination": OP5_SQL,
     "op7_ngram_join": OP7_SQL,
     "op9_line_dedup": OP9_SQL,

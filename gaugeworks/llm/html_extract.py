@@ -1,15 +1,19 @@
 """Main text of web pages by tree scoring.
 
-Paragraphs pass points for their length and commas to their ancestors, less the further away; a container's points are discounted by its link density. The best container and those of its siblings that also look like text are kept."""
+Paragraphs pass points for their length and commas to their ancestors, less the further away; a container's points are discounted by its link density. The best container and those of its siblings that also look like text are kept. Every pass over a page, parsing included, is linear in its length, however deep its elements lie."""
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import fresh, table, with_fields
 
@@ -35,150 +39,243 @@ LONG, MANY = 80, 3
 OTHER_NAMES = frozenset(
     "ad ads adbox adsense advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent gdpr notice notices notification alert popup modal overlay sidebar aside rail widget widgets comment comments commentlist discussion disqus respond reply replies footer header masthead menu menus nav navbar navigation topbar breadcrumb breadcrumbs pagination pager paging related recommended recommendations share sharing social newsletter subscribe subscription signup login search toolbar skip legal copyright".split()
 )
+#: Of these, the ones that stand for links: such a part goes if it has links or next to no text.
+LINK_NAMES = frozenset("related recommended recommendations share sharing social menu menus nav navbar navigation topbar breadcrumb breadcrumbs pagination pager paging toolbar skip rail widget widgets".split())
+#: Words that may stand beside those above and change nothing.
+PLAIN_NAMES = frozenset(
+    "area bar block box bottom btn button buttons container content form group holder icons inner item items label left link links list module outer panel placeholder posts right section site slot stories text thread title top unit wrap wrapper".split()
+)
+#: Words that turn a name round.
+NO_NAMES = frozenset("has no non with without".split())
 #: Words in class and id of parts that may be the article whatever else they are called.
 TEXT_NAMES = frozenset("article articlebody body content entry main post story text page blog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: A list or an item of one isn't the article, but what they are in.
+LISTS = frozenset("li ul ol dt dd dl".split())
 CONTAINER_POINTS = {"article": 10, "main": 8, "div": 5, "section": 5, "pre": 3, "blockquote": 3, "td": 3, "ol": -3, "ul": -3, "dl": -3, "li": -3, "th": -5}
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.S)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A quote opens a value right after "=" only; elsewhere it is a character like others. What isn't closed ends with the page.
+ATTRIBUTES = r"""(?:[\s/]++|=?+[^\s/>=]++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++)?+)?+|=)*+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?:[!?]|/(?![a-zA-Z]))[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>?", re.S)
+ATTRIBUTE = re.compile(r"""(=?+[^\s/>=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))?+)?+""")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+#: How a class or id speaks of its element: not at all; of the article; of other parts for sure, of links, or in passing.
+NOTHING, TEXT, SURE, LINKS, PASSING = range(5)
+
+
+class LinkText(str):
+    """Text within a link."""
+
+    __slots__ = ()
 
 
 class Node:
-    __slots__ = ("children", "dropped", "link_chars", "names", "parent", "points", "tag", "text_chars", "wraps")
+    """An element. text_chars and link_chars: of the text in it, links apart; marked: holds an article, a main part or a first heading; article: holds one of the first two; within: lies in one; gone: not shown."""
+
+    __slots__ = ("article", "children", "dropped", "gone", "kind", "link_chars", "marked", "names", "parent", "points", "tag", "text_chars", "within", "wraps")
 
-    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), dropped: bool = False, wraps: str = "") -> None:
-        self.tag, self.parent, self.names, self.dropped, self.wraps = tag, parent, names, dropped, wraps
+    def __init__(self, tag: str, parent: Node | None, names: frozenset = frozenset(), kind: int = NOTHING, dropped: bool = False, wraps: str = "") -> None:
+        self.tag, self.parent, self.names, self.kind, self.dropped, self.wraps = tag, parent, names, kind, dropped, wraps
         self.children: list[Node | str] = []
         self.points = 0.0
         self.text_chars = self.link_chars = 0
+        self.article = self.marked = self.within = self.gone = False
 
     def density(self) -> float:
         return self.link_chars / self.text_chars if self.text_chars else 0.0
 
 
-def _marks(tag: str, attributes: str) -> tuple[frozenset, bool, str]:
-    """Words in class and id, whether the element is none of the article's whatever its names, and "form" or "hidden" if only for that."""
+def _kind(value: str) -> int:
+    """What one word of a class or id says. Its last part is what it is: article-comments are comments, a related-note is a note."""
+    parts = [x.lower() for x in NAME_PART.findall(value)]
+    others = [x for x in parts if x in OTHER_NAMES]
+    if not others or NO_NAMES.intersection(parts):
+        return TEXT if TEXT_NAMES.intersection(parts) else NOTHING
+    if parts[-1] not in OTHER_NAMES and not all(x in OTHER_NAMES or x in PLAIN_NAMES or x in TEXT_NAMES or x.isdigit() for x in parts):
+        return TEXT if parts[-1] in TEXT_NAMES else PASSING
+    return LINKS if all(x in LINK_NAMES for x in others) else SURE
+
+
+def _marks(tag: str, attributes: str) -> tuple[frozenset, int, bool, str]:
+    """Words in class and id, what they say, whether the element is none of the article's whatever its names, and "form" or "hidden" if only for that."""
     names: set[str] = set()
+    kinds: set[int] = set()
     form = tag in FORMS
     hidden, dropped = False, tag in DROPPED and not form
     if attributes and not attributes.isspace():
         for key, a, b, c in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if key in ("class", "id"):
-                names.update(x.lower() for x in NAME_PART.findall(unescape(value)))
+                for word in unescape(value).split():
+                    names.update(x.lower() for x in NAME_PART.findall(word))
+                    kinds.add(_kind(word))
             elif key == "role":
                 form |= value.lower() == "form"
                 dropped |= value.lower() in DROPPED_ROLES and value.lower() != "form"
             elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none", value, re.I)):
                 hidden = True
-    return frozenset(names), dropped or form or hidden, "" if dropped else "hidden" if hidden else "form" if form else ""
+    kind = next((k for k in (TEXT, SURE, LINKS, PASSING) if k in kinds), NOTHING)
+    return frozenset(names), kind, dropped or form or hidden, "" if dropped else "hidden" if hidden else "form" if form else ""
+
+
+_short_marks = lru_cache(4096)(_marks)
+
 
+class _Open:
+    """The open elements: the path from the root, and by kind the places on it."""
 
-def parse(html: str) -> Node:
-    """A tree of the page. Missing and stray end tags are mended: a block starts after an open paragraph, items and cells end those before, an unknown end tag is passed over."""
+    def __init__(self, root: Node) -> None:
+        self.path, self.at, self.blocks, self.scopes = [root], {root.tag: [0]}, [0], [0]
+
+    def push(self, node: Node) -> None:
+        i = len(self.path)
+        self.path.append(node)
+        self.at.setdefault(node.tag, []).append(i)
+        if node.tag not in INLINE:
+            self.blocks.append(i)
+            if node.tag in SCOPE:
+                self.scopes.append(i)
+
+    def cut(self, i: int) -> None:
+        """Closes the elements from place i on."""
+        while len(self.path) > i:
+            self.at[self.path.pop().tag].pop()
+        for places in (self.blocks, self.scopes):
+            while places[-1] >= i:
+                places.pop()
+
+    def last(self, tag: str) -> int:
+        places = self.at.get(tag)
+        return places[-1] if places else -1
+
+
+def parse(html: str) -> tuple[Node, list[Node]]:
+    """A tree of the page, and its nodes in page order. Missing and stray end tags are mended: a block starts after an open paragraph, items and cells end those before, an unknown end tag is passed over, the end of an inline element closes no block around which it isn't. A link ends at its end tag, at the next link, or with the block that it is in."""
     root = Node("html", None)
-    at, node, pos, n = root, root, 0, len(html)
+    open_, nodes = _Open(root), [root]
+    link: Node | None = None  # the open one
+    depth = 0  # its place
+    pos, n = 0, len(html)
+    search = TOKEN.search
     while pos < n:
-        m = TOKEN.search(html, pos)
+        m = search(html, pos)
+        end = n if m is None else m.start()
+        if end > pos:
+            text = html[pos:end]
+            open_.path[-1].children.append(text if link is None else LinkText(text))
         if m is None:
-            node.children.append(html[pos:])
             break
-        if m.start() > pos:
-            node.children.append(html[pos : m.start()])
         pos = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
         if m[1]:
-            at = node
-            while at is not None and at.tag != tag:
-                at = at.parent
-            if at is not None and at is not root:
-                node = at.parent
-            continue
-        if tag == "html":
-            continue
-        if tag not in INLINE:  # a block ends an open paragraph or heading
-            at = node
-            while at is not None and at.tag in INLINE:
-                at = at.parent
-            if at is not None and (at.tag == "p" or at.tag in HEADINGS and tag in HEADINGS):
-                node = at.parent
-        if tag in ENDS:
-            at = last = node
-            ends = None
-            while at is not None and (at.tag not in SCOPE or at.tag in ENDS[tag]):
-                if at.tag in ENDS[tag]:
-                    ends = at
-                at = at.parent
-            if ends is not None:
-                node = ends.parent
-        child = Node(tag, node, *_marks(tag, m[3]))
-        node.children.append(child)
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, pos)
-            pos = end.end() if end else n
-        elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")):  # a slash means nothing on other elements
-            node = child
-    return root
-
-
-def _walk(root: Node) -> Iterator[tuple[Node, bool]]:
-    """Nodes in page order, before (True) and after (False) their children; dropped ones not at all."""
-    stack: list[tuple[Node, bool]] = [(root, True)]
-    while stack:
-        node, down = stack.pop()
-        yield node, down
-        if down:
-            stack.append((node, False))
-            stack += [(c, True) for c in reversed(node.children) if isinstance(c, Node) and not c.dropped]
+            i = open_.last(tag)
+            if tag == "a":
+                link = None
+            if i > 0 and (tag not in INLINE or i > open_.blocks[-1]):
+                open_.cut(i)
+        elif tag != "html":
+            if tag not in INLINE:  # a block ends an open paragraph or heading
+                i = open_.blocks[-1]
+                around = open_.path[i].tag
+                if around == "p" or (around in HEADINGS and tag in HEADINGS):
+                    open_.cut(i)
+            if tag in ENDS:
+                above = open_.scopes[-1]
+                ended = [p[k] for t in ENDS[tag] if (p := open_.at.get(t)) and (k := bisect_right(p, above)) < len(p)]
+                if ended:
+                    open_.cut(min(ended))
+            marks = _short_marks(tag, m[3]) if len(m[3]) < 200 else _marks(tag, m[3])
+            child = Node(tag, open_.path[-1], *marks)
+            child.parent.children.append(child)
+            nodes.append(child)
+            if tag in RAW:
+                raw = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, pos)
+                pos = raw.end() if raw else n
+            elif tag not in VOID and not (tag in ("svg", "math") and m[3].endswith("/")):  # a slash means nothing on other elements
+                open_.push(child)
+                if tag == "a" and re.search(r"\bhref\b", m[3], re.I):
+                    link, depth = child, len(open_.path) - 1
+        if link is not None and (len(open_.path) <= depth or open_.path[depth] is not link):
+            link = None
+    return root, nodes
+
+
+def _shown(nodes: list[Node], wrappers: bool = False) -> list[Node]:
+    """Nodes in page order, without dropped ones and what is in them; with `wrappers`, those that only wrap count as shown."""
+    out = []
+    for node in nodes:
+        node.gone = (node.dropped and not (wrappers and node.wraps)) or (node.parent is not None and node.parent.gone)
+        if not node.gone:
+            out.append(node)
+    return out
 
 
-def _keep_wrappers(root: Node) -> None:
+def _keep_wrappers(root: Node, nodes: list[Node]) -> None:
     """Keeps forms and fieldsets around an article, a main part or a first heading. If that leaves a page without any, hidden parts around one are kept too, and forms around some long paragraphs."""
-    order, stack = [], [root]
-    while stack:
-        node = stack.pop()
-        order.append(node)
-        stack += [c for c in node.children if isinstance(c, Node) and (not c.dropped or c.wraps)]
-    wrapped = any(n.wraps for n in order)
-    for last in (False, True) if wrapped else ():
-        # of each node: whether such a part lies in it, and its long paragraphs
-        inner: dict[int, tuple[bool, int]] = {}
+    if not any(n.wraps for n in nodes):
+        return
+    order = _shown(nodes, True)
+    for last in (False, True):
+        long: dict[int, int] = {}  # paragraphs in a node
+        for node in order:
+            node.marked = False
         for node in reversed(order):
-            shown = [c for c in node.children if isinstance(c, Node) and not c.dropped]
-            marked = node.tag != "header" and any(c.tag in ("article", "main", "h1") or inner[id(c)][0] for c in shown)
-            long = sum(inner[id(c)][1] for c in shown) + (node.tag == "p" and sum(len(c.strip()) for c in node.children if isinstance(c, str)) >= LONG)
-            inner[id(node)] = marked, long
-            if node.dropped and (marked and (last or node.wraps == "form") or last and node.wraps == "form" and long >= MANY):
+            own = node.marked = node.marked and node.tag != "header"
+            paragraphs = long.pop(id(node), 0) + (node.tag == "p" and sum(len(c.strip()) for c in node.children if isinstance(c, str)) >= LONG)
+            if node.dropped and (own and (last or node.wraps == "form") or last and node.wraps == "form" and paragraphs >= MANY):
                 node.dropped = False
-        if inner[id(root)][0]:
+            if not node.dropped and node.parent is not None:
+                node.parent.marked |= own or node.tag in ("article", "main", "h1")
+                long[id(node.parent)] = long.get(id(node.parent), 0) + paragraphs
+        if root.marked:
             break
 
 
-def _drop_others(root: Node) -> None:
-    """Drops parts by their names, but for those that hold an article, a main part or a page's first heading; a header is dropped unless it is the article's."""
-    holds: dict[int, bool] = {}
-    order = list(_walk(root))
-    for node, down in order:
-        if not down:
-            own = node.tag in ("article", "main", "h1", "body")
-            holds[id(node)] = own or any(holds.get(id(c), False) for c in node.children if isinstance(c, Node))
-    for node, down in order:
-        if not down or node.tag in ("html", "body", "main"):
+def _drop_others(nodes: list[Node]) -> None:
+    """Drops parts by their names, but for those that hold an article, a main part or a page's first heading; a header is dropped unless it is the article's. Names that stand for links, or are there in passing, count only where links agree: no text goes for such a name alone."""
+    order = _shown(nodes)
+    for node in order:
+        node.marked = False
+    for node in reversed(order):
+        for c in node.children:
+            if isinstance(c, str):
+                n = len(c.strip())
+                node.text_chars += n
+                if isinstance(c, LinkText):
+                    node.link_chars += n
+        if node.tag == "main" or (node.tag == "article" and node.kind not in (SURE, LINKS)):
+            node.article = True
+        if node.article or node.tag in ("h1", "body"):
+            node.marked = True
+        up = node.parent
+        if up is not None:
+            up.article |= node.article
+            up.marked |= node.marked
+            up.text_chars += node.text_chars
+            up.link_chars += node.link_chars
+    for node in order:
+        up = node.parent
+        if up is not None:
+            node.within = up.within or up.tag in ("article", "main")
+        if node.kind < SURE and node.tag != "header":
             continue
-        named = bool(node.names & OTHER_NAMES) and not node.names & TEXT_NAMES
-        if node.tag == "article":
-            node.dropped = bool(node.names & {"comment", "comments", "ad", "advert", "promo", "related", "reply"})
-        elif node.tag == "header" or (named and node.names & {"header", "masthead"}):
-            up = node.parent
-            while up is not None and up.tag not in ("article", "main"):
-                up = up.parent
-            node.dropped = up is None and not any(holds.get(id(c), False) and c.tag in ("article", "main") for c in node.children if isinstance(c, Node))
-        elif named:
-            node.dropped = not holds[id(node)]
+        links = node.density()
+        if node.tag in ("html", "body", "main"):
+            pass
+        elif node.tag == "article":
+            node.dropped = node.kind == SURE or (node.kind == LINKS and links >= 0.3)
+        elif node.tag == "header" or (node.kind == SURE and node.names & {"header", "masthead"}):
+            node.dropped = not node.within and not node.article
+        elif node.kind == SURE:
+            node.dropped = not node.marked
+        elif node.kind == LINKS:
+            node.dropped = not node.marked and (links >= 0.3 or (node.text_chars < LONG and node.tag not in ("p", "li") and node.tag not in HEADINGS))
+        elif node.kind == PASSING:
+            node.dropped = not node.marked and links >= 0.5
+    for node in order:
+        node.text_chars = node.link_chars = 0
 
 
 def _pieces(root: Node) -> list[tuple[Node, str, int]]:
@@ -190,17 +287,17 @@ def _pieces(root: Node) -> list[tuple[Node, str, int]]:
     def flush(block: Node) -> None:
         nonlocal links
         if run:
-            text = " ".join(unescape("".join(run)).split())
+            text = " ".join("".join(run).split())
             if text:
                 out.append((block, text, min(links, len(text))))
             run.clear()
         links = 0
 
-    # (node, place among its children, in a link, nearest block)
-    stack: list[list] = [[root, 0, False, root]]
+    # [node, place among its children, nearest block]
+    stack: list[list] = [[root, 0, root]]
     while stack:
         frame = stack[-1]
-        node, i, in_link, block = frame
+        node, i, block = frame
         if i == len(node.children):
             stack.pop()
             if node is block:
@@ -209,31 +306,29 @@ def _pieces(root: Node) -> list[tuple[Node, str, int]]:
         frame[1] += 1
         child = node.children[i]
         if isinstance(child, str):
-            run.append(child)
-            if in_link:
-                links += len(child)
+            text = unescape(child) if "&" in child else str(child)
+            run.append(text)
+            if isinstance(child, LinkText):
+                links += len(" ".join(text.split()))
         elif child.tag == "br":
             run.append(" ")
         elif not child.dropped and child.tag not in VOID:
             if child.tag in INLINE:
-                stack.append([child, 0, in_link or child.tag == "a", block])
+                stack.append([child, 0, block])
             else:
                 flush(block)
-                stack.append([child, 0, in_link, child])
+                stack.append([child, 0, child])
         elif child.tag == "hr":
             flush(block)
     return out
 
 
-def _score(pieces: list[tuple[Node, str, int]]) -> dict[int, Node]:
-    """Containers that got points."""
+def _score(pieces: list[tuple[Node, str, int]], nodes: list[Node]) -> list[Node]:
+    """Containers that got points, in the order in which they did."""
     found: dict[int, Node] = {}
     for block, text, links in pieces:
-        up: Node | None = block
-        while up is not None:
-            up.text_chars += len(text)
-            up.link_chars += links
-            up = up.parent
+        block.text_chars += len(text)
+        block.link_chars += links
         points = (1 + text.count(",") + min(len(text) / 100, 3)) * (1 - links / len(text))
         up = block if block.tag not in HEADINGS and block.tag != "p" else block.parent
         for level in range(4):
@@ -244,7 +339,11 @@ def _score(pieces: list[tuple[Node, str, int]]) -> dict[int, Node]:
                 up.points = CONTAINER_POINTS.get(up.tag, 0) + 5 * bool(up.names & TEXT_NAMES)
             up.points += points / (1, 2, 6, 9)[level]
             up = up.parent
-    return found
+    for node in reversed(nodes):  # children come after their parents
+        if node.parent is not None:
+            node.parent.text_chars += node.text_chars
+            node.parent.link_chars += node.link_chars
+    return list(found.values())
 
 
 def _container(best: Node) -> Node:
@@ -255,75 +354,99 @@ def _container(best: Node) -> Node:
             if up.tag == wanted:
                 return up
             up = up.parent
-    while best.parent is not None and best.parent.tag not in ("html", "body") and best.parent.names & TEXT_NAMES:
+    while best.parent is not None and (best.tag in LISTS or (best.parent.tag not in ("html", "body") and best.parent.kind == TEXT)):
         best = best.parent
     return best
 
 
-def extract(html: str | None) -> str:
-    """The main text: its blocks joined by newlines; empty if there is none."""
-    if not html:
-        return ""
-    root = parse(html)
-    _keep_wrappers(root)
-    _drop_others(root)
+def _is_menu(block: Node, text: str, links: int) -> bool:
+    """Whether a piece is one of a list of links."""
+    if links < 0.9 * len(text) or block.tag not in ("li", "ul", "ol", "div", "td"):
+        return False
+    around = block.parent if block.tag == "li" and block.parent is not None else block
+    return around.density() >= 0.9 and sum(isinstance(c, Node) for c in around.children[:50]) >= 2
+
+
+def _chosen(root: Node, nodes: list[Node]) -> list[str]:
     pieces = _pieces(root)
-    found = _score(pieces)
+    found = _score(pieces, nodes)
     if not found:
-        return "\n".join(t for _, t, _ in pieces)
+        return [t for _, t, _ in pieces]
     value = lambda x: x.points * (1 - x.density())
-    top = _container(max(found.values(), key=value))
+    top = _container(max(found, key=value))
     least = max(10.0, 0.2 * value(top))
+    scored = {id(x) for x in found}
     keep = {id(top)}
     for c in top.parent.children if top.parent is not None and top.tag not in ("article", "main", "body") else ():
         if isinstance(c, Node) and c is not top and not c.dropped and c.text_chars:
             text_like = c.tag in ("p", "h1", "h2", "pre", "blockquote") and c.density() < 0.25
             bonus = 0.2 * value(top) if c.names and c.names == top.names else 0.0
-            if text_like or (id(c) in found and value(c) + bonus >= least):
+            if text_like or (id(c) in scored and value(c) + bonus >= least):
                 keep.add(id(c))
-    out, known = [], {}
+    out: list[tuple[str, bool]] = []
+    known = {id(root): id(root) in keep}
     for block, text, links in pieces:
-        up, path, kept = block, [], False
-        while up is not None:
-            if id(up) in known:
-                kept = known[id(up)]
-                break
+        up, path = block, []
+        while id(up) not in known:
             path.append(id(up))
             if id(up) in keep:
-                kept = True
+                known[id(up)] = True
                 break
             up = up.parent
         for p in path:
-            known[p] = kept
-        # a block of links alone is a menu
-        if kept and not (links >= 0.9 * len(text) and block.tag in ("li", "ul", "ol", "div", "td") and _menu(block)):
-            out.append(text)
-    return "\n".join(out)
+            known[p] = known[id(up)]
+        if known[id(block)]:
+            out.append((text, _is_menu(block, text, links)))
+    if top.tag != "article":
+        # a list of links is the article's where its text goes on behind it, and not a menu before or after
+        of_text = [i for i, (t, menu) in enumerate(out) if not menu and len(t) >= LONG]
+        first, last = (of_text[0], of_text[-1]) if of_text else (len(out), -1)
+        out = [(t, menu) for i, (t, menu) in enumerate(out) if not menu or first < i < last]
+    return [t for t, _ in out]
 
 
-def _menu(block: Node) -> bool:
-    around = block.parent if block.tag == "li" and block.parent is not None else block
-    return around.density() >= 0.9 and sum(isinstance(c, Node) for c in around.children) >= 2
+def extract(html: str | None) -> str:
+    """The main text: its blocks joined by newlines; empty if there is none."""
+    if not html:
+        return ""
+    root, nodes = parse(html)
+    _keep_wrappers(root, nodes)
+    _drop_others(nodes)
+    return "\n".join(_chosen(root, nodes))
 
 
-def main_text(pages: DataFrame, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """pages with the main text of each whole page. Row by row, no shuffle; null or empty html gives an empty text."""
+def main_text(pages: DataFrame, html_col: str = "html", out_col: str = "main_text", keep_html: bool = True) -> DataFrame:
+    """pages with the main text of each whole page, and without the html unless keep_html. Row by row, no shuffle; null or empty html gives an empty text."""
     (out_col,) = fresh(pages, out_col)
+    schema = with_fields(pages, (out_col, "string"))
+    if not keep_html:
+        schema = StructType([f for f in schema.fields if f.name != html_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pages_ = batch.column(batch.schema.get_field_index(html_col))
-            yield batch.append_column(out_col, pa.array([extract(x.as_py()) for x in pages_], pa.string()))
+            out = batch.append_column(out_col, pa.array([extract(x.as_py()) for x in pages_], pa.string()))
+            yield out if keep_html else out.select([n for n in out.schema.names if n != html_col])
 
-    return pages.mapInArrow(run, with_fields(pages, (out_col, "string")))
+    return pages.mapInArrow(run, schema)
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of all pages.
 
     Null or empty html, or none but menus and the like: an empty text of 0 characters. Repeated rows are read again. No pages: no rows."""
-    from pyspark.sql import functions as F
-
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    out = main_text(pages)
+    out = main_text(pages, keep_html=False)
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
+#: DuckDB, for the form that the given pages share: one article of h1 and p, inline tags within. Written apart from the operator, which knows nothing of that form.
+OP4_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS body FROM pages),
+b AS (SELECT page_id, unnest(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>')) AS t, generate_subscripts(regexp_split_to_array(replace(body, '<br>', ' '), '</?(?:p|h1)>'), 1) AS i FROM a),
+c AS (SELECT page_id, i, regexp_replace(t, '<[^>]*>', '', 'g') AS t FROM b),
+d AS (SELECT page_id, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS t FROM c),
+e AS (SELECT page_id, i, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM d),
+f AS (SELECT page_id, string_agg(t, chr(10) ORDER BY i) AS text FROM e WHERE t <> '' GROUP BY page_id)
+SELECT a.page_id, a.url, coalesce(f.text, '') AS text, length(coalesce(f.text, ''))::BIGINT AS n_chars FROM a LEFT JOIN f USING (page_id)
+"""

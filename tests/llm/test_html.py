@@ -1,9 +1,12 @@
 """Main text of pages: planted articles among the rest of a page."""
 
 import random
+import time
+
+import pytest
 
 from gaugeworks.llm import html_extract
-from gaugeworks.llm.entry import QUERIES
+from gaugeworks.llm.entry import ORACLE_SQL, QUERIES
 
 SENTENCE = "The quick survey found, after some weeks, that most of the people asked were content"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p {{}}</style><script>var a = "<p>no</p>";</script></head><body>
@@ -94,11 +97,49 @@ def test_frames(spark):
     assert html_extract.main_text(pages.limit(0)).collect() == []
 
 
-def test_query(spark, sf, tables):
-    pages = dict(tables.execute("SELECT page_id, html FROM pages").fetchall())
-    rows = QUERIES["op4_html"](spark, sf).collect()
-    assert len(rows) == len(pages)
-    for r in rows:
-        assert r["text"] == html_extract.extract(pages[r["page_id"]])
-        assert r["n_chars"] == len(r["text"])
-        assert "<script" not in r["text"]
+def test_quotes_open_values_after_an_equals_sign_only():
+    p = paragraphs(3, 11)
+    for opening in ("<p title=don't>", "<p don't>", '<p 5">', "<p title=it's class=x>", "<p title = 'a > b'>", '<p title="it\'s > that">', "<p title='>' \">", "<p =x='a'>", "<p title=>"):
+        assert html_extract.extract(f"<article>{opening}{p[0]}</p><p>{p[1]} isn't lost</p><p>{p[2]}</p></article>") == "\n".join([p[0], f"{p[1]} isn't lost", p[2]])
+    assert html_extract.extract(f"<article><p>{p[0]} <a title=it's href=x>link</a> goes on</p><p>{p[1]}</p></article>") == f"{p[0]} link goes on\n{p[1]}"
+
+
+def test_names_in_passing_and_lists_of_links_in_an_article_stay():
+    p = paragraphs(4, 12)
+    links = "<ul><li><a href='a'>First source</a></li><li><a href='b'>Second source</a></li></ul>"
+    body = f"<h1>A title</h1><p>{p[0]}</p><p class=related-note>{p[1]}</p><p class='related'>{p[2]}</p>{links}<p class='has-sidebar'>{p[3]}</p>"
+    want = "\n".join(["A title", p[0], p[1], p[2], "First source", "Second source", p[3]])
+    assert html_extract.extract(PAGE.format(article=f"<article>{body}</article>")) == want
+    assert html_extract.extract(PAGE.format(article=f"<div class='post-content'>{body}</div>")) == want
+
+
+@pytest.mark.parametrize("name", ["comments", "article-comments", "comment-content", "post-footer", "ad-slot", "adBox", "cookie-notice", "newsletter-signup", "sidebar-left", "main-nav", "related-posts", "share-buttons"])
+def test_parts_named_as_others_go_from_an_article(name):
+    p = paragraphs(3, 13)
+    other = f"<div class='{name}'><h3>Read on</h3><p><a href='x'>One more, of many</a></p></div>"
+    assert html_extract.extract(PAGE.format(article=f"<article><h1>A title</h1><p>{p[0]}</p>{other}<p>{p[1]}</p><p>{p[2]}</p></article>")) == "\n".join(["A title", *p])
+
+
+def test_menus_around_a_plain_container_go():
+    p = paragraphs(3, 14)
+    menu = "<ul><li><a href='a'>Home</a></li><li><a href='b'>News</a></li></ul>"
+    assert html_extract.extract(f"<body><div>{menu}{''.join(f'<p>{x}</p>' for x in p)}{menu}</div></body>") == "\n".join(p)
+
+
+def test_an_inline_end_tag_closes_no_block():
+    assert html_extract.extract("<article><b>one <p>two </b>three</p><p>four</article>") == "one\ntwo three\nfour"
+
+
+@pytest.mark.parametrize("opening", ["<div>", "<b>", "<a href=x>", "<li>", "<p>", "<b><p>a</b>", "<ul><li>", "<table><tr><td>", "<span class=comment>", "</b>", "<", "<a b='c", "<b><li>"])
+def test_time_is_linear_in_depth(opening):
+    def seconds(n):
+        began = time.process_time()
+        html_extract.extract(f"{opening}x" * n)
+        return time.process_time() - began
+
+    seconds(1000)
+    assert seconds(40_000) < 20 * max(seconds(4000), 0.02)
+
+
+def test_query(spark, sf, same):
+    same(QUERIES["op4_html"](spark, sf), ORACLE_SQL["op4_html"])
