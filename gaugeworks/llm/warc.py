@@ -8,7 +8,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -23,6 +23,8 @@ ROLL_BYTES = 64 << 20
 #: Payloads below this many bytes are never revisits.
 REVISIT_BYTES = 1000
 CHUNK = 1 << 16
+#: Tasks that archives are dealt to, at most; more archives are several a task.
+MOST_PARTITIONS = 20_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
@@ -150,64 +152,70 @@ def read_archive(stream, with_payload: bool = False) -> Iterator[dict]:
 def with_revisits(pages: DataFrame, payload_col: str) -> DataFrame:
     """pages with _refers_to: of rows with equal payloads of REVISIT_BYTES at least, all but those with the largest page_id refer to it.
 
-    Digests are counted before the join, so the side that names the responses has a row per repeated payload; a payload that many pages share is a skewed key of the other side, which adaptive execution splits."""
+    Digests are counted before the join, so the side that names the responses has a row per repeated payload; a payload that many pages share is a skewed key of the other side, which adaptive execution splits. Shorter payloads get a key by chance that nothing has, so they are dealt evenly."""
     digest, first, n = fresh(pages, "_digest", "_first", "_n")
     long = F.octet_length(payload_col) >= REVISIT_BYTES
-    keyed = pages.withColumn(digest, F.when(long, F.sha1(payload_col)))
-    firsts = keyed.filter(F.col(digest).isNotNull()).groupBy(digest).agg(F.max("page_id").alias(first), F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).drop(n)
+    keyed = pages.withColumn(digest, F.when(long, F.sha1(payload_col)).otherwise(F.concat(F.lit("-"), F.floor(F.rand(7) * 65536).cast("string"))))
+    firsts = pages.filter(long).groupBy(F.sha1(payload_col).alias(digest)).agg(F.max("page_id").alias(first), F.count(F.lit(1)).alias(n)).filter(F.col(n) > 1).drop(n)
     joined = keyed.join(firsts, digest, "left")
     return joined.withColumn("_refers_to", F.when(~F.col("page_id").eqNullSafe(F.col(first)), F.col(first))).drop(digest, first)
 
 
-def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> int:
-    """Writes archives of page_id, url, payload (binary) and _refers_to to a folder that executors share, and returns the number of records.
+def archive(rows: Iterable[tuple], folder: str, name: str, roll_bytes: int = ROLL_BYTES) -> Iterator[tuple[str, int]]:
+    """Writes rows (page_id, url, payload, refers_to) to archives folder/name-0000.warc.gz, ..., and yields each one's address and number of records when it is complete."""
+    fs, base = _open_fs(folder)
+    fs.create_dir(base, recursive=True)
+    out, size, files, count = None, 0, 0, 0
+    for page_id, url, payload, refers_to in rows:
+        file = f"{name}-{files:04d}.warc.gz"
+        if out is None:
+            out, size, count = fs.open_output_stream(f"{base}/{file}", compression=None), 0, 0
+        data = record(page_id, url, payload or b"", refers_to, refers_to is not None)
+        out.write(data)
+        size += len(data)
+        count += 1
+        if size >= roll_bytes:
+            out.close()
+            out, files = None, files + 1
+            yield f"{folder}/{file}", count
+    if out is not None:
+        out.close()
+        yield f"{folder}/{file}", count
+
+
+def write(pages: DataFrame, folder: str, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+    """Writes archives of page_id, url, payload (binary) and _refers_to to a folder that executors share, and returns the list of them: (path, records), kept as a table beside them.
 
-    A file gets its name by the partition's number and is moved there when complete: a task that runs twice replaces its own files, and no half file is ever read."""
+    Each attempt of a task has archives of its own, named by its number, and the list holds those of the one attempt that Spark took. An attempt that failed, or ran beside another, leaves files that no list names; however it cut its rows, none is lost or doubled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        fs, base = _open_fs(folder)
-        out = name = None
-        size = files = count = 0
+        rows = (tuple(x.as_py() for x in r) for b in batches for r in zip(*(b.column(c) for c in ("page_id", "url", "payload", "_refers_to")), strict=True))
+        for path, n in archive(rows, folder, f"part-{context.partitionId():06d}-{context.taskAttemptId():08d}", roll_bytes):
+            yield pa.RecordBatch.from_pydict({"path": pa.array([path]), "records": pa.array([n], pa.int64())})
 
-        def close() -> None:
-            out.close()
-            final = f"{base}/part-{context.partitionId():06d}-{files:04d}.warc.gz"
-            if fs.get_file_info(final).type != pa.fs.FileType.NotFound:
-                fs.delete_file(final)
-            fs.move(name, final)
-
-        fs.create_dir(base, recursive=True)
-        for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "_refers_to")), strict=True):
-                if out is None:
-                    name = f"{base}/_writing-{context.taskAttemptId()}-{files:04d}"
-                    out, size = fs.open_output_stream(name, compression=None), 0
-                data = record(page_id.as_py(), url.as_py(), payload.as_py() or b"", refers_to.as_py(), refers_to.is_valid)
-                out.write(data)
-                size += len(data)
-                count += 1
-                if size >= roll_bytes:
-                    close()
-                    out, files = None, files + 1
-        if out is not None:
-            close()
-        yield pa.RecordBatch.from_pydict({"n": pa.array([count], pa.int64())})
-
-    columns = pages.select("page_id", "url", "payload", "_refers_to")
-    return columns.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+    written = pages.select("page_id", "url", "payload", "_refers_to").mapInArrow(run, "path string, records long")
+    written.write.parquet(f"{folder}/list")
+    return pages.sparkSession.read.schema(written.schema).parquet(f"{folder}/list")
 
 
 READ_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
-    """The records of all archives in a folder. Spark lists the files and deals them to tasks; a task streams its files."""
+def listed(spark: SparkSession, folder: str) -> DataFrame:
+    """All archives in a folder that others have filled, as a list for read()."""
     # content isn't read here: the column is pruned
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("path")
+
+
+def read(archives: DataFrame, with_payload: bool = False) -> DataFrame:
+    """The records of a list of archives (path). The list is dealt to tasks, an archive to each as far as there are partitions for it; a task streams its archives."""
     names = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
 
+    def batch_of(rows: list[dict]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -219,12 +227,13 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                         rows.append(r)
                         held += 200 + len(r["payload"] or b"")
                         if held > 4 << 20:
-                            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
+                            yield batch_of(rows)
                             rows, held = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in zip(names, kinds, strict=True)], names=list(names))
+                    yield batch_of(rows)
 
-    return files.mapInArrow(run, READ_SCHEMA)
+    n = archives.count()
+    return archives.select("path").repartition(max(1, min(n, MOST_PARTITIONS))).mapInArrow(run, READ_SCHEMA)
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,10 +241,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null html: an empty payload. Null url: no target. Repeated rows with the largest page_id are all responses; a null page_id revisits. No pages: no archive, no rows."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    folder = shared_dir(spark, "warc")
-    if not write(with_revisits(pages, "payload"), folder):
-        return spark.createDataFrame([], READ_SCHEMA).drop("payload", "url")
-    return read(spark, folder).drop("payload", "url")
+    return read(write(with_revisits(pages, "payload"), shared_dir(spark, "warc"))).drop("payload", "url")
 
 
 OP3_SQL = """
