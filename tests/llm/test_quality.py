@@ -18,29 +18,77 @@ def auc(scores, labels):
     return (rank[pos].sum() - pos.sum() * (pos.sum() + 1) / 2) / (pos.sum() * (~pos).sum())
 
 
-def test_scores_are_averages_over_the_whole_text(monkeypatch):
+def test_scores_are_averages_over_the_whole_text_wherever_it_is_cut(monkeypatch):
     rng = random.Random(1)
-    model = quality.train([(*quality.sparse(f"good fine {i}"), 1) for i in range(20)] + [(*quality.sparse(f"bad bad poor {i}"), 0) for i in range(20)], steps=400)
-    texts = [" ".join(rng.choice(["good", "bad", "bad", "é", "東京", "x" * 40]) for _ in range(n)) for n in (0, 1, 5, 3000)] + [None, "", " \n"]
+    model = quality.train([(*quality.sparse(f"good fine {i}"), 1) for i in range(20)] + [(*quality.sparse(f"bad bad poor {i}"), 0) for i in range(20)], visits=400)
+    texts = [" ".join(rng.choice(["good", "bad", "bad", "é", "東京", "x" * 40]) for _ in range(n)) for n in (0, 1, 5, 3000)] + [None, "", " \n", "word " * 500, "  a\n\n   a  a" * 90]
     want = []
     for t in texts:
         ids, n = quality.sparse(t)
-        want.append(float(model.probabilities((n @ model.vectors[ids] / n.sum()) if len(ids) else np.zeros(quality.DIM))))
-    assert np.allclose(model.score(texts), want, atol=1e-5)
-    monkeypatch.setattr(quality, "SEGMENT", 200)  # long texts are read piece by piece
-    assert np.allclose(model.score([texts[2]]), want[2:3], atol=1e-5)
-    assert np.allclose(model.score([texts[3]]), want[3:4], atol=5e-3)  # repeats across a cut aren't seen
+        want.append(float(model.probabilities((n.astype(np.int64) @ model.vectors[ids].astype(np.int64))[None], np.array([n.sum()]))[0]))
+    assert model.score(texts).tolist() == want
+    for segment in (20, 50, 200, 5000):
+        monkeypatch.setattr(quality, "SEGMENT", segment)
+        assert model.score(texts).tolist() == want
+        assert [float(model.score([t])[0]) for t in texts] == want
+
+
+def test_repeated_words_count_across_cuts(monkeypatch):
+    plain = quality.sparse("one two two two three")
+    monkeypatch.setattr(quality, "SEGMENT", 4)
+    cut = quality.sparse("one two two two three")
+    assert all((a == b).all() for a, b in zip(plain, cut, strict=True))
+    assert not np.array_equal(quality.sparse("two two")[0], quality.sparse("two")[0])
+
+
+def test_gradient_is_that_of_the_averaged_model():
+    """One step from the start equals the difference quotient's descent."""
+    text, rate = "some words here", 1e-3
+    ids, n = quality.sparse(text)
+    before, after = quality.train([]), quality.train([(ids, n, 1)], visits=1, rate=rate, vector_rate=rate, batch=1)
+    hidden = (n / n.sum()) @ (before.vectors[ids] / quality.SCALE)
+    # weights are 0 at the start: probabilities are 1/2, and the vectors have no gradient yet
+    assert np.allclose(after.weights, rate * np.outer(hidden, [-0.5, 0.5]), atol=1e-9)
+    assert (after.vectors == before.vectors).all()
+
+    def loss(vectors, weights, bias):
+        z = (n / n.sum()) @ vectors @ weights + bias
+        return -np.log(np.exp(z[1]) / np.exp(z).sum())
+
+    rng = np.random.default_rng(3)
+    vectors, weights = rng.normal(0, 1, (len(ids), quality.DIM)), rng.normal(0, 1, (quality.DIM, 2))
+    bias, h = np.zeros(2), 1e-6
+    z = (n / n.sum()) @ vectors @ weights
+    g = np.exp(z) / np.exp(z).sum() - [0, 1]
+    for i in (0, len(ids) - 1):
+        moved = vectors.copy()
+        moved[i, 2] += h
+        assert abs((loss(moved, weights, bias) - loss(vectors, weights, bias)) / h - (n[i] / n.sum()) * (weights @ g)[2]) < 1e-5
 
 
 def test_learns_and_repeats():
     rows = [(*quality.sparse(f"good fine text {i}"), 1) for i in range(30)] + [(*quality.sparse(f"bad poor junk {i}"), 0) for i in range(30)]
-    a, b = quality.train(rows, steps=2000), quality.train(rows, steps=2000)
+    a, b = quality.train(rows, visits=3000), quality.train(rows, visits=3000)
     assert (a.vectors == b.vectors).all()
     good, bad = a.score(["a good text", "junk and poor"])
     assert good > 0.8 and bad < 0.2
     assert quality.train([]).score(["anything", ""]).tolist() == [0.5, 0.5]
 
 
+def test_fit_counts_repeated_rows_once_and_keeps_its_bounds(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda rows: seen.append(rows) or quality.Model(np.zeros((quality.BUCKETS, quality.DIM), np.int32), np.zeros((quality.DIM, 2)), np.zeros(2)))
+    docs = spark.createDataFrame([(1, "one text")] * 40 + [(1, "another text")] + [(i, f"text {i}") for i in range(2, 60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, quality int")
+    inside = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % 5]
+    quality.fit(docs, labels)
+    assert len(seen[-1]) == len(inside) + (1 in inside)
+    quality.fit(docs, labels, train_rows=10)
+    assert 10 >= len(seen[-1]) >= 9
+    quality.fit(docs, labels, train_bytes=1000)
+    assert 0 < sum(ids.nbytes + n.nbytes for ids, n, _ in seen[-1]) <= 1000
+
+
 def test_fold(spark):
     rows = spark.range(200).select("id", quality.in_fold(F.col("id")).alias("held")).collect()
     assert all(r["held"] == (zlib.crc32(str(r["id"]).encode()) % 5 == 0) for r in rows)
