@@ -18,13 +18,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors see; a local one only if that is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors see. Where that is unset, a local one if all executors are this machine's, otherwise an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file:///tmp/gaugeworks-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of shared_dir() that nothing reads any more, in whatever store it is."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """df, written to the shared folder and read again: later steps don't depend on executors that made it."""
     path = shared_dir(df.sparkSession, what)

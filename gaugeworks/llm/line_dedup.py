@@ -1,18 +1,26 @@
 """Line dedup by levelled sorted runs of line hashes. DataFrame functions only.
 
-Documents come in batches of rising doc_id. The hashes of the lines seen so far lie in runs: tables in the shared folder, dealt and sorted by hash. A batch's lines are anti-joined with the runs, and those that are new become a run of level 0. When a level has FANOUT runs, they are merged into one of the next level."""
+Documents come in batches of rising doc_id. The hashes of the lines seen so far lie in runs: tables in the shared folder, dealt to buckets and sorted by hash. A batch's lines are merge-anti-joined with the runs, bucket by bucket, without a shuffle of the runs; those that are new become a run of level 0. When a level has FANOUT runs, their buckets are merged into one run of the next level.
+
+What a batch drops follows from the runs as they stood, and from the batch itself: lines whose key a run has, and those whose key a smaller doc_id of the batch has."""
 
 from __future__ import annotations
 
+import math
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, fresh, sha256_hex, shared_dir, table
+from .common import ascii_lower, fresh, removed, sha256_hex, shared_dir, table
 
-BATCHES = 4
+#: Bytes of text in a batch, and the least number of batches.
+BATCH_BYTES, LEAST_BATCHES = 1 << 40, 4
 FANOUT = 2
 MIN_CHARS = 10
 BLANK = " \t\n\x0b\x0c\r"
+#: Parts of the documents, by number, that batches are made of.
+QUANTILES = 1024
 
 
 def line_key(line: Column) -> Column:
@@ -20,92 +28,128 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(BLANK)))
 
 
+class Run:
+    """A table with columns h1 and h2 among others, in buckets of these, sorted by them."""
+
+    def __init__(self, rows: DataFrame, buckets: int) -> None:
+        self.spark, self.schema, self.name = rows.sparkSession, rows.schema, f"line_run_{uuid.uuid4().hex}"
+        self.path = shared_dir(self.spark, "line-run")
+        rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.path).saveAsTable(self.name)
+
+    def rows(self) -> DataFrame:
+        """In its buckets: a join on h1 and h2 with what is dealt alike needs no shuffle of it."""
+        return self.spark.table(self.name)
+
+    def files(self) -> DataFrame:
+        """As plain rows: a join deals them anew, so that adaptive execution may split a skewed key of the other side."""
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def remove(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        removed(self.spark, self.path)
+
+
 class Runs:
-    """Levelled runs of (h1, h2, doc): the two hashes of a key and the smallest document that holds it."""
+    """Levelled runs. A key is new in one of them only; a run of level 0 holds all keys of its batch, with `seen` for those that older runs have."""
 
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT) -> None:
+    def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.fanout, self.levels = spark, fanout, []
-
-    def all(self) -> DataFrame | None:
-        """The runs as one table; a key is in one of them only."""
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
-        return out
-
-    def _write(self, rows: DataFrame) -> DataFrame:
-        path = shared_dir(self.spark, "line-run")
-        rows.repartition("h1").sortWithinPartitions("h1", "h2").write.parquet(path)
-        return self.spark.read.schema(rows.schema).parquet(path)
-
-    def absorb(self, keys: DataFrame) -> None:
-        """Adds the keys (h1, h2, doc; each key once) that no run has, and compacts full levels."""
-        seen = self.all()
-        new = keys if seen is None else keys.join(seen.select("h1", "h2"), ["h1", "h2"], "left_anti")
-        run, level = self._write(new), 0
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def all(self) -> list[Run]:
+        return [r for level in self.levels for r in level]
+
+    @staticmethod
+    def _new(run: Run) -> DataFrame:
+        rows = run.rows()
+        return (rows.filter(~F.col("seen")) if "seen" in rows.columns else rows).select("h1", "h2")
+
+    def absorb(self, keys: DataFrame) -> Run:
+        """Marks which of the keys (h1, h2 and others; each key once) the runs have, adds the others as a run, compacts full levels, and returns the marked keys. Whoever takes them removes them, where compaction has not made them superfluous."""
+        marked, seen = keys, F.lit(False)
+        for i, run in enumerate(self.all()):
+            marked = marked.join(self._new(run).withColumn(f"in_{i}", F.lit(True)), ["h1", "h2"], "left")
+            seen = seen | F.coalesce(f"in_{i}", F.lit(False))
+        taken = Run(marked.select(*keys.columns, seen.alias("seen")), self.buckets)
+        run, level = taken, 0
         while True:
             if len(self.levels) == level:
                 self.levels.append([])
             self.levels[level].append(run)
             if len(self.levels[level]) < self.fanout:
-                return
-            merged = self.levels[level][0]
-            for r in self.levels[level][1:]:
-                merged = merged.unionByName(r)
-            self.levels[level] = []
-            run, level = self._write(merged), level + 1
+                return taken
+            merged = self._new(self.levels[level][0])
+            for r in self.levels[level][1:]:  # keys differ: this merges two sorted runs
+                merged = merged.join(self._new(r), ["h1", "h2"], "full_outer")
+            run = Run(merged, self.buckets)
+            for r in self.levels[level]:
+                if r is not taken:
+                    r.remove()
+            self.levels[level], level = [], level + 1
 
+    def remove(self) -> None:
+        for r in self.all():
+            r.remove()
 
-def _bounds(docs: DataFrame, batches: int) -> list[int]:
-    """Ids that part the documents into batches of about equal size."""
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] if batches > 1 else None
-    return sorted({*(cuts or [])})
 
+def _bounds(docs: DataFrame, batch_bytes: int, least: int) -> list[int]:
+    """Ids that part the documents into batches of at most about batch_bytes, `least` at least."""
+    quantiles = F.percentile_approx("doc_id", [i / QUANTILES for i in range(1, QUANTILES)], 10 * QUANTILES)
+    size, at = docs.agg(F.sum(F.octet_length("text")), quantiles).first()
+    n = min(QUANTILES, max(least, math.ceil((size or 0) / batch_bytes)))
+    return sorted({at[i * QUANTILES // n - 1] for i in range(1, n)}) if at else []
 
-def line_flags(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, version, flags) of the rows of docs (doc_id, version, text) that lose lines; flags: for each line in order, whether a smaller doc_id holds its key and the key has MIN_CHARS code points at least.
 
-    A line that very many documents share is one row of a batch's keys after partial aggregation; the join that brings its first document back to the lines is a skewed one which adaptive execution splits. Short lines stay out of the join. Keys are told apart by 128 bits of hash."""
+def dropped_lines(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches: int = LEAST_BATCHES) -> DataFrame:
+    """(doc_id, version, place) of the lines of docs (doc_id, version, text) that a smaller doc_id holds; places count from 1. Lines whose key is shorter than MIN_CHARS code points stay out.
+
+    A line that very many documents share is one row of a batch's keys after partial aggregation; the join that brings the first document of a shared key back to the lines is a skewed one which adaptive execution splits. Keys are told apart by 128 bits of hash. Only what is returned is left in the shared folder."""
     spark = docs.sparkSession
-    cuts = _bounds(docs, batches)
+    cuts = _bounds(docs, batch_bytes, least_batches)
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("doc_id") > c).cast("int")
-    line = docs.select("doc_id", "version", F.posexplode(F.split("text", "\n", -1)).alias("place", "line")).withColumn("key", line_key(F.col("line")))
-    long = F.char_length("key") >= MIN_CHARS
-    # the first argument seeds the hash of the next, so these are two independent hashes
-    hashed = line.select("doc_id", "version", "place", F.when(long, F.xxhash64(F.lit(1), "key")).alias("h1"), F.when(long, F.xxhash64(F.lit(2), "key")).alias("h2"), batch.alias("batch"))
-    path = shared_dir(spark, "lines")
-    hashed.write.partitionBy("batch").parquet(path)
-    lines = spark.read.schema("doc_id long, version long, place int, h1 long, h2 long, batch int").parquet(path)
-    keyed = lines.filter(F.col("h1").isNotNull())
-    runs = Runs(spark)
-    for b in range(len(cuts) + 1):
-        runs.absorb(keyed.filter(F.col("batch") == b).groupBy("h1", "h2").agg(F.min("doc_id").alias("doc")))
-    # all keys are in the runs, each once, so lines keep their number
-    found = keyed.join(runs.all(), ["h1", "h2"]).select("doc_id", "version", "place", (F.col("doc") < F.col("doc_id")).alias("drop"))
-    short = lines.filter(F.col("h1").isNull()).select("doc_id", "version", "place", F.lit(False).alias("drop"))
-    # a set: repeated rows say the same of each place
-    places = F.array_sort(F.collect_set(F.struct("place", "drop")))
-    flags = found.unionByName(short).groupBy("doc_id", "version").agg(F.max("drop").alias("any"), places.alias("places"))
-    return flags.filter("any").select("doc_id", "version", F.transform("places", lambda x: x["drop"]).alias("flags"))
 
+    def hashes(line: Column) -> Column:
+        key = line_key(line)
+        # the first argument seeds the hash, so these are two independent ones
+        return F.when(F.char_length(key) >= MIN_CHARS, F.struct(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2")))
 
-def dedup(docs: DataFrame, batches: int = BATCHES, text_col: str = "text") -> DataFrame:
+    lines, drops = shared_dir(spark, "lines"), shared_dir(spark, "dropped-lines")
+    docs.select("doc_id", "version", F.transform(F.split("text", "\n", -1), hashes).alias("lines"), batch.alias("batch")).write.partitionBy("batch").parquet(lines)
+    schema = "doc_id long, version long, lines array<struct<h1: long, h2: long>>, batch int"
+    runs = Runs(spark)
+    for b in range(len(cuts) + 1):
+        own = spark.read.schema(schema).parquet(lines).filter(F.col("batch") == b).select("doc_id", "version", F.posexplode("lines").alias("place", "h")).filter("h is not null")
+        own = own.select("doc_id", "version", (F.col("place") + 1).alias("place"), "h.h1", "h.h2")
+        taken = runs.absorb(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+        shared = taken.files().filter("seen or hi > lo").select("h1", "h2", F.when(~F.col("seen"), F.col("lo")).alias("lo"))
+        found = own.join(shared, ["h1", "h2"]).filter("lo is null or doc_id > lo")
+        found.select("doc_id", "version", "place").write.mode("append").parquet(drops)
+        if taken not in runs.all():
+            taken.remove()
+    runs.remove()
+    removed(spark, lines)
+    return spark.read.schema("doc_id long, version long, place int").parquet(drops)
+
+
+def dedup(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches: int = LEAST_BATCHES, text_col: str = "text") -> DataFrame:
     """docs with its texts less the dropped lines, and n_lines and n_dropped (by these names plus underscores where docs has them).
 
     Lines are parted by \\n. A null or empty text is one empty line, which is kept; null stays null. Rows that repeat a doc_id are one document: none of them drops the others' lines. Rows without doc_id keep all their lines and drop nobody's."""
-    n_lines, n_dropped, version, flags, lines = fresh(docs, "n_lines", "n_dropped", "_version", "_flags", "_lines")
+    n_lines, n_dropped, version, places, lines, kept = fresh(docs, "n_lines", "n_dropped", "_version", "_places", "_lines", "_kept")
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.withColumn(version, F.xxhash64(text))
     parts = keyed.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col(version).alias("version"), text.alias("text"))
-    found = line_flags(parts, batches).select("doc_id", F.col("version").alias(version), F.col("flags").alias(flags))
+    # a set: repeated rows say the same
+    found = dropped_lines(parts, batch_bytes, least_batches).groupBy("doc_id", F.col("version").alias(version)).agg(F.collect_set("place").alias(places))
     joined = keyed.join(found, ["doc_id", version], "left").withColumn(lines, F.split(text, "\n", -1))
-    kept = F.filter(lines, lambda x, i: ~F.element_at(F.col(flags), i + 1))
+    joined = joined.withColumn(kept, F.when(F.col(places).isNotNull(), F.array_except(F.sequence(F.lit(1), F.size(lines)), F.col(places))))
+    left = F.array_join(F.transform(kept, lambda i: F.element_at(F.col(lines), i)), "\n")
     return joined.select(
-        *[F.when(F.col(flags).isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c) for c in docs.columns],
+        *[F.when(F.col(kept).isNull(), F.col(c)).otherwise(left).alias(c) if c == text_col else F.col(c) for c in docs.columns],
         F.size(lines).cast("long").alias(n_lines),
-        F.when(F.col(flags).isNull(), F.lit(0)).otherwise(F.size(F.filter(flags, lambda x: x))).cast("long").alias(n_dropped),
+        F.when(F.col(kept).isNull(), F.lit(0)).otherwise(F.size(lines) - F.size(kept)).cast("long").alias(n_dropped),
     )
 
 

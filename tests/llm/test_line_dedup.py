@@ -44,8 +44,8 @@ def run(spark, docs, **kw):
 def test_against_brute_force(spark):
     docs = [*sample(1), (None, "A line that is shared"), (None, None), (70, None), (71, ""), (72, "A line that is shared\n" * 40)]
     want = brute(docs)
-    for batches in (1, 4, 7):
-        rows = run(spark, docs, batches=batches)
+    for least, size in ((1, 1 << 40), (4, 1 << 40), (1, 3000)):
+        rows = run(spark, docs, least_batches=least, batch_bytes=size)
         assert len(rows) == len(docs)
         for r, _ in zip(rows, docs, strict=True):
             assert r["N_LINES"] == "own"
@@ -59,12 +59,34 @@ def test_null_stays_null(spark):
 
 def test_runs_are_compacted_by_levels(spark):
     runs = line_dedup.Runs(spark, fanout=2)
-    shape = []
+    shape, seen = [], []
     for b in range(4):
-        runs.absorb(spark.range(b * 5, b * 5 + 10).select(F.col("id").alias("h1"), F.col("id").alias("h2"), F.lit(b).cast("long").alias("doc")))
+        taken = runs.absorb(spark.range(b * 5, b * 5 + 10).select(F.col("id").alias("h1"), F.col("id").alias("h2")).groupBy("h1", "h2").agg(F.lit(b).alias("b")))
+        seen.append(sorted(r["h1"] for r in taken.files().filter("seen").collect()))
         shape.append([len(x) for x in runs.levels])
     assert shape == [[1], [0, 1], [1, 1], [0, 0, 1]]
-    assert sorted((r["h1"], r["doc"]) for r in runs.all().collect()) == [(i, 0 if i < 10 else (i - 10) // 5 + 1) for i in range(25)]
+    assert seen == [[], *[list(range(b * 5, b * 5 + 5)) for b in (1, 2, 3)]]
+    (last,) = runs.all()
+    assert sorted((r["h1"], r["h2"]) for r in last.rows().collect()) == [(i, i) for i in range(25)]
+    runs.remove()
+
+
+def test_runs_are_joined_without_a_shuffle_of_them(spark):
+    runs = line_dedup.Runs(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for b in range(3):
+            runs.absorb(spark.range(b * 100, b * 100 + 150).select(F.xxhash64("id").alias("h1"), F.hash("id").cast("long").alias("h2")).groupBy("h1", "h2").agg(F.lit(b).alias("b")))
+        keys = spark.range(500).select(F.xxhash64("id").alias("h1"), F.hash("id").cast("long").alias("h2")).groupBy("h1", "h2").agg(F.lit(9).alias("b"))
+        joined = keys
+        for i, r in enumerate(runs.all()):
+            joined = joined.join(runs._new(r).withColumn(f"in_{i}", F.lit(True)), ["h1", "h2"], "left")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert len(runs.all()) == 2 and plan.count("SortMergeJoin") == 2
+        assert plan.count("Exchange hashpartitioning") == 1  # that of the keys' aggregation
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        runs.remove()
 
 
 def test_no_rows(spark):
