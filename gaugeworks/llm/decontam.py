@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections import defaultdict
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import fresh, table
+from .common import fresh, removed, shared_dir, table
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables are sent to the executors at once; a larger benchmark is searched for in blocks of this size.
@@ -25,56 +30,102 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class WuManber:
-    """Patterns of one class of lengths.
+    """Patterns of one class of lengths: stretches of `blob` from `starts` on, of `lengths`.
 
-    m: the shortest pattern's length. shift: for each block of `block` bytes within the patterns' first m bytes, how far its last place is from m; other blocks let the search move by m - block + 1. buckets: by the block that ends at m, the patterns by their first m bytes."""
+    m: the shortest pattern's length. table: for each hash of a block of `block` bytes within the patterns' first m bytes, how far its last place is from m at least; other blocks let the search move by m - block + 1. Blocks that share a hash share the smaller shift, which skips nothing. suffixes: the hashes of the blocks that end at m, in order; of equal ones, the patterns are a bucket."""
 
-    def __init__(self, patterns: Iterable[bytes]) -> None:
-        patterns = list(patterns)
-        self.m = m = min(map(len, patterns))
+    def __init__(self, blob: bytes, starts: np.ndarray, lengths: np.ndarray) -> None:
+        self.blob = blob
+        self.m = m = int(lengths.min())
         # enough bytes that a block of other text is seldom one of the patterns'
-        self.block = b = min(m, max(2, math.ceil(math.log(2 * m * len(patterns), 8))))
-        self.far = m - b + 1
-        self.shift: dict[bytes, int] = {}
-        self.buckets: dict[bytes, dict[bytes, list[bytes]]] = defaultdict(lambda: defaultdict(list))
-        for p in patterns:
-            for j in range(b, m + 1):
-                k = p[j - b : j]
-                if m - j < self.shift.get(k, self.far):
-                    self.shift[k] = m - j
-            self.buckets[p[m - b : m]][p[:m]].append(p)
-        self.buckets = {k: dict(v) for k, v in self.buckets.items()}
-
-    def find(self, text: bytes) -> Iterator[tuple[int, bytes]]:
-        """(start, pattern) of all occurrences, overlapping ones too."""
-        m, b, far, get, at, n = self.m, self.block, self.far, self.shift.get, self.m, len(text)
+        self.block = b = min(m, max(2, math.ceil(math.log(2 * m * len(starts), 8))))
+        self.far = far = min(255, m - b + 1)
+        near = np.full(len(blob) + 1, far, np.uint8)  # by where a block ends in blob
+        for j in range(max(b, m - far + 1), m + 1):
+            near[starts + j] = np.minimum(near[starts + j], m - j)
+        ends = np.flatnonzero(near < far)
+        self.mask = (1 << max(8, (4 * len(ends)).bit_length())) - 1
+        self.table = bytearray([far]) * (self.mask + 1)
+        for end, shift in zip(ends.tolist(), near[ends].tolist(), strict=True):
+            h = crc32(blob[end - b : end]) & self.mask
+            if shift < self.table[h]:
+                self.table[h] = shift
+        last = np.array([crc32(blob[s + m - b : s + m]) & self.mask for s in starts.tolist()], np.uint32)
+        order = np.argsort(last, kind="stable")
+        self.suffixes, self.order = array("I", last[order].tolist()), array("I", order.tolist())
+        self.starts, self.lengths = array("I", starts.tolist()), array("I", lengths.tolist())
+
+    def find(self, text: bytes) -> Iterator[tuple[int, int]]:
+        """(start, number of the pattern) of all occurrences, overlapping ones too."""
+        m, b, table, mask, suffixes, blob, at, n = self.m, self.block, self.table, self.mask, self.suffixes, self.blob, self.m, len(text)
         while at <= n:
-            k = text[at - b : at]
-            step = get(k, far)
+            h = crc32(text[at - b : at]) & mask
+            step = table[h]
             if step:
                 at += step
                 continue
-            for p in self.buckets[k].get(text[at - m : at], ()):
-                if text.startswith(p, at - m):
+            for k in range(bisect_left(suffixes, h), len(suffixes)):
+                if suffixes[k] != h:
+                    break
+                p = self.order[k]
+                start = self.starts[p]
+                if text.startswith(blob[start : start + self.lengths[p]], at - m):
                     yield at - m, p
             at += 1
 
 
 class Windows:
-    """The windows of some benchmark items, ready to be searched for."""
+    """The windows of some benchmark items, ready to be searched for: about ten bytes of arrays for each byte of the items' text."""
 
     def __init__(self, items: Iterable[tuple[str, str | None]], window: int = WINDOW) -> None:
-        owners: dict[bytes, set[str]] = defaultdict(set)
-        for item, text in items:
-            words = words_of(text)
-            for i in range(max(1, len(words) - window + 1) if words else 0):
-                owners[b" " + b" ".join(words[i : i + window]) + b" "].add(item)
-        self.owners = {k: sorted(v) for k, v in owners.items()}
+        self._fill(((item, words_of(text)) for item, text in items), window)
+
+    @classmethod
+    def of_words(cls, items: Iterable[tuple[str, list[bytes]]], window: int = WINDOW) -> Windows:
+        made = cls.__new__(cls)
+        made._fill(items, window)
+        return made
+
+    def _fill(self, items: Iterable[tuple[str, list[bytes]]], window: int) -> None:
+        blob, starts, lengths, owner, names = bytearray(), [], [], [], []
+        for item, words in items:
+            if not words:
+                continue
+            k = min(window, len(words))
+            spaces = len(blob) + np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+            blob += b" " + b" ".join(words) + b" "
+            starts.append(spaces[: len(words) - k + 1])
+            lengths.append(spaces[k:] + 1 - starts[-1])
+            owner.append(np.full(len(starts[-1]), len(names)))
+            names.append(item)
+        self.names, self.searches, self.classes = names, [], []
+        if not names:
+            return
+        blob = bytes(blob)
+        starts, lengths, owner = (np.concatenate(x).astype(np.int64) for x in (starts, lengths, owner))
+        first, owners = self._distinct(blob, starts, lengths, owner)
         # short windows would keep the shifts of the others small
-        classes: dict[int, list[bytes]] = defaultdict(list)
-        for p in self.owners:
-            classes[0 if len(p) < 12 else 1 if len(p) < 32 else 2].append(p)
-        self.searches = [WuManber(v) for _, v in sorted(classes.items())]
+        kind = np.digitize(lengths[first], (12, 32))
+        for c in np.unique(kind):
+            at = np.flatnonzero(kind == c)
+            self.searches.append(WuManber(blob, starts[first[at]], lengths[first[at]]))
+            of = [owners[i] for i in at.tolist()]
+            self.classes.append((array("I", np.cumsum([0, *map(len, of)]).tolist()), array("I", np.concatenate(of).tolist())))
+
+    @staticmethod
+    def _distinct(blob: bytes, starts: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """One of each set of equal windows, and the items that have it."""
+        text = lambda i: blob[starts[i] : starts[i] + lengths[i]]
+        h = np.fromiter((int.from_bytes(hashlib.blake2b(blob[s : s + n], digest_size=8).digest(), "little") for s, n in zip(starts.tolist(), lengths.tolist(), strict=True)), np.uint64, len(starts))
+        order = np.argsort(h, kind="stable")
+        first, owners = [], []
+        for same in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
+            while len(same):  # hashes may meet, texts decide
+                here = np.array([True]) if len(same) == 1 else np.array([text(i) == text(same[0]) for i in same])
+                first.append(same[0])
+                owners.append(np.unique(owner[same[here]]))
+                same = same[~here]
+        return np.array(first), owners
 
     def search(self, text: str | None) -> tuple[int, list[int], list[str]]:
         """Number of words, [first, end, ...] of the hit words in rising order, and the items."""
@@ -83,11 +134,11 @@ class Windows:
             return 0, [], []
         data = b" " + b" ".join(words) + b" "
         found: dict[int, int] = {}
-        items: set[str] = set()
-        for search in self.searches:
+        items: set[int] = set()
+        for search, (edge, owner) in zip(self.searches, self.classes, strict=True):
             for start, p in search.find(data):
-                found[start] = max(found.get(start, 0), len(p))
-                items.update(self.owners[p])
+                found[start] = max(found.get(start, 0), search.lengths[p])
+                items.update(owner[edge[p] : edge[p + 1]])
         spans: list[int] = []
         at = word = 0
         for start, length in sorted(found.items()):
@@ -98,7 +149,7 @@ class Windows:
                 spans[-1] = max(spans[-1], last)
             else:
                 spans += [word, last]
-        return len(words), spans, sorted(items)
+        return len(words), spans, sorted({self.names[i] for i in items})
 
 
 def merged(a: list[int], b: list[int]) -> list[int]:
@@ -111,30 +162,51 @@ def merged(a: list[int], b: list[int]) -> list[int]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[Broadcast]:
-    """The benchmark's windows in tables of a checked size. Items are dealt to blocks by a hash of their text; null ids count as "null"."""
+def _stretches(words: list[bytes], most: int, window: int = WINDOW) -> Iterator[tuple[list[bytes], int]]:
+    """A long item's words in overlapping stretches of about `most` bytes that have all its windows between them, with their bytes."""
+    begin = 0
+    while True:
+        end, size = begin, 0
+        while end < len(words) and (size < most or end - begin < window):
+            size += len(words[end]) + 1
+            end += 1
+        yield words[begin:end], size
+        if end >= len(words):
+            return
+        begin = end - window + 1
+
+
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Broadcast]:
+    """The benchmark's windows in tables of a bounded size, one after the other. Items come to the driver one by one; null ids count as "null". A longer item is spread over several tables."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), text.alias("text")).distinct()
-    size = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    n = max(1, math.ceil(size / block_bytes))
     sc = benchmark.sparkSession.sparkContext
-    out = []
-    for k in range(n):
-        part = rows.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == k)
-        windows = Windows((r["item"], r["text"]) for r in part.toLocalIterator())
-        if windows.owners:
-            out.append(sc.broadcast(windows))
-    return out
-
-
-def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """docs with n_words, hit_spans (first and end of each run of hit words) and hit_items (sorted as strings), by these names plus underscores where docs has them. No shuffle: each block of windows is searched for in each row in turn."""
+    block, held = [], 0
+    for r in rows.toLocalIterator():
+        for words, size in _stretches(words_of(r["text"]), block_bytes):
+            if block and held + size > block_bytes:
+                yield sc.broadcast(Windows.of_words(block))
+                block, held = [], 0
+            if words:
+                block.append((r["item"], words))
+                held += size
+    if block:
+        yield sc.broadcast(Windows.of_words(block))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES, keep_text: bool = True) -> DataFrame:
+    """docs with n_words, hit_spans (first and end of each run of hit words) and hit_items (sorted as strings), by these names plus underscores where docs has them; without the text unless keep_text. No shuffle.
+
+    A benchmark of more than block_bytes is searched for block by block: rows with what is found so far are written to the shared folder and read for the next block, so that workers hold one block's table only."""
     n_words, spans, items = fresh(docs, "n_words", "hit_spans", "hit_items")
     out = docs.withColumns({n_words: F.lit(0).cast("long"), spans: F.array().cast("array<int>"), items: F.array().cast("array<string>")})
-    schema = out.schema
-    for table_ in blocks(benchmark, block_bytes) or [docs.sparkSession.sparkContext.broadcast(Windows([]))]:
+    whole = out.schema
+    spark = docs.sparkSession
+
+    def searched(rows: DataFrame, table_: Broadcast, drop: bool) -> DataFrame:
+        schema = StructType([f for f in whole.fields if not (drop and f.name == text_col)])
 
-        def search(batches: Iterator[pa.RecordBatch], table_: Broadcast = table_) -> Iterator[pa.RecordBatch]:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = table_.value
             for batch in batches:
                 at = {n: batch.schema.get_field_index(n) for n in (text_col, n_words, spans, items)}
@@ -146,10 +218,21 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_by
                     all_items.append(sorted({*i, *i2}) if i and i2 else i or i2)
                 for name, values in ((n_words, counts), (spans, all_spans), (items, all_items)):
                     batch = batch.set_column(at[name], name, pa.array(values, batch.schema.field(at[name]).type))
-                yield batch
+                yield batch.select(schema.names)
 
-        out = out.mapInArrow(search, schema)
-    return out
+        return rows.mapInArrow(search, schema)
+
+    tables = blocks(benchmark, block_bytes)
+    table_ = next(tables, None) or spark.sparkContext.broadcast(Windows([]))
+    path = None
+    while (after := next(tables, None)) is not None:
+        before, path = path, shared_dir(spark, "searched")
+        searched(out, table_, False).write.parquet(path)
+        table_.unpersist()
+        if before:
+            removed(spark, before)
+        out, table_ = spark.read.schema(whole).parquet(path), after
+    return searched(out, table_, not keep_text)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_hits: int = 0) -> DataFrame:
@@ -168,7 +251,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null or empty text: no words, not contaminated. Items without words have no window. Equal windows of several items count for each of them; a repeated row is searched again. An empty benchmark: nothing is hit."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = hits(docs, table(spark, sf_dir, "benchmark"))
+    found = hits(docs, table(spark, sf_dir, "benchmark"), keep_text=False)
     return found.select("doc_id", "n_words", n_hit("hit_spans").alias("n_hit"), F.size("hit_items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("hit_items", ","), "UTF-8"), 256).alias("items_sha256")).withColumn("contaminated", F.col("n_hit") > 0)
 
 

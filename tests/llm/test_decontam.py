@@ -1,8 +1,12 @@
 """Decontamination against a search word by word."""
 
 import hashlib
+import pickle
 import random
 import re
+import tracemalloc
+
+import numpy as np
 
 from gaugeworks.llm import decontam
 from gaugeworks.llm.entry import ORACLE_SQL, QUERIES
@@ -46,10 +50,33 @@ def test_windows_against_brute_force():
 def test_shifts_never_skip_a_match():
     rng = random.Random(6)
     patterns = sorted({bytes(rng.choice(b"abcd ") for _ in range(rng.randrange(3, 20))) for _ in range(80)})
-    search = decontam.WuManber(patterns)
+    blob, starts = b"".join(patterns), np.cumsum([0, *map(len, patterns[:-1])])
+    search = decontam.WuManber(blob, starts, np.array([len(p) for p in patterns]))
     text = bytes(rng.choice(b"abcd ") for _ in range(4000))
     want = sorted((i, p) for p in patterns for i in range(len(text)) if text.startswith(p, i))
-    assert sorted(search.find(text)) == want
+    assert sorted((i, patterns[p]) for i, p in search.find(text)) == want
+
+
+def test_stretches_of_a_long_item_have_all_its_windows():
+    rng = random.Random(9)
+    for n, most, window in ((0, 50, 10), (7, 50, 10), (10, 1, 10), (500, 50, 10), (500, 400, 3), (501, 10**6, 10)):
+        words = [f"w{rng.randrange(1000)}".encode() for _ in range(n)]
+        parts = list(decontam._stretches(words, most, window))
+        windows = {tuple(words[i : i + window]) for i in range(max(1, n - window + 1))}
+        assert {tuple(p[i : i + window]) for p, _ in parts for i in range(max(1, len(p) - window + 1))} == windows
+        assert all(size == sum(len(w) + 1 for w in p) for p, size in parts)
+
+
+def test_table_is_compact():
+    rng = random.Random(10)
+    text = " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 10))) for _ in range(150_000))
+    assert 900_000 < len(text) < 1_100_000
+    tracemalloc.start()
+    windows = decontam.Windows([("one", text[:500_000]), ("two", text[500_000:])])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 25 * len(text) and len(pickle.dumps(windows)) < 25 * len(text)  # 8 MB of text: less than 200 MB
+    assert windows.search(text[1000:2000])[2] == ["one"]
 
 
 def test_merged_spans():
