@@ -19,6 +19,8 @@ GROUP_BYTES = 2 << 20
 RANGES = 500
 #: Groups whose highest ids are looked up by broadcast; more are joined by a shuffle.
 GROUPS_BROADCAST = 1_000_000
+#: Groups whose order is found together.
+STRETCH = 4096
 BLANKS = "[ \\t\\n\\x0b\\f\\r]+"
 
 
@@ -83,6 +85,17 @@ def grouped_by_id(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> tuple[Data
     return docs.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at).cast("long")), len(cuts) * finer
 
 
+def _lower_parts(tops: DataFrame) -> DataFrame:
+    """(part, next_part): the next lower of the groups that there are, after the lowest the highest. Looked up within stretches of STRETCH numbers; only the stretches themselves, a row for 8 GB of text, are put in one order."""
+    stretch = F.floor(F.col("part") / STRETCH).alias("_stretch")
+    falling = Window.partitionBy("_stretch").orderBy(F.col("part").desc())
+    within = tops.select("part", stretch).withColumn("_lower", F.lead("part").over(falling))
+    order = Window.orderBy(F.col("_stretch").desc())
+    stretches = tops.groupBy(stretch).agg(F.max("part").alias("_top"))
+    around = stretches.select("_stretch", F.lead("_top").over(order).alias("_below"), F.max("_top").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_highest"))
+    return within.join(around, "_stretch").select("part", F.coalesce("_lower", "_below", "_highest").alias("next_part"))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) with part, place, next_part, next_place, next_text: the next document by falling doc_id, after the last the first. Rows of one doc_id are ordered by text.
 
@@ -91,8 +104,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     by_part = Window.partitionBy("part").orderBy(F.col("doc_id").desc(), "text")
     row = parted.repartition(n, "part").select("part", "doc_id", "text", F.row_number().over(by_part).alias("place"), F.lead("text").over(by_part).alias("_lead"), F.lead(F.lit(True)).over(by_part).alias("_more"))
     tops = parted.groupBy("part").agg(F.max("doc_id").alias("top"))
-    order = Window.orderBy(F.col("part").desc())  # a row per group
-    after = tops.select("part", F.lead("part").over(order).alias("_lower"), F.max("part").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_highest")).select("part", F.coalesce("_lower", "_highest").alias("next_part"))
+    after = _lower_parts(tops)
     # the first text of each group: of the documents with the highest ids, one per group
     named = tops.withColumnRenamed("part", "_p")
     heads = parted.join(F.broadcast(named) if n <= GROUPS_BROADCAST else named, (F.col("part") == F.col("_p")) & F.col("doc_id").eqNullSafe(F.col("top"))).groupBy("part").agg(F.min("text").alias("_head"))

@@ -18,8 +18,8 @@ SLOT_ROWS = 50_000
 def rendezvous(key: Column, weights: Sequence[float], first: int = 0) -> Column:
     """struct(score, shard) of the shard with the highest score -weight / ln(u), u a uniform number in (0, 1) hashed from key and shard.
 
-    Each shard's score depends on the key, its own number and its own weight only. So a further shard takes just the records in which it wins, and each shard gets its weight's part of the keys. A null key is a key like others."""
-    scores = []
+    Each shard's score depends on the key as text, its own number and its own weight only. So a further shard takes just the records in which it wins, each shard gets its weight's part of the keys, and a key's type makes no difference. A null key is a key like others."""
+    scores, key = [], key.cast("string")
     for s, w in enumerate(weights, first):
         if w <= 0:
             raise ValueError("a weight must be above 0")
@@ -44,10 +44,10 @@ def shard(docs: DataFrame, key: str = "doc_id", weights: Sequence[float] = (1.0,
 def slots(sharded: DataFrame, rows: int, key: str = "doc_id", order: Sequence[str] = (), shard_col: str = "shard", n_shards: int = 16) -> DataFrame:
     """sharded with slot: 0, 1, ... within each shard, without gaps.
 
-    A shard's rows are dealt into cells by a hash of the key, so that no task numbers a whole shard; a cell's first slot is the sum of the counts of the cells before it. Counting reads the key column only. Rows that repeat one key share a cell; they are ordered by `order`, and equal rows are interchangeable."""
+    A shard's rows are dealt into cells by a hash of the key, so that no task numbers a whole shard; a cell's first slot is the sum of the counts of the cells before it. Counting reads the key and the columns of `order` only. Rows are dealt and ordered by key and `order`: those that repeat one key share a cell only if they are equal in these, and then they are interchangeable."""
     cells = max(16, math.ceil(rows / n_shards / SLOT_ROWS))
     cell, count, base, rank = fresh(sharded, "_cell", "_count", "_base", "_rank")
-    dealt = sharded.withColumn(cell, F.pmod(F.xxhash64(F.lit(-1), F.col(key)), F.lit(cells)))
+    dealt = sharded.withColumn(cell, F.pmod(F.xxhash64(F.lit(-1), F.col(key).cast("string"), *order), F.lit(cells)))
     sums = (
         dealt.groupBy(shard_col, cell)
         .agg(F.count(F.lit(1)).alias(count))

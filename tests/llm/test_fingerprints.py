@@ -73,8 +73,9 @@ def test_next_document_whatever_the_groups(spark, monkeypatch):
     docs = docs_with_hard_cases()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     want = sorted((d, t, after) for d, t, _, after in edited(docs))
-    for size, limit in ((200, 10**6), (1000, 2), (1 << 21, 10**6)):
+    for size, limit, stretch in ((200, 10**6, 4096), (200, 10**6, 3), (1000, 2, 1), (1 << 21, 10**6, 4096)):
         monkeypatch.setattr(fingerprints, "GROUPS_BROADCAST", limit)
+        monkeypatch.setattr(fingerprints, "STRETCH", stretch)
         monkeypatch.setattr(fingerprints, "grouped_by_id", lambda d, s=size, f=fingerprints.grouped_by_id: f(d, s))
         rows = fingerprints.with_next(frame).collect()
         monkeypatch.undo()

@@ -86,3 +86,20 @@ def test_no_python_on_the_executors(spark, sf):
     for name in ("op6_sharding", "op9_line_dedup", "op10_fingerprints"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
         assert not any(x in plan for x in ("Python", "Arrow", "Pandas"))
+
+
+def test_shards_are_those_of_the_highest_score(spark):
+    """Scores worked out anew, by a library's hash."""
+    import math
+    import struct
+
+    import xxhash
+
+    def score(key, s, weight=1.0):
+        h = xxhash.xxh64(str(key).encode(), seed=xxhash.xxh64(struct.pack("<i", s), seed=42).intdigest()).intdigest()
+        return -weight / math.log(((h >> 11) + 0.5) * 2.0**-53), s
+
+    for kind in ("int", "long", "string"):
+        for r in sharding.shard(spark.range(300).select(F.col("id").cast(kind).alias("doc_id"))).collect():
+            assert r["shard"] == max(score(r["doc_id"], s) for s in range(16))[1]
+            assert r["grown_shard"] == max(score(r["doc_id"], s) for s in range(17))[1]
