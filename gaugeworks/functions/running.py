@@ -4,26 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Stretches of the order per group.
+#: Rows of a group that one task sums up.
+LARGE = 1_000_000
+#: Stretches of the order, where a group has more.
 STRETCHES = 64
 
 
-def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), stretches: int = STRETCHES) -> DataFrame:
-    """df with, for each column of `sums`, the sum over all rows of the group that come before, under the name it maps to. `order` must be unique in a group.
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group."""
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
-    The order's range is cut into equal stretches, which are summed on their own: a window runs within a stretch, another over the few totals of stretches. So a group as large as the table is still dealt to many tasks."""
-    by = list(by)
-    ends = df.groupBy(*by).agg(F.min(order).alias("_low"), F.max(order).alias("_high"))
-    placed = df.join(F.broadcast(ends), by) if by else df.crossJoin(F.broadcast(ends))  # one row per group
-    width = (F.col("_high") - F.col("_low")).cast("double")
-    placed = placed.withColumn("_part", F.when(width > 0, F.least(F.lit(stretches - 1), F.floor((F.col(order) - F.col("_low")).cast("double") / width * stretches).cast("int"))).otherwise(F.lit(0))).drop("_low", "_high")
-    within = Window.partitionBy(*by, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    across = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if by else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+
+def window(by: Sequence[str], *more: str):
+    keys = [*by, *more]
+    return Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+
+
+def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[str] = (), large: int | None = None, stretches: int = STRETCHES, largest: int | None = None) -> DataFrame:
+    """df with, for each column of `sums`, the sum over all rows of the group that come before, under the name it maps to. `order`, a number or a text, must be unique in a group. df is read several times; `largest` is largest_group() of it, if known.
+
+    Groups of up to `large` rows are summed by a window each. If one has more, the order is cut at quantiles into stretches, which are summed on their own: a window runs within a stretch of a group, another over the few totals of its stretches. So a group as large as the table is still dealt to many tasks, however its values lie; the sums are the same."""
+    by, large = list(by), LARGE if large is None else large  # LARGE as it is now
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    if (largest_group(df, by) if largest is None else largest) <= large:
+        w = before(window(by).orderBy(order))
+        return df.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0)) for c, name in sums.items()})
+    value = F.col(order)
+    if df.schema[order].dataType.typeName() == "string":  # seven bytes as a number, which doesn't fall where the text rises
+        value = F.conv(F.rpad(F.hex(F.substring(F.encode(value, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    cuts = sorted({*df.agg(F.percentile_approx(value, [i / stretches for i in range(1, stretches)], 100 * stretches)).first()[0]})
+    placed = df.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < value)))
     totals = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    across, within = before(window(by).orderBy("_part")), before(window(by, "_part").orderBy(order))
     bases = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    out = placed.join(F.broadcast(bases), [*by, "_part"]) if not by else placed.join(bases, [*by, "_part"])
+    out = placed.join(bases, [*by, "_part"])
     return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_b_{c}")).alias(name) for c, name in sums.items()])
+
+
+def numbered(df: DataFrame, order: str, name: str, large: int | None = None) -> DataFrame:
+    """df with the number of each row in an order, a unique number or text, from 0 on. df is read several times."""
+    one = df.withColumn("_one", F.lit(1).cast("long"))
+    return sums_before(one, order, {"_one": name}, large=large).drop("_one").withColumn(name, F.col(name).cast("long"))
+
+
+def order_number(text: Column) -> Column:
+    """The first 60 bits of sha256 of a text: a number that orders texts by chance."""
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")

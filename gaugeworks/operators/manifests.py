@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.running import numbered
 from ..functions.scalars import derive_seed, sample_id
+from ..sources.shared import kept
 
 
 def unseen(new: DataFrame, existing: DataFrame, key: str) -> DataFrame:
@@ -35,9 +37,9 @@ def first_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str],
 def work_items(identities: DataFrame, identity: str, order: str, per_identity: int, modality: str, attacks: Sequence[tuple[str, float]], master_seed: int) -> DataFrame:
     """(sample_id, identity, sub, counter, dispatch_seed, attack, seed): each identity per_identity times, numbered in order of identity and sub.
 
-    An identity's place is one number however often it is repeated, so numbering touches the list of identities only. The attack is drawn by the dispatch seed's place in the running weights of the sorted names."""
-    placed = identities.select(F.col(identity).alias("identity"), F.col(order).alias("_o")).distinct().select("identity", F.row_number().over(Window.orderBy("_o")).cast("long").alias("_p"))
-    items = placed.select("identity", ((F.col("_p") - 1) * per_identity).alias("_base"), F.explode(F.sequence(F.lit(0), F.lit(per_identity - 1))).alias("sub"))
+    `order`, a number or a text, is unique for an identity, and its place is one number however often it is repeated. The attack is drawn by the dispatch seed's place in the running weights of the sorted names."""
+    placed = numbered(kept(identities.select(F.col(identity).alias("identity"), F.col(order).alias("_o")).distinct(), "identities"), "_o", "_p")
+    items = placed.select("identity", (F.col("_p") * per_identity).alias("_base"), F.explode(F.sequence(F.lit(0), F.lit(per_identity - 1))).alias("sub"))
     items = items.withColumn("counter", F.col("_base") + F.col("sub")).withColumn("dispatch_seed", derive_seed(F.lit(master_seed), F.lit(modality), F.lit("_dispatch"), F.col("counter")))
     names = sorted(attacks)
     total, upto, attack = sum(w for _, w in names), 0.0, None
@@ -51,7 +53,7 @@ def work_items(identities: DataFrame, identity: str, order: str, per_identity: i
 
 
 def key_pairs(keys: DataFrame) -> DataFrame:
-    """(session, code, down_t, up_t) from (session, code, pos, phase, t): an up pairs with the event right before it of the same code if that is a down, so that a repeated down replaces the one before and an up alone is dropped."""
+    """(session, code, pos, down_t, up_t) from (session, code, pos, phase, t): an up, at pos, pairs with the event right before it of the same code if that is a down, so that a repeated down replaces the one before and an up alone is dropped."""
     w = Window.partitionBy("session", "code").orderBy("pos")
     seen = keys.withColumns({"_phase": F.lag("phase").over(w), "_t": F.lag("t").over(w)})
-    return seen.filter((F.col("phase") == "up") & (F.col("_phase") == "down")).select("session", "code", F.col("_t").alias("down_t"), F.col("t").alias("up_t"))
+    return seen.filter((F.col("phase") == "up") & (F.col("_phase") == "down")).select("session", "code", "pos", F.col("_t").alias("down_t"), F.col("t").alias("up_t"))

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.running import sums_before
+from ..functions.running import LARGE, largest_group, sums_before, window
 from ..functions.scalars import ratio
+from ..sources.shared import kept
 
 
 def _count(condition) -> F.Column:
@@ -16,14 +17,19 @@ def _count(condition) -> F.Column:
 
 
 def rates(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """by, score, fpr, fnr for each different score as the threshold; rows are counted by score (with their weights, if a column is named) before anything is sorted."""
+    """by, score, fpr, fnr for each different score as the threshold. Rows are counted by score (with their weights, if a column is named) before anything is sorted; only that table is read again."""
     by = list(by)
     w = F.col(weight) if weight else F.lit(1).cast("long")
     number = lambda label: F.sum(F.when(F.col("label") == label, w).otherwise(F.lit(0).cast("long")))
-    counts = scored.groupBy(*by, "score").agg(number(0).alias("n0"), number(1).alias("n1"))
-    before = sums_before(counts, "score", {"n0": "below0", "n1": "below1"}, by)
-    totals = counts.groupBy(*by).agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
-    both = before.join(F.broadcast(totals), by) if by else before.crossJoin(F.broadcast(totals))  # one row per group
+    counts = kept(scored.groupBy(*by, "score").agg(number(0).alias("n0"), number(1).alias("n1")), "counts")
+    largest = largest_group(counts, by)
+    before = sums_before(counts, "score", {"n0": "below0", "n1": "below1"}, by, largest=largest)
+    totals = {"all0": F.sum("n0"), "all1": F.sum("n1")}
+    if largest <= LARGE:
+        both = before.withColumns({n: c.over(window(by)) for n, c in totals.items()})  # in the tasks that summed up
+    else:
+        grouped = counts.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+        both = before.join(grouped, by) if by else before.crossJoin(grouped)
     one = F.lit(1).cast("long")
     fpr = (F.col("all0") - F.col("below0")).cast("double") / F.greatest("all0", one)
     return both.select(*by, "score", fpr.alias("fpr"), (F.col("below1").cast("double") / F.greatest("all1", one)).alias("fnr"))
@@ -58,29 +64,30 @@ def error_rates(scored: DataFrame, threshold: float, by: Sequence[str] = ()) ->
 def threshold_at_apcer(scored: DataFrame, target: float, by: Sequence[str] = ()) -> DataFrame:
     """by, threshold, apcer: of least score - 1, all scores and greatest score + 1, the highest whose worst species stays within the target.
 
-    A species' rate as a threshold rises is a running count: candidates and scores are laid out per species and summed in order, so no candidate is compared with all rows. A negative target is an error; without rows there is no row, and no threshold."""
+    A species' rate doesn't fall as the threshold rises. It stays within the target up to the first score at which the attacks so far, that score's included, are too many a part; the least of these scores is the threshold, and without any the greatest score + 1. So running counts by species suffice, and no candidate is compared with other rows. Rows are counted by score first. A negative target is an error; without rows there is no row, and no threshold."""
     if target < 0:
         raise ValueError("the target must not be negative")
     by = list(by)
-    distinct = scored.select(*by, "score").distinct()
-    ends = scored.groupBy(*by).agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    candidates = distinct.unionByName(ends.select(*by, (F.col("lo") - 1).alias("score"))).unionByName(ends.select(*by, (F.col("hi") + 1).alias("score")))
-    attacks = scored.filter((F.col("label") == 1) & F.col("attack_type").isNotNull()).groupBy(*by, "attack_type", "score").agg(F.count(F.lit(1)).alias("n"))
-    totals = attacks.groupBy(*by, "attack_type").agg(F.sum("n").alias("all"))
-    grid = candidates.join(F.broadcast(totals), by) if by else candidates.crossJoin(F.broadcast(totals))  # a row per species
-    laid = grid.join(attacks, [*by, "attack_type", "score"], "left").select(*by, "attack_type", "score", F.coalesce("n", F.lit(0)).alias("n"), "all")
-    below = sums_before(laid, "score", {"n": "below"}, [*by, "attack_type"])
-    worst = below.groupBy(*by, "score").agg(F.max(F.col("below").cast("double") / F.col("all")).alias("apcer"))
+    counts = kept(scored.groupBy(*by, F.when(F.col("label") == 1, F.col("attack_type")).alias("species"), "score").agg(F.count(F.lit(1)).alias("n")), "counts")
+    attacks = counts.filter(F.col("species").isNotNull())
+    totals = attacks.groupBy(*by, "species").agg(F.sum("n").alias("all"))
+    upto = sums_before(attacks, "score", {"n": "below"}, [*by, "species"]).join(totals, [*by, "species"])
+    over = (F.col("below") + F.col("n")).cast("double") / F.col("all") > target
+    limits = upto.filter(over).groupBy(*by).agg(F.min("score").alias("limit"))
+    ends = counts.groupBy(*by).agg((F.max("score") + 1).alias("end"))
+    fixed = (ends.join(limits, by, "left") if by else ends.crossJoin(limits)).select(*by, F.coalesce("limit", "end").alias("threshold")).filter(F.col("threshold").isNotNull())
+    rated = attacks.join(fixed, by) if by else attacks.crossJoin(fixed)
+    low = F.sum(F.when(F.col("score") < F.col("threshold"), F.col("n")).otherwise(F.lit(0))).cast("double") / F.sum("n")
+    worst = rated.groupBy(*by, "species").agg(low.alias("apcer")).groupBy(*by).agg(F.max("apcer").alias("apcer"))
     # without any typed attack the rate is 0 everywhere
-    worst = candidates.join(worst, [*by, "score"], "left").select(*by, "score", F.coalesce("apcer", F.lit(0.0)).alias("apcer"))
-    found = worst.filter(F.col("apcer") <= target).groupBy(*by).agg(F.max_by(F.struct("score", "apcer"), "score").alias("x"))
-    return found.select(*by, F.col("x.score").alias("threshold"), F.col("x.apcer").alias("apcer"))
+    out = fixed.join(worst, by, "left") if by else fixed.crossJoin(worst)
+    return out.select(*by, "threshold", F.coalesce("apcer", F.lit(0.0)).alias("apcer"))
 
 
 def rates_at(scored: DataFrame, thresholds: DataFrame, by: Sequence[str]) -> DataFrame:
     """error_rates() with each group's own threshold: thresholds has by and threshold. Groups without one get nulls."""
     by = list(by)
-    joined = scored.join(F.broadcast(thresholds.select(*by, "threshold")), by, "left")
+    joined = scored.join(thresholds.select(*by, "threshold"), by, "left")
     joined = joined.withColumn("score", F.col("score") - F.col("threshold"))
     rated = error_rates(joined.filter(F.col("threshold").isNotNull()), 0.0, by)
     return scored.select(*by).distinct().join(rated, by, "left")
@@ -91,13 +98,16 @@ def accuracy(scored: DataFrame, by: Sequence[str] = (), threshold: float = 0.5)
     return scored.groupBy(*by).agg(F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
-def each_species_with_bona_fide(scored: DataFrame) -> DataFrame:
-    """(score, label, species, weight): for each species its attacks and all bona fide rows, counted by score, as the input of eer(..., by=["species"], weight="weight")."""
-    species = scored.filter((F.col("label") == 1) & F.col("attack_type").isNotNull()).select(F.col("attack_type").alias("species")).distinct()
-    bona = scored.filter(F.col("label") == 0)
-    counted = bona.groupBy("score", "label").agg(F.count(F.lit(1)).alias("weight")).crossJoin(F.broadcast(species))  # a row per species and score
-    own = scored.filter((F.col("label") == 1) & F.col("attack_type").isNotNull()).groupBy("score", "label", F.col("attack_type").alias("species")).agg(F.count(F.lit(1)).alias("weight"))
-    return counted.unionByName(own)
+def each_species_with_bona_fide(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, score, label, species, weight): for each species its attacks and all bona fide rows, counted by score, as the input of eer(..., by=[*by, "species"], weight="weight"). With seeds in `by`, eer_over_seeds() of that has the species' mean and deviation."""
+    by = list(by)
+    rows = scored.filter((F.col("label") == 0) | ((F.col("label") == 1) & F.col("attack_type").isNotNull()))
+    counts = kept(rows.groupBy(*by, "score", "label", F.when(F.col("label") == 1, F.col("attack_type")).alias("species")).agg(F.count(F.lit(1)).alias("weight")), "counts")
+    own = counts.filter("label = 1")
+    species = own.select(*by, "species").distinct()
+    bona = counts.filter("label = 0").drop("species")
+    paired = bona.join(species, by) if by else bona.crossJoin(species)  # a row per species and score
+    return paired.select(own.columns).unionByName(own)
 
 
 def eer_over_seeds(eers: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions import scalars as fn
-from ..operators import features, generate, manifests, metrics, profiles, quality, splits, sweeps
+from ..operators import evaluation, features, generate, manifests, metrics, profiles, quality, reps, splits, sweeps
+from ..sources import files
 from ..sources import proxies as src
-from ..sources.shared import shared_folder
+from ..sources.shared import kept, shared_folder
 from ..streaming import enrolment
 from ..streaming import events as streams
 
@@ -109,6 +110,19 @@ def eer_over_seeds(spark: SparkSession, sf: str) -> DataFrame:
     return r6(metrics.eer_over_seeds(found, ["subject"]), "eer_mean", "eer_std")
 
 
+SPECIES_SEEDS = SCORED + """,
+s3 AS (SELECT *, unit % 3 AS seed FROM scored),
+sp AS (SELECT DISTINCT seed, attack_type AS species FROM s3 WHERE label = 1 AND attack_type IS NOT NULL),
+per AS (SELECT species, s3.seed, label, score FROM s3 JOIN sp ON s3.seed = sp.seed WHERE label = 0 UNION ALL SELECT attack_type, seed, label, score FROM s3 WHERE label = 1 AND attack_type IS NOT NULL)"""
+
+
+@query(eer_sql("species, seed", "per", SPECIES_SEEDS, "SELECT species, round(avg(eer), 6) AS eer_mean, round(stddev_pop(eer), 6) AS eer_std, count(*)::BIGINT AS n_seeds FROM e GROUP BY species"))
+def eer_by_species_over_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    scored = src.scored(spark, sf).withColumn("seed", F.col("unit") % 3)
+    found = metrics.eer(metrics.each_species_with_bona_fide(scored, ["seed"]), ["species", "seed"], "weight")
+    return r6(metrics.eer_over_seeds(found, ["species"]), "eer_mean", "eer_std")
+
+
 @query(rates_sql() + "\nSELECT round(score, 6) AS score, round(fpr, 6) AS fpr, round(fnr, 6) AS fnr FROM r")
 def score_cdf_fpr_fnr(spark: SparkSession, sf: str) -> DataFrame:
     return r6(metrics.rates(src.scored(spark, sf)), "score", "fpr", "fnr")
@@ -259,7 +273,7 @@ def identity_split_sizes_bround(spark: SparkSession, sf: str) -> DataFrame:
     return n.select("l_returnflag", "n", fn.split_sizes(F.col("n"), 0.725, 0.125).alias("s")).select("l_returnflag", "n", "s.*")
 
 
-@query("""WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY sha256('ids|' || c_custkey), c_custkey) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT c_custkey FROM customer))
+@query("""WITH o AS (SELECT c_custkey, row_number() OVER (ORDER BY ('0x' || substr(sha256('ids|' || c_custkey), 1, 15))::BIGINT, c_custkey) AS p, count(*) OVER () AS n FROM (SELECT DISTINCT c_custkey FROM customer))
 SELECT c_custkey, CASE WHEN p <= round_even(n * 0.7::DOUBLE, 0) THEN 'train' WHEN p <= round_even(n * 0.7::DOUBLE, 0) + round_even(n * 0.15::DOUBLE, 0) THEN 'dev' ELSE 'test' END AS split FROM o""")
 def identity_disjoint_split(spark: SparkSession, sf: str) -> DataFrame:
     return splits.identity_splits(src.table(spark, sf, "customer"), "c_custkey", 0.7, 0.15, "ids")
@@ -330,14 +344,19 @@ def motion_coupling(spark: SparkSession, sf: str) -> DataFrame:
     return r6(features.coupling(src.touch(spark, sf), src.motion(spark, sf)), "motion_touch_coupling")
 
 
-@query(f"""WITH {STEPS}, {KEYS.split(EVENTS + ',')[1]}, {MAGNITUDE},
+def feature_sql(events: str, sessions: str) -> str:
+    """The features of the CTEs touch, keyev and motion in `events`, for the sessions that a query names."""
+    return f"""WITH {STEPS.replace(EVENTS, events)}, {KEYS.split(EVENTS + ',')[1]}, {MAGNITUDE},
 t AS (SELECT session, avg(speed) AS f0, stddev_pop(speed) AS f1, avg(turn) AS f2, stddev_pop(jerk) AS f3, avg(dt) AS f4 FROM steps GROUP BY session),
 k AS (SELECT session, avg(dwell) AS f5, stddev_pop(dwell) AS f6, avg(flight) AS f7, stddev_pop(flight) AS f8, avg(CASE WHEN flight < 0.005 THEN 1.0::DOUBLE WHEN flight IS NOT NULL THEN 0.0 END) AS f9 FROM keytimes GROUP BY session),
 m AS (SELECT session, avg(m) AS f10, stddev_pop(m) AS f11 FROM mag GROUP BY session),
 c AS (SELECT session, {CORR} AS f12 FROM steps JOIN mag USING (session, step) GROUP BY session)
 SELECT s.session, {', '.join(f"round(coalesce(f{i}, {1.0 if i == 9 else 0.0}::DOUBLE), 6) AS {n}" for i, n in enumerate(features.FEATURES[:-1]))},
   CASE WHEN s.session IN (SELECT session FROM touch) AND s.session NOT IN (SELECT session FROM motion) THEN 1.0::DOUBLE ELSE 0.0 END AS touch_without_motion_ratio
-FROM (SELECT DISTINCT session FROM ev) s LEFT JOIN t USING (session) LEFT JOIN k USING (session) LEFT JOIN m USING (session) LEFT JOIN c USING (session)""")
+FROM ({sessions}) s LEFT JOIN t USING (session) LEFT JOIN k USING (session) LEFT JOIN m USING (session) LEFT JOIN c USING (session)"""
+
+
+@query(feature_sql(EVENTS, "SELECT DISTINCT session FROM ev"))
 def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
     return r6(features.feature_vector(src.sessions(spark, sf), src.touch(spark, sf), src.keys(spark, sf), src.motion(spark, sf)), *features.FEATURES)
 
@@ -349,16 +368,48 @@ c AS (SELECT *, unnest(range(5)) AS w FROM b),
 d AS (SELECT session, xs, w, CASE WHEN n < 5 THEN 1 ELSE w * st + 1 END AS first, CASE WHEN n < 5 THEN n ELSE n - st * 4 END AS size FROM c)
 SELECT session, w::INT AS "window", first::INT AS first, size::INT AS size, round(list_sum(xs[first:first + size - 1]), 6) AS total FROM d""")
 def count_windows_k5(spark: SparkSession, sf: str) -> DataFrame:
-    a = src.touch(spark, sf).groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("xs"))
-    w = features.count_windows(a, "xs")
-    return r6(w.select("session", "window", "first", "size", F.aggregate("part", F.lit(0.0), lambda s, x: s + x).alias("total")), "total")
+    w = features.count_windows(src.touch(spark, sf).select("session", "pos", "x"), ["session"], "pos")
+    return r6(w.groupBy("session", "window").agg(F.first("first").alias("first"), F.first("size").alias("size"), F.sum("x").alias("total")), "total")
+
+
+WINDOWED = EVENTS.replace("touch AS (SELECT * FROM ev WHERE event_type = 'click')", """click AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY pos) - 1 AS i, count(*) OVER (PARTITION BY session) AS n FROM ev WHERE event_type = 'click'),
+stepped AS (SELECT *, greatest(1, floor(n * 0.5::DOUBLE / 4.000000001::DOUBLE))::INT AS st FROM click),
+laid AS (SELECT *, unnest(range(5)) AS w FROM stepped),
+touch AS (SELECT session AS rep, w, session || '/' || w AS session, pos, us, x, y FROM laid WHERE n < 5 OR (i >= w * st AND i < w * st + n - st * 4))""")
+
+
+@query(f"""WITH {STEPS.replace(EVENTS, WINDOWED)}, {KEYS.split(EVENTS + ',')[1]},
+t AS (SELECT session, avg(speed) AS f0, stddev_pop(speed) AS f1, avg(turn) AS f2, stddev_pop(jerk) AS f3, avg(dt) AS f4 FROM steps GROUP BY session),
+k AS (SELECT session AS rep, avg(dwell) AS f5, stddev_pop(dwell) AS f6, avg(flight) AS f7, stddev_pop(flight) AS f8 FROM keytimes GROUP BY session)
+SELECT r.rep AS session, r.w::INT AS "window", {', '.join(f"round(coalesce(f{i}, 0), 6) AS {n}" for i, n in enumerate(features.FEATURES[:9]))}
+FROM (SELECT DISTINCT rep, w, session FROM touch) r LEFT JOIN t USING (session) LEFT JOIN k USING (rep)""")
+def rep_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """What enrolment takes of a rep, with users for reps."""
+    return r6(reps.windows(src.touch(spark, sf), src.keys(spark, sf)), *reps.SUBSET)
+
+
+def _reps(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' clicks and keys in the form of captured reps."""
+    ms = (F.col("us") / F.lit(1000.0)).alias("ts")
+    packed = lambda e, name, *c: e.groupBy("session").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", F.struct(*c, ms).alias("e")))), lambda x: x["e"]).alias(name))
+    keys = src.keys(spark, sf).withColumn("code", F.col("code").cast("string"))
+    return packed(src.touch(spark, sf), "pointer", "x", "y").join(packed(keys, "keys", "code", "phase"), "session", "left")
+
+
+@query(f"""WITH {EVENTS},
+o AS (SELECT session, phase, lag(phase) OVER (PARTITION BY session, code ORDER BY pos) AS pp FROM keyev),
+d AS (SELECT session, count(*) AS n FROM o WHERE phase = 'up' AND pp = 'down' GROUP BY session),
+t AS (SELECT session, count(*) AS n, bool_or(late) AS late FROM (SELECT session, us <= lag(us) OVER (PARTITION BY session ORDER BY pos) AS late FROM touch) GROUP BY session)
+SELECT t.session, CASE WHEN t.n < 8 THEN 'too_few_touch' WHEN coalesce(d.n, 0) < 2 THEN 'too_few_keys' WHEN late THEN 'non_monotonic_time' END AS reason FROM t LEFT JOIN d USING (session)""")
+def rep_qc_reason(spark: SparkSession, sf: str) -> DataFrame:
+    return reps.faults(_reps(spark, sf))
 
 
 @query(f"""WITH {EVENTS},
 o AS (SELECT session, code, phase, us, lag(phase) OVER w AS pp, lag(us) OVER w AS pu FROM keyev WINDOW w AS (PARTITION BY session, code ORDER BY pos))
 SELECT session, code, pu AS down_t, us AS up_t FROM o WHERE phase = 'up' AND pp = 'down'""")
 def key_down_up_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return manifests.key_pairs(src.keys(spark, sf).withColumnRenamed("us", "t"))
+    return manifests.key_pairs(src.keys(spark, sf).withColumnRenamed("us", "t")).drop("pos")
 
 
 @query(f"""WITH {EVENTS},
@@ -411,6 +462,13 @@ def attempt_verdict(spark: SparkSession, sf: str) -> DataFrame:
     return r6(profiles.attempts(d, d.groupBy("subject").agg(F.avg("distance").alias("threshold")), ["subject"], "attempt"), "part_above")
 
 
+@query(f"""WITH {FLAT}, m AS (SELECT subject, place, avg(v) AS mean FROM flat GROUP BY 1, 2), c AS (SELECT subject, vec_id, place, v - mean AS d FROM flat JOIN m USING (subject, place))
+SELECT subject, a.place::INT AS i, b.place::INT AS j, round(sum(a.d * b.d) / greatest(count(*) - 1, 1), 6) AS cov FROM c a JOIN c b USING (subject, vec_id) WHERE a.place <= b.place GROUP BY subject, a.place, b.place""")
+def covariance_by_subject(spark: SparkSession, sf: str) -> DataFrame:
+    flat = profiles.covariances(src.profiles(spark, sf), "subject", "vector", 64).select("subject", F.posexplode("cov").alias("k", "cov"))
+    return flat.select("subject", F.expr("cast(k div 64 AS int)").alias("i"), (F.col("k") % 64).alias("j"), F.round("cov", 6).alias("cov")).filter("i <= j")
+
+
 @query()
 def mahalanobis_score(spark: SparkSession, sf: str) -> DataFrame:
     p = src.profiles(spark, sf)
@@ -620,13 +678,86 @@ def work_items_numpy(spark: SparkSession, sf: str) -> DataFrame:
     return generate.dispatched(work_items(spark, sf), dict(ATTACKS), "face", 11)
 
 
-@query()
+def _hash_sql(*parts: str) -> str:
+    return "sha256(" + " || '|' || ".join(f"({p})::VARCHAR" for p in parts) + ")"
+
+
+def _unit_sql(digest: str, at: int = 1) -> str:
+    return f"((('0x' || substr({digest}, {at}, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496)"
+
+
+def _normal_sql(channel: str, place: str) -> str:
+    h = _hash_sql("seed", f"'{channel}'", place)
+    return f"(sqrt(-2 * ln({_unit_sql(h)})) * cos(6.283185307179586 * {_unit_sql(h, 14)}))"
+
+
+def _spread_sql(mean: str, deviation: str, z: str) -> str:
+    c = f"(({deviation}) / ({mean}))"
+    return f"(({mean}) * exp({c} * {z} - {c} * {c} / 2))"
+
+
+N_SESSIONS, SESSION_SEED = 2, 1
+ITEMS = f"""subj AS (SELECT s_suppkey::VARCHAR AS subject_id, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM (SELECT DISTINCT s_suppkey FROM supplier)),
+it0 AS (SELECT subject_id, i, s, unnest(['genuine', 'imposter', 'bot']) AS label FROM (SELECT subject_id, i, unnest(range({N_SESSIONS})) AS s FROM subj)),
+it1 AS (SELECT concat_ws('-', label, subject_id, i * {N_SESSIONS} + s, 'a') AS session, label, subject_id,
+  {seed_sql(f"{SESSION_SEED} * 1000 + i * {N_SESSIONS} + s", "'behavioral'", "label", "('0x' || substr(sha256(subject_id), 1, 8))::BIGINT")} AS seed,
+  ('0x' || substr(sha256(subject_id || CASE WHEN label = 'imposter' THEN '-imp' ELSE '' END), 1, 8))::BIGINT AS profile_seed FROM it0),
+items AS (SELECT *, label = 'bot' AS bot, {', '.join(f"{low}::DOUBLE + {_unit_sql(_hash_sql('profile_seed', chr(39) + n + chr(39)))} * {high - low}::DOUBLE AS {n}" for n, (low, high) in generate.ALL_AXES.items())} FROM it1)"""
+GENERATED = ITEMS + f""",
+t0 AS (SELECT *, unnest(range(1, {generate.N_TOUCH + 1})) AS pos FROM items),
+t1 AS (SELECT session, pos, round(CASE WHEN bot THEN inter_touch_interval_ms / 1000 ELSE {_spread_sql('inter_touch_interval_ms / 1000', 'inter_touch_interval_ms / 1000 * 0.3::DOUBLE', _normal_sql('pace', 'pos'))} END * 1000000)::BIGINT AS gap,
+  CASE WHEN bot THEN touch_speed_mean ELSE {_spread_sql('touch_speed_mean', 'touch_speed_std', _normal_sql('speed', 'pos'))} END AS speed,
+  round(CASE WHEN bot THEN 0.0 ELSE touch_curvature * {_normal_sql('turn', 'pos')} END * 1000000000)::BIGINT AS turn,
+  {', '.join(f"round(CASE WHEN bot THEN 0.02::DOUBLE ELSE touch_jitter * 0.1::DOUBLE END * {_normal_sql('jitter-' + c, 'pos')} * 10000)::BIGINT AS d{c}" for c in "xy")} FROM t0),
+t2 AS (SELECT *, sum(gap) OVER w AS us, (sum(turn) OVER w)::DOUBLE / 1000000000::DOUBLE AS angle FROM t1 WINDOW w AS (PARTITION BY session ORDER BY pos)),
+t3 AS (SELECT *, round(speed * gap / 1000000::DOUBLE * 10000::DOUBLE * cos(angle))::BIGINT AS mx, round(speed * gap / 1000000::DOUBLE * 10000::DOUBLE * sin(angle))::BIGINT AS my FROM t2),
+touch AS (SELECT session, pos, us::BIGINT AS us, (sum(mx) OVER w + dx)::DOUBLE / 10000::DOUBLE + 100 AS x, (sum(my) OVER w + dy)::DOUBLE / 10000::DOUBLE + 100 AS y FROM t3 WINDOW w AS (PARTITION BY session ORDER BY pos)),
+y0 AS (SELECT *, unnest(range(1, {generate.N_KEY + 1})) AS i FROM items),
+y1 AS (SELECT session, i, {', '.join(f"round(CASE WHEN bot THEN key_{n}_mean / 1000 ELSE {_spread_sql(f'key_{n}_mean / 1000', f'key_{n}_std / 1000', _normal_sql(n, 'i'))} END * 1000000)::BIGINT AS {n}" for n in ("dwell", "flight"))} FROM y0),
+y2 AS (SELECT *, coalesce(sum(dwell + flight) OVER (PARTITION BY session ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS down FROM y1),
+keyev AS (SELECT session, i * 2 AS pos, down AS us, 'down' AS phase FROM y2 UNION ALL SELECT session, i * 2 + 1, down + dwell, 'up' FROM y2),
+m0 AS (SELECT i.*, last, unnest(range(1, {generate.N_MOTION + 1})) AS pos FROM items i JOIN (SELECT session, max(us) AS last FROM touch GROUP BY session) USING (session)),
+motion AS (SELECT session, pos, {', '.join(f"round(CASE WHEN bot THEN 0.0 ELSE tremor_std END * 0.1::DOUBLE * {_normal_sql(c, 'pos')}, 5) AS {c}" for c in ("ax", "ay"))},
+  round(accel_mag_mean + CASE WHEN bot THEN 0.0 ELSE tremor_std END * CASE WHEN pos < {generate.N_TOUCH} THEN motion_touch_coupling * {_normal_sql('speed', 'pos + 1')} + sqrt(1 - motion_touch_coupling * motion_touch_coupling) * {_normal_sql('az', 'pos')} ELSE {_normal_sql('az', 'pos')} END, 5) AS az FROM m0)"""
+
+
+def _session_items(spark: SparkSession, sf: str, domain: str = "a") -> DataFrame:
+    return generate.session_items(src.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "s_suppkey", N_SESSIONS, SESSION_SEED, "behavioral", domain)
+
+
+def _session_features(items: DataFrame) -> DataFrame:
+    touch = generate.session_touch(items)
+    return features.feature_vector(items.select(F.col("session_id").alias("session")), touch, generate.session_keys(items), generate.session_motion(items, touch))
+
+
+def _evaluation_set(spark: SparkSession, sf: str, domain: str) -> DataFrame:
+    """(session, label, vector) of generated sessions, stored: training reads it many times."""
+    items = _session_items(spark, sf, domain)
+    rows = _session_features(items).select("session", F.array(*features.FEATURES).alias("vector"))
+    return kept(rows.join(items.select(F.col("session_id").alias("session"), "label"), "session").select("session", "label", "vector"), "sessions")
+
+
+@query(feature_sql(GENERATED, "SELECT session FROM items"))
 def session_generate(spark: SparkSession, sf: str) -> DataFrame:
-    """Sessions of all suppliers, as subjects, and their features."""
-    items = generate.session_items(src.table(spark, sf, "supplier").select("s_suppkey"), "s_suppkey", "s_suppkey", 2, 1, "behavioral")
-    made = generate.sessions(items)
-    touch, keys, motion = generate.event_rows(made)
-    return r6(features.feature_vector(items.select(F.col("session_id").alias("session")), touch, keys, motion), *features.FEATURES)
+    """Features of generated sessions of all suppliers, as subjects."""
+    return r6(_session_features(_session_items(spark, sf)), *features.FEATURES)
+
+
+@query(f"WITH {ITEMS} SELECT session AS session_id, label, subject_id, 'sessions/' || session || '.json' AS payload_path, {generate.N_TOUCH}::INT AS n_touch, {2 * generate.N_KEY}::INT AS n_key, {generate.N_MOTION}::INT AS n_motion, true AS same_sha256 FROM items")
+def session_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Generated sessions written as payload files with a manifest, twice, and read back by it: the second run adds nothing."""
+    items, root = _session_items(spark, sf), shared_folder(spark, "sessions")
+    touch = generate.session_touch(items)
+    payloads = generate.payloads(items, touch, generate.session_keys(items), generate.session_motion(items, touch), "1", "1")
+    files.write_sessions(payloads, root)
+    found = files.session_payloads(spark, files.write_sessions(payloads, root), root)
+    return found.select("session_id", "label", "subject_id", "payload_path", F.size("s.touch").alias("n_touch"), F.size("s.key").alias("n_key"), F.size("s.motion").alias("n_motion"), (F.col("sha256") == F.col("payload_sha256")).alias("same_sha256"))
+
+
+@query()
+def auth_bot_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """EER of imposters and accuracy against bots, in the domain that the models were trained on and in another."""
+    return r6(evaluation.evaluated(_evaluation_set(spark, sf, "a"), _evaluation_set(spark, sf, "b"), len(features.FEATURES)), "auth_eer", "bot_accuracy")
 
 
 @query()

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import code_label
 from ..operators.manifests import last_wins, restricted
-from .schemas import SESSION
+from .jsonl import append_unseen, existing
+from .schemas import SESSION, SESSION_MANIFEST
 
 IMAGES = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 
@@ -44,6 +51,33 @@ def identity_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("identity")).filter(F.col("identity") != "")
 
 
+def write_sessions(payloads: DataFrame, root: str, manifest: str = "manifest") -> DataFrame:
+    """Writes each session (session_id, label, subject_id and its events, one row each) as a JSON file of its own below root/sessions, and appends those whose session_id isn't there yet to the manifest root/manifest, with the file's path and sha256; returns the manifest.
+
+    A file's name and content follow from its row alone, so a task that runs again writes the same; a run that is repeated appends nothing."""
+    text = payloads.select("session_id", "label", "subject_id", F.to_json(F.struct(*payloads.columns)).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pa.fs.FileSystem.from_uri(re.sub(r"^(file:)?/(?=[^/])", "file:///", root))
+        fs.create_dir(f"{base}/sessions", recursive=True)
+        for b in batches:
+            for name, content in zip(b.column("session_id"), b.column("text"), strict=True):
+                part = f"{base}/sessions/_{name.as_py()}-{TaskContext.get().taskAttemptId()}"
+                with fs.open_output_stream(part) as out:
+                    out.write(content.as_py().encode())
+                final = f"{base}/sessions/{name.as_py()}.json"
+                if fs.get_file_info(final).type == pa.fs.FileType.NotFound:
+                    fs.move(part, final)
+                else:
+                    fs.delete_file(part)
+            yield b
+
+    written = text.mapInArrow(run, text.schema)
+    rows = written.select("session_id", "label", "subject_id", F.concat(F.lit("sessions/"), "session_id", F.lit(".json")).alias("payload_path"), F.sha2(F.encode("text", "UTF-8"), 256).alias("payload_sha256"))
+    append_unseen(rows, f"{root}/{manifest}", "session_id")
+    return existing(payloads.sparkSession, f"{root}/{manifest}", SESSION_MANIFEST)
+
+
 def session_payloads(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
     """manifest rows with the session in their payload file (one JSON object a file), by its path below root."""
     files = spark.read.text(root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)

@@ -2,10 +2,21 @@
 
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, what: str) -> str:
-    """A new folder below spark.checkpoint.dir; below /tmp only where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/gaugeworks-shared"
+    """A new folder below spark.checkpoint.dir. Where that is unset, a local one if all executors are this machine's, as in tests; otherwise an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file:///tmp/gaugeworks-shared"
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """df, written to the shared folder and read again, for tables that are read several times."""
+    path = shared_folder(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ Each user has a state: the windows of their enrolment reps, and once calibrated
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,10 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.features import FEATURES
+from ..operators import reps
 
-#: Features of a window: those of touches and keys.
-SUBSET = FEATURES[:9]
 #: Reps to fit a profile on, and the last reps, which are held out for the threshold.
 FIT_REPS, HOLDOUT_REPS = 4, 2
 RIDGE, SHRINK, CONSTANT = 1e-3, 0.10, 1e-12
@@ -80,14 +78,36 @@ def step(state: dict, action: str, windows, fault: str | None) -> tuple[dict, tu
 
 
 def run(actions: DataFrame) -> DataFrame:
-    """actions (user, seq, action, windows array<array<double>>, fault), a stream, to one row per action. The state is a user's reps and profile as JSON; it is kept until reset."""
+    """actions (user, seq, action, windows array<array<double>>, fault), a stream, to one row per action. The state is a user's reps and profile as JSON; it is kept until reset. Of the actions of one user in one batch, a part of the stream of a bounded size, all are held, to be taken in order."""
+    columns = actions.select("user", F.col("seq").cast("long").alias("seq"), "action", F.col("windows").cast("array<array<double>>").alias("windows"), "fault")
+    return _stateful(columns, lambda windows, fault: (windows, None if pd.isna(fault) else fault))
+
+
+def run_reps(actions: DataFrame) -> DataFrame:
+    """actions (user, seq, action, pointer, keys), a stream of reps as they are captured: their quality is checked and their windows are made within the stream, then as run()."""
+
+    def made(pointer, keys) -> tuple[list | None, str | None]:
+        p = np.array([(e["ts"], e["x"], e["y"]) for e in (pointer if pointer is not None else ())], float).reshape(-1, 3)
+        path = np.column_stack(((p[:, 0] - (p[0, 0] if len(p) else 0)) / 1000, p[:, 1:]))
+        pairs = reps.completed([(e["code"], e["phase"], e["ts"]) for e in (keys if keys is not None else ())])
+        told = reps.fault(path, pairs)
+        return (None, told) if told else (reps.vectors(path, pairs).tolist(), None)
+
+    pointer, keys = "array<struct<x: double, y: double, ts: double>>", "array<struct<code: string, phase: string, ts: double>>"
+    columns = actions.select("user", F.col("seq").cast("long").alias("seq"), "action", F.col("pointer").cast(pointer).alias("pointer"), F.col("keys").cast(keys).alias("keys"))
+    return _stateful(columns, made)
+
+
+def _stateful(columns: DataFrame, made: Callable) -> DataFrame:
+    """made: of a row's last two columns, windows and fault."""
+    first, second = columns.columns[3:]
 
     def work(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
         out = []
-        for seq, action, windows, fault in zip(rows["seq"], rows["action"], rows["windows"], rows["fault"], strict=True):
-            held, told = step(held, action, windows, None if pd.isna(fault) else fault)
+        for seq, action, a, b in zip(rows["seq"], rows["action"], rows[first], rows[second], strict=True):
+            held, told = step(held, action, *(made(a, b) if action in ("enroll", "attempt") else (None, None)))
             out.append((key[0], seq, action, *told))
         if held:
             state.update((json.dumps(held),))
@@ -95,5 +115,4 @@ def run(actions: DataFrame) -> DataFrame:
             state.remove()
         yield pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
-    columns = actions.select("user", F.col("seq").cast("long").alias("seq"), "action", F.col("windows").cast("array<array<double>>").alias("windows"), "fault")
     return columns.groupBy("user").applyInPandasWithState(work, OUT, "held string", "append", GroupStateTimeout.NoTimeout)

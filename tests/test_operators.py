@@ -6,8 +6,8 @@ import math
 import numpy as np
 import pytest
 
-from gaugeworks.functions import scalars
-from gaugeworks.operators import features, metrics, quality
+from gaugeworks.functions import running, scalars
+from gaugeworks.operators import features, metrics, quality, reps, splits
 from gaugeworks.sources import files, jsonl, schemas
 
 SCORED = "score double, label int, attack_type string"
@@ -76,14 +76,110 @@ def windows(n, k=5, overlap=0.5):
 
 
 def test_count_windows(spark):
-    sizes = [0, 1, 4, 5, 6, 9, 17, 45, 60]
-    rows = spark.createDataFrame([(n, list(range(n))) for n in sizes], "n int, a array<int>")
-    got = {}
-    for r in features.count_windows(rows, "a").collect():
-        got.setdefault(r["n"], {})[r["window"]] = (r["first"], r["size"], r["part"])
+    """The stretches of 1 to 40 rows, against a loop; many rows of one group as well."""
+    sizes = [*range(1, 14), 40, 45]
+    rows = spark.createDataFrame([(n, i) for n in sizes for i in range(n)], "g int, i int")
+    got: dict = {}
+    for r in features.count_windows(rows.repartition(3), ["g"], "i").collect():
+        got.setdefault((r["g"], r["window"]), (set(), r["first"], r["size"]))[0].add(r["i"])
+    assert len(got) == 5 * len(sizes)
     for n in sizes:
-        assert [got[n][i][:2] for i in range(5)] == windows(n)
-        assert all(got[n][i][2] == list(range(n))[f - 1 : f - 1 + s] for i, (f, s) in enumerate(windows(n)))
+        step = max(int(n * 0.5 / (4 + 1e-9)), 1)
+        length = n - step * 4
+        for w in range(5):
+            want = list(range(n)) if n < 5 else list(range(w * step, w * step + length))
+            assert got[n, w] == (set(want), want[0] + 1, len(want))
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_running_sums_are_the_same_however_they_are_dealt(spark, by):
+    """Scores piled up at 0 and 1, numbers and texts as the order, in one window or in stretches."""
+    rng = np.random.default_rng(4)
+    v = np.unique(np.concatenate((rng.random(300) * 1e-6, 1 - rng.random(300) * 1e-6, rng.random(20))))
+    rows = [(int(i % 3), float(x), f"{x:.12f}é", int(n)) for i, (x, n) in enumerate(zip(v, rng.integers(0, 9, len(v))))]
+    frame = spark.createDataFrame(rows, "g int, v double, t string, n long")
+    want, sums = {}, {}
+    for g, x, _, n in rows:
+        want[x] = sums.get(g if by else 0, 0)
+        sums[g if by else 0] = want[x] + n
+    for order in ("v", "t"):
+        for large in (10**6, 50):
+            out = running.sums_before(frame, order, {"n": "before"}, by, large=large, stretches=8)
+            assert {r["v"]: r["before"] for r in out.collect()} == want
+    assert sorted(r["k"] for r in running.numbered(frame, "v", "k", large=50).collect()) == list(range(len(rows)))
+
+
+def test_rates_of_large_groups(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(int(g), float(np.round(rng.random(), 3)), int(rng.integers(0, 2)), "ab"[int(rng.integers(0, 2))]) for g in (0, 1) for _ in range(400)]
+    frame = spark.createDataFrame(rows, "g int, score double, label int, attack_type string")
+    plain = [sorted(map(tuple, f.collect())) for f in (metrics.eer(frame, ["g"]), metrics.eer(frame), metrics.threshold_at_apcer(frame, 0.1, ["g"]), metrics.threshold_at_apcer(frame, 0.1))]
+    monkeypatch.setattr(running, "LARGE", 20)
+    monkeypatch.setattr(metrics, "LARGE", 20)
+    assert plain == [sorted(map(tuple, f.collect())) for f in (metrics.eer(frame, ["g"]), metrics.eer(frame), metrics.threshold_at_apcer(frame, 0.1, ["g"]), metrics.threshold_at_apcer(frame, 0.1))]
+
+
+def test_a_row_without_a_split_fails(spark):
+    found = spark.createDataFrame([("a", "train"), ("b", "test")], "identity string, split string")
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "identity string, n int")
+    assert sorted(map(tuple, splits.with_split(rows, found, "identity").collect())) == [("a", 1, "train"), ("b", 2, "test")]
+    with pytest.raises(Exception, match="no split for identity c"):
+        splits.with_split(spark.createDataFrame([("c", 1)], "identity string, n int"), found, "identity").collect()
+
+
+def test_guard_against_a_part_of_one_class(spark):
+    rows = spark.createDataFrame([(0, "train"), (1, "train"), (0, "test"), (1, "test")], "label int, split string")
+    assert splits.guarded(rows, "label", "split").count() == 4
+    for bad in (rows.filter("label = 0 or split = 'train'"), rows.filter("split = 'train'")):
+        with pytest.raises(Exception, match="the test part has one class"):
+            splits.guarded(bad, "label", "split").collect()
+
+
+POINTER = "array<struct<x: double, y: double, ts: double>>"
+KEYS = "array<struct<code: string, phase: string, ts: double>>"
+
+
+def rep(n=45, pairs=8, seed=0, ts0=1000.0):
+    rng = np.random.default_rng(seed)
+    ts = ts0 + np.cumsum(rng.integers(5, 40, n))
+    pointer = [(float(a), float(b), float(t)) for a, b, t in zip(np.cumsum(rng.normal(0, 9, n)), np.cumsum(rng.normal(0, 9, n)), ts)]
+    keys, t = [], ts0
+    for i in range(pairs):
+        t += float(rng.integers(20, 90))
+        keys += [(f"K{i % 3}", "down", t), (f"K{i % 3}", "up", t + float(rng.integers(30, 120)))]
+    return pointer, sorted(keys, key=lambda k: k[2])
+
+
+def test_reps_to_events(spark):
+    keys = [("A", "up", 5.0), ("A", "down", 10.0), ("A", "down", 20.0), ("B", "down", 25.0), ("A", "up", 40.0), ("A", "up", 41.0), ("B", "up", 60.0), ("C", "down", 70.0)]
+    rows = spark.createDataFrame([("r", [(1.0, 2.0, 100.0), (3.0, 4.0, 116.0)], keys), ("none", None, None)], f"session string, pointer {POINTER}, keys {KEYS}")
+    assert [(r["us"], r["x"]) for r in reps.touch(rows).orderBy("pos").collect()] == [(0, 1.0), (16000, 3.0)]
+    assert [(r["phase"], r["us"]) for r in reps.keys(rows).orderBy("pos").collect()] == [("down", 0), ("up", 20000), ("down", 5000), ("up", 40000)]
+    assert reps.completed(keys).tolist() == [[0.02, 0.04], [0.025, 0.06]]
+
+
+def test_windows_of_reps_in_tables_and_one_by_one(spark):
+    made = {f"r{i}": rep(n, pairs, i) for i, (n, pairs) in enumerate(((45, 8), (8, 2), (4, 3), (1, 0), (60, 1)))}
+    rows = spark.createDataFrame([(k, *v) for k, v in made.items()], f"session string, pointer {POINTER}, keys {KEYS}")
+    got = {(r["session"], r["window"]): [r[n] for n in reps.SUBSET] for r in reps.windows(reps.touch(rows), reps.keys(rows)).collect()}
+    assert len(got) == 5 * len(made)
+    for k, (pointer, keys) in made.items():
+        path = np.array([((t - pointer[0][2]) / 1000, x, y) for x, y, t in pointer])
+        assert np.allclose(reps.vectors(path, reps.completed(keys)), [got[k, w] for w in range(5)], atol=1e-9)
+
+
+def test_faults_of_reps(spark):
+    pointer, keys = rep()
+    still = [*pointer[:5], (1.0, 1.0, pointer[4][2]), *pointer[6:]]
+    odd = [*pointer[:5], (float("nan"), 1.0, pointer[5][2]), *pointer[6:]]
+    cases = {"good": (pointer, keys), "few": (pointer[:7], keys), "eight": (pointer[:8], keys), "keys": (pointer, keys[:2]), "open": (pointer, [k for k in keys if k[1] == "down"]), "nan": (odd, keys), "late": (still, keys), "none": (None, None)}
+    rows = spark.createDataFrame([(k, *v) for k, v in cases.items()], f"session string, pointer {POINTER}, keys {KEYS}")
+    got = {r["session"]: r["reason"] for r in reps.faults(rows).collect()}
+    want = {"good": None, "few": "too_few_touch", "eight": None, "keys": "too_few_keys", "open": "too_few_keys", "nan": "non_finite_touch", "late": "non_monotonic_time", "none": "too_few_touch"}
+    assert got == want
+    for k, (p, q) in cases.items():
+        path = np.array([((t - p[0][2]) / 1000, x, y) for x, y, t in p]) if p else np.empty((0, 3))
+        assert reps.fault(path, reps.completed(q or [])) == want[k]
 
 
 def test_few_events_have_defined_features(spark):

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from gaugeworks.operators import features, profiles
+from gaugeworks.operators import evaluation, features, profiles
 from gaugeworks.plans import catalogue
 from gaugeworks.sources import proxies
 
@@ -66,3 +66,51 @@ def test_subject_disjoint_split_numpy_is_the_greedy_one(spark, sf):
         taken += n[listed[i]] if taken < target else 0
     ours = catalogue.subject_disjoint_split_numpy(spark, sf).collect()
     assert {r["subject"]: (r["n"], r["split"]) for r in ours} == {s: (n[s], split[s]) for s in n} and len(ours) == len(n)
+
+
+def test_covariances_far_from_zero(spark):
+    """Values of 1e6 with deviations of 0.01, several batches and partitions, a group of one row."""
+    rng = np.random.default_rng(2)
+    x = {g: 1e6 + rng.normal(0, 0.01, (n, 4)) for g, n in (("a", 400), ("b", 37), ("c", 1))}
+    rows = spark.createDataFrame([(g, v.tolist()) for g, m in x.items() for v in m], "g string, v array<double>").repartition(5)
+    got = {r["g"]: r for r in profiles.covariances(rows, "g", "v", 4).collect()}
+    for g, m in x.items():
+        assert got[g]["n"] == len(m)
+        assert np.allclose(got[g]["mean"], m.mean(axis=0), rtol=1e-15)
+        want = np.cov(m, rowvar=False) if len(m) > 1 else np.zeros((4, 4))
+        assert np.allclose(np.reshape(got[g]["cov"], (4, 4)), want, rtol=1e-5, atol=1e-9)
+
+
+def brute_eer(scores, labels):
+    best, out = 1.0, 0.5
+    for t in np.unique(scores):
+        fpr, fnr = (scores[labels == 0] >= t).mean(), (scores[labels == 1] < t).mean()
+        if abs(fpr - fnr) < best:
+            best, out = abs(fpr - fnr), (fpr + fnr) / 2
+    return out
+
+
+def test_evaluation_is_numpys(spark):
+    """Genuine sessions alone are learned; imposters and bots of the same set and of another are told apart."""
+    rng = np.random.default_rng(6)
+    sets = []
+    for shift in (0.0, 0.7):
+        sets.append([(f"{label}{i}", label, (rng.normal(0, 1, 3) * [1, 5, 0.1] + mean + shift).tolist()) for label, mean in (("genuine", 0.0), ("imposter", 1.0), ("bot", 2.5)) for i in range(60)])
+    frames = [spark.createDataFrame(x, "session string, label string, vector array<double>") for x in sets]
+    got = {r["domain"]: r for r in evaluation.evaluated(*frames, 3).collect()}
+    v = lambda x, *labels: np.array([r[2] for r in x if r[1] in labels])
+    genuine = v(sets[0], "genuine")
+    inverse = np.linalg.pinv(np.cov(genuine, rowvar=False) + 1e-3 * np.eye(3))
+    every, y = v(sets[0], "genuine", "imposter", "bot"), np.array([float(r[1] == "bot") for r in sets[0]])
+    std = every.std(axis=0)
+    z = (every - every.mean(axis=0)) / std
+    w, b = np.random.default_rng(0).normal(0.0, 0.01, 3), 0.0
+    for _ in range(2000):
+        e = 1 / (1 + np.exp(-(z @ w + b))) - y
+        w, b = w - 0.1 * z.T @ e / len(z), b - 0.1 * e.mean()
+    for domain, test in (("in", sets[0]), ("cross", sets[1])):
+        d = v(test, "genuine", "imposter") - genuine.mean(axis=0)
+        scores = np.sqrt(np.einsum("ij,jk,ik->i", d, inverse, d))
+        assert abs(got[domain]["auth_eer"] - brute_eer(scores, np.array([float(r[1] == "imposter") for r in test if r[1] != "bot"]))) < 1e-9
+        p = 1 / (1 + np.exp(-(((v(test, "genuine", "imposter", "bot") - every.mean(axis=0)) / std) @ w + b)))
+        assert abs(got[domain]["bot_accuracy"] - ((p >= 0.5) == np.array([r[1] == "bot" for r in test])).mean()) < 1e-9

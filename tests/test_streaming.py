@@ -82,3 +82,18 @@ def test_profile_is_the_shrunk_mahalanobis_distance():
     d = np.array([np.sqrt((v - x.mean(0)) @ np.linalg.pinv(c) @ (v - x.mean(0))) for v in held])
     assert np.isclose(p.threshold, d.mean() + 3 * d.std())
     assert enrolment.Profile.fit([np.ones((5, 9)).tolist()] * 6) is None
+
+
+def test_reps_enrol_within_the_stream(spark, tmp_path):
+    """Captured reps: quality, windows, enrolment, calibration and attempts in one stateful stream."""
+    from .test_operators import KEYS, POINTER, rep
+
+    rows = [("u", i, "enroll", *rep(seed=i)) for i in range(7)] + [("u", 7, "enroll", *rep(n=5)), ("u", 8, "calibrate", None, None), ("u", 9, "attempt", *rep(seed=20)), ("u", 10, "attempt", [(x * 60, y * 60, t) for x, y, t in rep(seed=21)[0]], rep(seed=21)[1]), ("u", 11, "attempt", *rep(pairs=1))]
+    schema = f"user string, seq long, action string, pointer {POINTER}, keys {KEYS}"
+    for i in range(0, len(rows), 5):
+        spark.createDataFrame(rows[i : i + 5], schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in")
+    stream = enrolment.run_reps(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in"))
+    got = {r["seq"]: r for r in events.run_to_end(stream, f"{tmp_path}/out").collect()}
+    assert [got[i]["reason"] for i in range(12)] == [None] * 7 + ["too_few_touch", None, None, None, "too_few_keys"]
+    assert got[7]["enroll_reps"] == 7 and got[8]["threshold"] > 0
+    assert (got[9]["verdict"], got[10]["verdict"]) == ("ACCEPT", "REJECT")
