@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,13 +89,9 @@ def code_label(code: Column, classes: dict[int, str]) -> Column:
     return F.create_map(*[F.lit(x) for k, v in classes.items() for x in (k, v)])[code]
 
 
-def mahalanobis(x: Column, mean: Sequence[float], inverse: Sequence[Sequence[float]]) -> Column:
-    """sqrt(d' S d) of an array column; mean and inverse are small literals."""
-    m = F.array(*[F.lit(float(v)) for v in mean])
-    s = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in inverse])
-    d = F.zip_with(x, m, lambda a, b: a - b)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
-    return F.sqrt(F.greatest(F.lit(0.0), dot(d, F.transform(s, lambda row: dot(d, row)))))
+def detection_rate(found: Column, all_: Column) -> Column:
+    """Rows found of all rows; 0 without any."""
+    return ratio(F.sum(found.cast("long")), F.sum(all_.cast("long")))
 
 
 def correlation(x: Column | str, y: Column | str) -> Column:

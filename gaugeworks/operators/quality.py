@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,8 +36,18 @@ def leaking_split_pairs(manifest: DataFrame, identity: str = "identity", split:
 
 
 def index_fingerprint(ids: DataFrame, column: str) -> DataFrame:
-    """One row: the number of different ids and sha256 of the sorted ids joined by bars. Ids are an index (a list of identities), not a table of samples."""
-    return ids.select(F.col(column).cast("string").alias("id")).filter("id is not null").distinct().agg(F.count(F.lit(1)).alias("n_ids"), F.sha2(F.array_join(F.sort_array(F.collect_list("id")), "|"), 256).alias("fingerprint"))
+    """One row: the number of different ids and sha256 of the sorted ids joined by bars. That hash is sequential: ids are made distinct and sorted by Spark, and one task hashes them as they come, holding a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = hashlib.sha256(), 0
+        for b in batches:
+            for x in b.column(0):
+                h.update((b"|" if n else b"") + x.as_py().encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n_ids": pa.array([n], pa.int64()), "fingerprint": pa.array([h.hexdigest()])})
+
+    distinct = ids.select(F.col(column).cast("string").alias("id")).filter("id is not null").distinct()
+    return distinct.repartition(1).sortWithinPartitions("id").mapInArrow(run, "n_ids long, fingerprint string")
 
 
 def session_faults(touch: DataFrame, motion: DataFrame, sessions: DataFrame, min_touch: int = 3, min_motion: int = 3, max_speed: float = MAX_SPEED, us: str | None = None) -> DataFrame:

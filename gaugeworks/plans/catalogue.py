@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions import scalars as fn
-from ..operators import evaluation, features, generate, manifests, metrics, profiles, quality, reps, splits, sweeps
+from ..operators import evaluation, features, generate, ingest, manifests, metrics, profiles, quality, reps, splits, sweeps
 from ..sources import files
 from ..sources import proxies as src
 from ..sources.shared import kept, shared_folder
@@ -576,10 +576,7 @@ def label_code_map(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)/', 1) AS host, split_part(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '/', 1) AS part FROM pages")
 def path_subject(spark: SparkSession, sf: str) -> DataFrame:
     p = src.table(spark, sf, "pages")
-    return p.select("page_id", F.regexp_extract("url", "^[a-z]+://([^/]+)/", 1).alias("host"), F.split_part(F.regexp_replace("url", "^[a-z]+://[^/]+/", ""), F.lit("/"), F.lit(1)).alias("part"))
-
-
-PROBE = "format('  Duration: {:02d}:{:02d}:{:02d}.{:02d}, start: 0.0', o_orderkey % 3, o_custkey % 60, o_orderkey % 60, o_custkey % 100)"
+    return p.select("page_id", files.subject_of(F.col("url")).alias("host"), F.split_part("url", F.lit("/"), F.lit(4)).alias("part"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 1.0::DOUBLE ELSE round((o_orderkey % 3) * 3600 + (o_custkey % 60) * 60 + (o_orderkey % 60) + (o_custkey % 100) / 100::DOUBLE, 6) END AS seconds FROM orders")
@@ -616,6 +613,36 @@ def provenance_union_by_type(spark: SparkSession, sf: str) -> DataFrame:
     return a.unionByName(b).unionByName(c, allowMissingColumns=True).select("type", "name", "n", F.col("axis").cast("string").alias("axis"))
 
 
+INGEST = """p AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS place FROM documents),
+d AS (SELECT doc_id, lang, place, format('real-{}-{:08d}', lang, place) AS sample_id, place % 3 = 0 AS known, CASE WHEN n_chars < 200 THEN 'low_variance' END AS fault FROM p WHERE place < 100)"""
+
+
+def _ingested(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pictures of a class each: a hundred of each class, every third there already, short ones unfit."""
+    docs = src.table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    plan = ingest.planned(docs, "lang", "doc_id", F.lit("real"), 100)
+    done = ingest.marked(plan, plan.filter(F.col("place") % 3 == 0))
+    return done.withColumn("fault", F.when(F.col("n_chars") < 200, "low_variance"))
+
+
+@query(f"WITH {INGEST} SELECT lang, count(*) FILTER (NOT known AND fault IS NULL)::BIGINT AS written, count(*) FILTER (known)::BIGINT AS known, count(*) FILTER (NOT known AND fault IS NOT NULL)::BIGINT AS faulty FROM d GROUP BY lang")
+def ingest_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.counted(_ingested(spark, sf), "lang")
+
+
+@query(f"WITH {INGEST} SELECT 'real_attack_dataset_ingested' AS type, 'docs' AS name, 'CC0' AS license, 'http://h' AS source_url, sha256(string_agg(DISTINCT sample_id, '|' ORDER BY sample_id)) AS sha256_of_index FROM d HAVING bool_or(NOT known AND fault IS NULL)")
+def ingest_event(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.event(_ingested(spark, sf), "sample_id", "real_attack_dataset_ingested", "docs", "CC0", "http://h")
+
+
+@query("SELECT lang, round(count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) / count(*)::DOUBLE, 6) AS rate FROM documents GROUP BY lang")
+def detection_rate(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents labelled good, as pictures with a face found."""
+    good = src.table(spark, sf, "labels").filter("quality = 1").select("doc_id").distinct().withColumn("_found", F.lit(True))
+    d = src.table(spark, sf, "documents").select("doc_id", "lang").join(good, "doc_id", "left")
+    return r6(d.groupBy("lang").agg(fn.detection_rate(F.coalesce("_found", F.lit(False)), F.lit(True)).alias("rate")), "rate")
+
+
 # --- events in time, as a batch ---
 
 
@@ -764,7 +791,7 @@ def auth_bot_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 def kernel_pictures(spark: SparkSession, sf: str) -> DataFrame:
     """Small pictures made of hashes of the suppliers' names, each attacked in three ways."""
     s = src.table(spark, sf, "supplier").select("s_suppkey", F.unhex(F.repeat(F.sha2("s_name", 512), 27)).alias("pixels"), F.explode(F.array(*map(F.lit, sorted(kernels.KERNELS)))).alias("attack"))
-    made = kernels.simulated(s.select("s_suppkey", "pixels", F.lit(24).alias("height"), F.lit(24).alias("width"), "attack", fn.derive_seed("s_suppkey", "attack").alias("seed"), F.lit(None).cast("map<string, double>").alias("params")))
+    made = kernels.simulated(s.select("s_suppkey", "pixels", F.lit(24).alias("height"), F.lit(24).alias("width"), "attack", fn.derive_seed("s_suppkey", "attack").alias("seed"), F.lit(None).cast("map<string, double>").alias("params")), sensor="webcam")
     return made.select("s_suppkey", "attack", F.sha2("attacked", 256).alias("sha256"), "fault")
 
 
@@ -781,14 +808,14 @@ def stream_sliding_windows(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    """Appends the first row of each key; which row that is depends on arrival, so the key is returned."""
-    stream = streams.without_repeats(streams.event_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "ts", "3650 days")
+    """Appends the first row of each key of a month; which row that is depends on arrival, so the key is returned."""
+    stream = streams.without_repeats(streams.event_stream(spark, f"{sf}/events.parquet"), ["user_id", "event_type"], "ts", "31 days")
     return streams.run_to_end(stream.select("user_id", "event_type"), shared_folder(spark, "stream")).drop("batch")
 
 
 @query()
 def stream_enrolment(spark: SparkSession, sf: str) -> DataFrame:
-    """Subjects of the embeddings enrol with six reps of five vectors, are calibrated, and then attempt."""
+    """Subjects of the embeddings enrol with six reps of their vectors, are calibrated, and then attempt. The first nine of a vector's components stand in for the nine features of a window."""
     v = src.profiles(spark, sf).select(F.col("subject").cast("string").alias("user"), F.expr("vec_id div 50").alias("rep"), "vec_id", F.slice("vector", 1, 9).alias("x"))
     reps = v.groupBy("user", "rep").agg(F.transform(F.sort_array(F.collect_list(F.struct("vec_id", "x"))), lambda e: e["x"]).alias("windows"))
     place = F.row_number().over(Window.partitionBy("user").orderBy("rep"))

@@ -1,13 +1,15 @@
 """Hand-worked cases, edge cases and file sources."""
 
+import hashlib
 import json
 import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeworks.functions import running, scalars
-from gaugeworks.operators import features, metrics, quality, reps, splits
+from gaugeworks.functions import kernels, running, scalars
+from gaugeworks.operators import features, ingest, metrics, quality, reps, splits
 from gaugeworks.sources import files, jsonl, schemas
 
 SCORED = "score double, label int, attack_type string"
@@ -282,3 +284,41 @@ def test_subject_of_path(spark):
     with pytest.raises(Exception, match="no subject"):
         short = spark.createDataFrame([("a/b",)], "p string")
         short.select(files.subject_of(short["p"])).collect()
+
+
+def test_ingest_run(spark):
+    """Two runs over pictures: the first takes the good ones within the cap, the second finds them there."""
+    rng = np.random.default_rng(1)
+    picture = lambda h, w: bytearray(rng.integers(0, 256, (h, w, 3), dtype=np.uint8).tobytes())
+    rows = [("print", f"p/{i}.png", picture(20, 30), 20, 30) for i in range(4)] + [("mask", "m/0.png", picture(9, 9), 9, 9), ("mask", "m/1.png", bytearray(9 * 9 * 3), 9, 9), ("mask", "m/2.png", bytearray(b"x"), 9, 9), ("mask", "m/3.png", None, 9, 9)]
+    pictures = spark.createDataFrame(rows, "class string, rel string, pixels binary, height int, width int")
+    plan = ingest.planned(pictures, "class", "rel", F.lit("real"), cap=3)
+    assert sorted(r["sample_id"] for r in plan.collect()) == [f"real-{c}-{i:08d}" for c in ("mask", "print") for i in range(3)]
+    none = plan.limit(0)
+    first = ingest.staged(ingest.marked(plan, none), 8)
+    assert sorted(map(tuple, ingest.counted(first, "class").collect())) == [("mask", 1, 0, 2), ("print", 3, 0, 0)]
+    assert {r["rel"]: r["fault"] for r in first.filter("class = 'mask'").collect()} == {"m/0.png": None, "m/1.png": "low_variance", "m/2.png": "bad_shape"}
+    assert all((r["staged"] is None) == (r["fault"] is not None) and len(r["staged"] or bytes(192)) == 192 for r in first.collect())
+    (told,) = ingest.event(first, "rel", "bonafide_dataset_ingested", "n", "CC0", "u").collect()
+    assert told["sha256_of_index"] == hashlib.sha256("|".join(sorted(r["rel"] for r in plan.collect())).encode()).hexdigest()
+    second = ingest.staged(ingest.marked(plan, first.filter("fault is null")), 8)
+    assert sorted(map(tuple, ingest.counted(second, "class").collect())) == [("mask", 0, 1, 2), ("print", 0, 3, 0)]
+    assert ingest.event(second, "rel", "bonafide_dataset_ingested", "n", "CC0", "u").collect() == []
+
+
+def test_resizing_keeps_constants_and_averages():
+    flat = np.full((7, 5, 3), 93, np.uint8)
+    assert (kernels.resized(flat, 12, 3) == 93).all()
+    ramp = np.tile(np.linspace(0, 255, 64)[None, :, None], (64, 1, 3)).astype(np.uint8)
+    half = kernels.resized(ramp, 16, 16)
+    assert half.shape == (16, 16, 3) and abs(float(half.mean()) - float(ramp.mean())) < 1
+    assert np.abs(half[8, 2:-2, 0].astype(float) - ramp.reshape(16, 4, 16, 4, 3).mean(axis=(1, 3))[8, 2:-2, 0]).max() < 2
+
+
+def test_real_files_and_chosen_subjects(spark):
+    meta = spark.createDataFrame([("a", "REAL"), ("b", "FAKE"), ("gone", "REAL")], "name string, label string")
+    assert [r["name"] for r in ingest.real_only(meta, spark.createDataFrame([("a",), ("b",), ("other",)], "name string")).collect()] == ["a"]
+    rows = spark.range(300).selectExpr("id % 30 AS subject", "id")
+    one, two = ({r["subject"] for r in ingest.chosen_subjects(x, "subject", 7, 3).collect()} for x in (rows, rows.repartition(5)))
+    assert one == two and len(one) == 7
+    assert one != {r["subject"] for r in ingest.chosen_subjects(rows, "subject", 7, 4).collect()}
