@@ -8,12 +8,14 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .common import fresh, table, with_fields
 
@@ -99,10 +101,11 @@ class Bpe:
         self.whole = PerfectHash(known)
         self.ranks = ranks
 
-    @classmethod
-    def load(cls, path: str, pattern: str) -> Bpe:
+    @staticmethod
+    def load(path: str, pattern: str) -> Bpe:
+        """The vocabulary of a file; one that was loaded before, with the same content, isn't built again."""
         with open(path, "rb") as f:
-            return cls({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}, pattern)
+            return _loaded(f.read(), pattern)
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         i = self.whole.get(piece)
@@ -157,6 +160,11 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(2)
+def _loaded(content: bytes, pattern: str) -> Bpe:
+    return Bpe({base64.b64decode(token): int(rank) for token, rank in map(bytes.split, content.splitlines())}, pattern)
+
+
 def packed(ids: array) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     return np.frombuffer(ids, np.uint32).astype("<u4", copy=False).tobytes()
@@ -202,11 +210,13 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "to
     return encoded.mapInArrow(run, schema)
 
 
-def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str | None = None) -> DataFrame:
-    """docs with n_tokens, ids_sha256 and decoded_sha256 (by these names plus underscores where docs has them), and the packed ids if ids_col names a column for them. The text is encoded and decoded again in one step, so that bytes needn't travel."""
+def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text", ids_col: str | None = None, keep_text: bool = True) -> DataFrame:
+    """docs, without the text unless keep_text, with n_tokens, ids_sha256 and decoded_sha256 (by these names plus underscores where docs has them), and the packed ids if ids_col names a column for them. The text is encoded and decoded again in one step, so that bytes needn't travel."""
     shared = docs.sparkSession.sparkContext.broadcast(Bpe.load(vocabulary, pattern))
     names = fresh(docs, "n_tokens", "ids_sha256", "decoded_sha256")
     schema = with_fields(docs, *zip(names, ("long", "string", "string"), strict=True), *([(ids_col, "binary")] if ids_col else []))
+    if not keep_text:
+        schema = StructType([f for f in schema.fields if f.name != text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, enc = _worker_state(shared)
@@ -223,7 +233,9 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
                 back.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             for name, values, kind in zip(names, (counts, hashes, back), (pa.int64(), pa.string(), pa.string()), strict=True):
                 batch = batch.append_column(name, pa.array(values, kind))
-            yield batch.append_column(ids_col, pa.array(all_ids, pa.binary())) if ids_col else batch
+            if ids_col:
+                batch = batch.append_column(ids_col, pa.array(all_ids, pa.binary()))
+            yield batch.select(schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -235,5 +247,4 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return out.drop("text")
+    return digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep_text=False)
