@@ -40,6 +40,22 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables in one folder of the shared folder, removed together when no result reads them any more."""
+
+    def __init__(self, spark: SparkSession, what: str) -> None:
+        self.spark, self.path = spark, shared_dir(spark, what)
+
+    def stored(self, df: DataFrame, what: str) -> DataFrame:
+        """As stored(), in this folder."""
+        path = f"{self.path}/{what}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def remove(self) -> None:
+        removed(self.spark, self.path)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names not in df, whatever it has (names match without case)."""
     have, out = {c.lower() for c in df.columns}, []

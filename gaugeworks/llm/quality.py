@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE, byte_values, fresh, mix, stored, table, with_fields, word_hashes
+from .common import BASE, Scratch, byte_values, fresh, mix, table, with_fields, word_hashes
 
 #: Labelled rows to learn from, and bytes of their features: those with the smallest hashes of doc_id, if there are more.
 TRAIN_ROWS, TRAIN_BYTES = 5000, 128 << 20
@@ -204,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_ro
                 yield pa.RecordBatch.from_pydict({"doc_id": ids.cast(pa.int64()), "y": ys, "ids": pa.array([f.tobytes() for f, _ in found], pa.binary()), "counts": pa.array([n.tobytes() for _, n in found], pa.binary())})
 
     key = ["doc_id", "y", "print"]
-    found = stored(joined.mapInArrow(run, "doc_id long, y int, ids binary, counts binary"), "features").withColumn("print", F.xxhash64("ids", "counts"))
+    work = Scratch(docs.sparkSession, "features")
+    found = work.stored(joined.mapInArrow(run, "doc_id long, y int, ids binary, counts binary"), "rows").withColumn("print", F.xxhash64("ids", "counts"))
     sizes = found.groupBy(*key).agg(F.max(F.octet_length("ids") + F.octet_length("counts")).alias("size"))
     taken, held = [], 0
     for r in sizes.orderBy(F.xxhash64("doc_id"), *key).limit(train_rows).collect():
@@ -213,9 +214,11 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_ro
             break
         taken.append((r["doc_id"], r["y"], r["print"]))
     if not taken:
+        work.remove()
         return train([])
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, y int, print long")
     got = found.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("ids").alias("ids"), F.first("counts").alias("counts")).toArrow()
+    work.remove()
     got = got.sort_by([(k, "ascending") for k in key]).combine_chunks()
     # views of the table's own memory
     view = lambda value, kind: np.frombuffer(value.as_buffer() or b"", kind)
