@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.running import numbered
+from ..functions.running import numbered, order_number
 from ..functions.scalars import derive_seed, sample_id
 from ..sources.shared import kept
 
@@ -34,6 +34,18 @@ def first_per(rows: DataFrame, by: Sequence[str], order: Sequence[Column | str],
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n)
 
 
+def best_per(rows: DataFrame, by: Sequence[str], score: str, order: str) -> DataFrame:
+    """The row with the highest score of each group, of ties the first in order, a number; groups without a score give none."""
+    best = F.max_by(F.struct(*[c for c in rows.columns if c not in by]), F.struct(F.col(score), -F.col(order)))
+    return rows.filter(F.col(score).isNotNull()).groupBy(*by).agg(best.alias("_b")).select(*by, "_b.*")
+
+
+def shuffled_take(rows: DataFrame, by: Sequence[str], key: str, seed: int, n: int) -> DataFrame:
+    """n rows of each group in the order of a hash of seed and key, with their rank: a sampling operator whose draw depends on nothing else."""
+    drawn = rows.withColumn("_o", order_number(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))))
+    return first_per(drawn, by, ["_o", key], n).drop("_o")
+
+
 def work_items(identities: DataFrame, identity: str, order: str, per_identity: int, modality: str, attacks: Sequence[tuple[str, float]], master_seed: int) -> DataFrame:
     """(sample_id, identity, sub, counter, dispatch_seed, attack, seed): each identity per_identity times, numbered in order of identity and sub.
 

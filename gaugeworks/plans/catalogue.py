@@ -251,6 +251,16 @@ def cap_per_class(spark: SparkSession, sf: str) -> DataFrame:
     return manifests.first_per(rows, ["label", "lang"], ["sample_id"], 20)
 
 
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS k FROM orders) WHERE k = 1")
+def best_per_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return manifests.best_per(src.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), ["o_custkey"], "o_totalprice", "o_orderkey")
+
+
+@query("SELECT o_custkey, o_orderkey, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY ('0x' || substr(sha256('5|' || o_orderkey), 1, 15))::BIGINT, o_orderkey) AS rank FROM orders) WHERE rank <= 2")
+def shuffled_take_per_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return manifests.shuffled_take(src.table(spark, sf, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], "o_orderkey", 5, 2)
+
+
 SPLIT_ORDER = "('0x' || substr(sha256('split|' || subject), 1, 15))::BIGINT"
 
 
