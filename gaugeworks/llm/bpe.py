@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
+from xxhash import xxh3_64_intdigest
 
 from .common import fresh, table, with_fields
 
@@ -25,11 +26,6 @@ REMEMBERED = 300_000
 LONG = 64
 
 
-def _hash(data: bytes, seed: int) -> int:
-    """64-bit hash of bytes; the same in every process."""
-    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=seed.to_bytes(2, "little")).digest(), "little")
-
-
 class PerfectHash:
     """Minimal perfect hash of a set of keys by displacement: a key's first hash gives a bucket, the bucket's displacement d the slot (a + d * b) mod n of each of its keys. Buckets are placed from the fullest down. Slots hold the keys, so that others are told apart."""
 
@@ -75,7 +71,7 @@ class PerfectHash:
         return True
 
     def _parts(self, key: bytes, seed: int) -> tuple[int, int, int]:
-        h = _hash(key, seed)
+        h = xxh3_64_intdigest(key, seed)
         return (h & 0xFFFFF) % self.n_buckets, (h >> 20) & 0x3FFFFF, ((h >> 42) % (self.n - 1) + 1) if self.n > 1 else 1
 
     def get(self, key: bytes) -> int:
