@@ -23,11 +23,6 @@ BLANK = " \t\n\x0b\x0c\r"
 QUANTILES = 1024
 
 
-def line_key(line: Column) -> Column:
-    """The line without blanks at its ends, A-Z lower-cased."""
-    return ascii_lower(F.btrim(line, F.lit(BLANK)))
-
-
 class Run:
     """A table with columns h1 and h2 among others, in buckets of these, sorted by them."""
 
@@ -110,13 +105,16 @@ def dropped_lines(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches
     for c in cuts:
         batch = batch + (F.col("doc_id") > c).cast("int")
 
-    def hashes(line: Column) -> Column:
-        key = line_key(line)
+    def hashes(key: Column) -> Column:
         # the first argument seeds the hash, so these are two independent ones
         return F.when(F.char_length(key) >= MIN_CHARS, F.struct(F.xxhash64(F.lit(1), key).alias("h1"), F.xxhash64(F.lit(2), key).alias("h2")))
 
+    # step by step, as a lambda evaluates its argument wherever it stands
+    hashed = F.split("text", "\n", -1)
+    for f in (lambda line: F.btrim(line, F.lit(BLANK)), ascii_lower, hashes):
+        hashed = F.transform(hashed, f)
     lines, drops = shared_dir(spark, "lines"), shared_dir(spark, "dropped-lines")
-    docs.select("doc_id", "version", F.transform(F.split("text", "\n", -1), hashes).alias("lines"), batch.alias("batch")).write.partitionBy("batch").parquet(lines)
+    docs.select("doc_id", "version", hashed.alias("lines"), batch.alias("batch")).write.partitionBy("batch").parquet(lines)
     schema = "doc_id long, version long, lines array<struct<h1: long, h2: long>>, batch int"
     runs = Runs(spark)
     for b in range(len(cuts) + 1):
