@@ -14,8 +14,11 @@ LARGE = 1_000_000
 STRETCHES = 64
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group."""
+def largest_group(df: DataFrame, by: Sequence[str], large: int | None = None) -> int:
+    """Rows of the largest group, or a bound of it: all rows, if those are at most `large`."""
+    n = df.count()
+    if n <= (LARGE if large is None else large) or not by:
+        return n
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -30,7 +33,7 @@ def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[st
     Groups of up to `large` rows are summed by a window each. If one has more, the order is cut at quantiles into stretches, which are summed on their own: a window runs within a stretch of a group, another over the few totals of its stretches. So a group as large as the table is still dealt to many tasks, however its values lie; the sums are the same."""
     by, large = list(by), LARGE if large is None else large  # LARGE as it is now
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    if (largest_group(df, by) if largest is None else largest) <= large:
+    if (largest_group(df, by, large) if largest is None else largest) <= large:
         w = before(window(by).orderBy(order))
         return df.withColumns({name: F.coalesce(F.sum(c).over(w), F.lit(0)) for c, name in sums.items()})
     value = F.col(order)

@@ -69,7 +69,18 @@ def threshold_at_apcer(scored: DataFrame, target: float, by: Sequence[str] = ())
         raise ValueError("the target must not be negative")
     by = list(by)
     counts = kept(scored.groupBy(*by, F.when(F.col("label") == 1, F.col("attack_type")).alias("species"), "score").agg(F.count(F.lit(1)).alias("n")), "counts")
-    attacks = counts.filter(F.col("species").isNotNull())
+    largest, typed = largest_group(counts, by), F.col("species").isNotNull()
+    if largest <= LARGE:  # a group's counts fit a task: windows alone
+        each, whole = window([*by, "species"]), window(by)
+        upto = sums_before(counts, "score", {"n": "below"}, [*by, "species"], largest=largest).withColumn("all", F.sum("n").over(each))
+        over = typed & ((F.col("below") + F.col("n")).cast("double") / F.col("all") > target)
+        fixed = upto.withColumn("threshold", F.coalesce(F.min(F.when(over, F.col("score"))).over(whole), F.max("score").over(whole) + 1))
+        low = F.sum(F.when(F.col("score") < F.col("threshold"), F.col("n")).otherwise(F.lit(0))).cast("double") / F.sum("n")
+        rated = fixed.groupBy(*by, "species").agg(F.first("threshold").alias("threshold"), low.alias("rate"))
+        # without any typed attack the rate is 0 everywhere
+        out = rated.groupBy(*by).agg(F.first("threshold").alias("threshold"), F.coalesce(F.max(F.when(typed, F.col("rate"))), F.lit(0.0)).alias("apcer"))
+        return out.filter(F.col("threshold").isNotNull())
+    attacks = counts.filter(typed)
     totals = attacks.groupBy(*by, "species").agg(F.sum("n").alias("all"))
     upto = sums_before(attacks, "score", {"n": "below"}, [*by, "species"]).join(totals, [*by, "species"])
     over = (F.col("below") + F.col("n")).cast("double") / F.col("all") > target
@@ -79,7 +90,6 @@ def threshold_at_apcer(scored: DataFrame, target: float, by: Sequence[str] = ())
     rated = attacks.join(fixed, by) if by else attacks.crossJoin(fixed)
     low = F.sum(F.when(F.col("score") < F.col("threshold"), F.col("n")).otherwise(F.lit(0))).cast("double") / F.sum("n")
     worst = rated.groupBy(*by, "species").agg(low.alias("apcer")).groupBy(*by).agg(F.max("apcer").alias("apcer"))
-    # without any typed attack the rate is 0 everywhere
     out = fixed.join(worst, by, "left") if by else fixed.crossJoin(worst)
     return out.select(*by, "threshold", F.coalesce("apcer", F.lit(0.0)).alias("apcer"))
 
