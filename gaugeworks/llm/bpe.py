@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 from xxhash import xxh3_64_intdigest
 
-from .common import fresh, table, with_fields
+from .common import fresh, slices, table, with_fields
 
 #: Pre-tokens whose ids a Python worker remembers; beyond, it starts afresh.
 REMEMBERED = 300_000
@@ -184,7 +184,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, enc = _worker_state(shared)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             ids = [packed(enc(x.as_py() or "")) for x in texts]
             yield batch.append_column(out_col, pa.array(ids, pa.binary()))
@@ -199,7 +199,7 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, ids_col: str = "to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column(batch.schema.get_field_index(ids_col))
             yield batch.append_column(out_col, pa.array([bpe.decode(unpacked(x.as_py() or b"").tolist()) for x in ids], pa.binary()))
 
@@ -216,7 +216,7 @@ def digests(docs: DataFrame, vocabulary: str, pattern: str, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, enc = _worker_state(shared)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
             counts, hashes, back, all_ids = [], [], [], []
             for x in texts:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, removed, shared_dir, table
+from .common import fresh, removed, shared_dir, slices, table
 
 WINDOW = 10
 #: Bytes of benchmark text whose tables are sent to the executors at once; a larger benchmark is searched for in blocks of this size.
@@ -208,7 +208,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", block_by
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             windows = table_.value
-            for batch in batches:
+            for batch in slices(batches):
                 at = {n: batch.schema.get_field_index(n) for n in (text_col, n_words, spans, items)}
                 counts, all_spans, all_items = [], [], []
                 for text, s, i in zip(batch.column(at[text_col]), batch.column(at[spans]).to_pylist(), batch.column(at[items]).to_pylist(), strict=True):

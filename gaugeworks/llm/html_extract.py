@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import fresh, table, with_fields
+from .common import fresh, slices, table, with_fields
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -423,7 +423,7 @@ def main_text(pages: DataFrame, html_col: str = "html", out_col: str = "main_tex
         schema = StructType([f for f in schema.fields if f.name != html_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             pages_ = batch.column(batch.schema.get_field_index(html_col))
             out = batch.append_column(out_col, pa.array([extract(x.as_py()) for x in pages_], pa.string()))
             yield out if keep_html else out.select([n for n in out.schema.names if n != html_col])

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import BASE, Scratch, byte_values, fresh, mix, table, with_fields, word_hashes
+from .common import BASE, Scratch, byte_values, fresh, mix, slices, table, with_fields, word_hashes
 
 #: Labelled rows to learn from, and bytes of their features: those with the smallest hashes of doc_id, if there are more.
 TRAIN_ROWS, TRAIN_BYTES = 5000, 128 << 20
@@ -233,12 +233,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
         schema = StructType([f for f in schema.fields if f.name != text_col])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(batch.schema.get_field_index(text_col))
-            out: list[float] = []
-            for i in range(0, len(texts), 256):
-                out += shared.value.score(texts.slice(i, 256).to_pylist()).tolist()
-            batch = batch.append_column(out_col, pa.array(out, pa.float64()))
+            batch = batch.append_column(out_col, pa.array(shared.value.score(texts.to_pylist()), pa.float64()))
             yield batch if keep_text else batch.select([n for n in batch.schema.names if n != text_col])
 
     return docs.mapInArrow(run, schema)
