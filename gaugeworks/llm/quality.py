@@ -222,7 +222,10 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_ro
     got = got.sort_by([(k, "ascending") for k in key]).combine_chunks()
     # views of the table's own memory
     view = lambda value, kind: np.frombuffer(value.as_buffer() or b"", kind)
-    return train([(view(i, np.int32), view(n, np.float32), y.as_py()) for i, n, y in zip(got["ids"], got["counts"], got["y"], strict=True)])
+    model = train([(view(i, np.int32), view(n, np.float32), y.as_py()) for i, n, y in zip(got["ids"], got["counts"], got["y"], strict=True)])
+    del got
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep_text: bool = True) -> DataFrame:
