@@ -11,6 +11,7 @@ from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import OP7_SQL, op7_ngram_join
 from .quality import op8_quality
 from .sharding import op6_sharding
+from .token_counts import op13_token_counts
 from .warc import OP3_SQL, op3_warc
 
 QUERIES = {
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op13_token_counts": op13_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {
