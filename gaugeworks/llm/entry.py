@@ -9,6 +9,7 @@ from .fingerprints import op10_fingerprints
 from .html_extract import OP4_SQL, op4_html
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .ngram_join import OP7_SQL, op7_ngram_join
+from .periodic_runs import op11_periodic_runs
 from .quality import op8_quality
 from .sharding import op6_sharding
 from .token_counts import op13_token_counts
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_token_counts": op13_token_counts,
 }
 
