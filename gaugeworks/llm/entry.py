@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op1_byte_bpe
 from .chat import OP2_SQL, op2_chat
+from .collocations import OP12_SQL, op12_collocations
 from .decontam import OP5_SQL, op5_decontamination
 from .fingerprints import op10_fingerprints
 from .html_extract import OP4_SQL, op4_html
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -37,4 +39,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_decontamination": OP5_SQL,
     "op7_ngram_join": OP7_SQL,
     "op9_line_dedup": OP9_SQL,
+    "op12_collocations": OP12_SQL,
 }

@@ -1,0 +1,99 @@
+"""Collocations against plain counts."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from gaugeworks.llm import collocations as co
+
+
+def brute(rows, least=10, longest=3, share=50, top=2000):
+    f, n = Counter(), Counter()
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", lower):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for k in range(1, longest + 1):
+                f.update((lang, *words[i : i + k]) for i in range(len(words) - k + 1))
+    cand = {p: a for p, a in f.items() if len(p) > 2 and a >= least}
+    out = []
+    for p, a in cand.items():
+        lang, words = p[0], p[1:]
+        if any(100 * b >= share * a for q, b in cand.items() if q[0] == lang and len(q) > len(p) and any(q[1 + i : 1 + i + len(words)] == words for i in range(len(q) - len(words)))):
+            continue
+        score, k = min((1_000_000 * a * a // (f[(lang, *words[:k])] * f[(lang, *words[k:])]), k) for k in range(1, len(words)))
+        out.append((lang, " ".join(words), a, f[(lang, *words[:k])], f[(lang, *words[k:])], n[lang], score))
+    ranked = []
+    for lang in {r[0] for r in out}:
+        mine = sorted((r for r in out if r[0] == lang), key=lambda r: (-r[6], -r[2], r[1].encode()))
+        ranked += [(lang, i, *r[1:]) for i, r in enumerate(mine[:top], 1)]
+    return sorted(ranked)
+
+
+def rows_of(df):
+    return sorted(tuple(r[c] for c in ("lang", "rank", "phrase", "a", "l", "r", "n", "score")) for r in df.collect())
+
+
+def sample(rng, n):
+    words = ["New", "YORK", "city", "of", "the", "a", "été", "東京", "x\x1cy", "_", "$", "a.b", "a", "\x00", "city's"]
+    ends = [" ", " ", " ", "  ", "\t", ", ", ". ", "\n", "!", "\x0b"]
+    text = lambda: "".join(rng.choice(words) + rng.choice(ends) for _ in range(rng.randrange(60)))
+    return [(text(), rng.choice(["en", "fr", None, ""])) for _ in range(n)] + [("New York City. " * 30, "en"), (None, "en"), ("", None), (" \t. ", "de")]
+
+
+@pytest.mark.parametrize("settings", [{}, {"BLOCK_BYTES": 40}, {"LEAST_BITS": 3, "MOST_BITS": 3}, {"BATCH_BYTES": 50, "BLOCK_BITS": 8}])
+def test_against_plain_counts(spark, monkeypatch, settings):
+    """Also with many automata, with a sketch too small to tell anything, and in small batches."""
+    for k, v in settings.items():
+        monkeypatch.setattr(co, k, v)
+    rows = sample(random.Random(1), 150)
+    docs = spark.createDataFrame([(t, lang, "own", 1) for t, lang in rows], "text string, lang string, phrase string, F int").repartition(3)
+    assert rows_of(co.mine(docs)) == brute(rows)
+
+
+def test_parameters(spark):
+    rows = sample(random.Random(2), 60)
+    docs = spark.createDataFrame(rows, "body string, tongue string")
+    assert rows_of(co.mine(docs, "body", "tongue", least=3, longest=4, share=80, top=7)) == brute(rows, 3, 4, 80, 7)
+    assert rows_of(co.mine(docs, "body", "tongue", least=1, longest=2)) == brute(rows, 1, 2)
+
+
+def test_overlaps_and_repeated_rows(spark):
+    rows = [("a a a a a a a", "en")] * 4
+    out = rows_of(co.mine(spark.createDataFrame(rows, "text string, lang string")))
+    assert out == brute(rows)
+    assert [r[2:4] for r in out] == [("a a a", 20)]
+
+
+def test_exact_arithmetic(spark):
+    """Products beyond 64 bits, quotients just at and below a whole number."""
+    big = 10**15
+    rows = [("en", "a b", big + 1), ("en", "a", big + 1), ("en", "b", big + 1), ("en", "c d", big - 1), ("en", "c", big), ("en", "d", big - 1), ("en", "e f", 7), ("en", "e", 7), ("en", "f", 7_000_001)]
+    f = {p: n for _, p, n in rows}
+    out = co.scored(spark.createDataFrame(rows, "lang string, phrase string, f long"), 5, 50).collect()
+    assert {r["phrase"]: r["score"] for r in out} == {p: 1_000_000 * f[p] ** 2 // (f[p[0]] * f[p[2]]) for p in ("a b", "c d", "e f")}
+
+
+def test_no_rows_and_no_phrases(spark):
+    assert co.mine(spark.createDataFrame([], "text string, lang string")).collect() == []
+    assert co.mine(spark.createDataFrame([("one two", "en"), (None, None)], "text string, lang string")).collect() == []
+
+
+def test_normal_text():
+    assert co.normal("A  b,\tC..d\n") == b"a b . c . . d ."
+    p = co.Phrases("en", co.normal("a b. a b c"))
+    p.longer()
+    assert p.inside[1].tolist() == [True, False, False, True, True]
+    assert p.hashes[1][0] == p.hashes[1][3]
+    assert len(np.unique(p.hashes[1])) == 4
+
+
+def test_query(spark, sf, same):
+    from gaugeworks.llm.entry import ORACLE_SQL, QUERIES
+
+    same(QUERIES["op12_collocations"](spark, sf), ORACLE_SQL["op12_collocations"])
