@@ -1,14 +1,14 @@
 """Phrases whose words stand together more often than apart.
 
-1. For each number of words, the documents are scanned into a sketch: a phrase's hash names a cell, a cell's sum bounds the counts of its phrases from above. Phrases of three and more words are only counted where the bounds of both their parts (without the last word, without the first) reach the least count. Batches send the cells that they touch; each block of cells is summed in one task, row by row; what comes back is one bit a cell.
-2. Phrases in cells that reach the least count, and their words, are the patterns, a stored table.
-3. Patterns are compiled into pyahocorasick automata, block by block of at most BLOCK_BYTES of patterns. A text is its words with one space between, with a lone `.` where a piece ends; patterns begin and end with a space, which is the guard: a match starts and ends with a word, and none crosses a piece. Each task scans its share of the documents and sends the sums of all, also overlapping, matches; these are added up.
-4. Thresholds and scores work on the exact counts."""
+1. Sketches: a word's or phrase's hash names a cell; a cell's sum bounds the counts of what falls into it from above. One scan fills the sketches of words and pairs, one more each that of phrases of one word more, whose parts (without the last word, without the first) must pass the sketch before. Tasks send the cells that they touch; each block of cells is summed in one task, row by row; what comes back is one bit a cell, whether its sum reaches the least count.
+2. Each task goes through its documents in shards. A shard's words and phrases in cells that pass are compiled into a pyahocorasick automaton of its own, which then scans the shard and counts all, also overlapping, matches. A shard is a string with a symbol for each word; delimiters guard it: where a piece ends, and in place of words that no pattern has, stands a dot, which no pattern has either. So an automaton is bounded by its shard, each document is scanned once however many candidates there are, and nothing is broadcast but the bits.
+3. Spark adds up the counts of the shards; thresholds and scores work on the exact sums.
+
+Words and phrases are told apart by hashes of 64 bits within a shard."""
 
 from __future__ import annotations
 
 import math
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
@@ -20,14 +20,14 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, Scratch, byte_values, mix, slices, stored, table, word_hashes
 
-#: Bytes of text that a task works on at once (a longer text is worked on alone).
-BATCH_BYTES = 8 << 20
-#: The sketch has about a cell for so many bytes of text, within these powers of two. A full sketch lets more phrases pass, never fewer.
+#: Bytes of text in a shard (a longer text is a shard of its own), and cells that a task gathers before it sends them.
+SHARD_BYTES, GATHERED = 8 << 20, 4 << 20
+#: A sketch has about a cell for so many bytes of text, within these powers of two. A full sketch lets more pass, never less.
 BYTES_A_CELL, LEAST_BITS, MOST_BITS = 8, 16, 28
-#: Cells that one task sums up at a time, as a power of two.
-BLOCK_BITS = 16
-#: Patterns in one automaton; a trie takes up to 50 bytes for each of these.
-BLOCK_BYTES = 4 << 20
+#: A sketch is summed in so many blocks, as a power of two.
+BLOCKS = 9
+#: Distinct words that one symbol each can stand for; more take two symbols each.
+SYMBOLS = 1_000_000
 
 #: What parts pieces: fixed values.
 PARTS = b".,;:!?\n\x0b\x0c\r"
@@ -43,7 +43,7 @@ def normal(text: str) -> bytes:
 
 
 def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
-    """(language, its normal texts with dots between) of columns text and language, about BATCH_BYTES at a time."""
+    """(language, its normal texts with dots between) of columns text and language, about SHARD_BYTES at a time."""
     waiting: dict[str, list[bytes]] = {}
     size = 0
     for batch in slices(batches):
@@ -52,164 +52,153 @@ def by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]
             if data:
                 waiting.setdefault(lang.as_py(), []).append(data)
                 size += len(data) + 3
-            if size >= BATCH_BYTES:
+            if size >= SHARD_BYTES:
                 yield from ((k, b" . ".join(v)) for k, v in waiting.items())
                 waiting, size = {}, 0
     yield from ((k, b" . ".join(v)) for k, v in waiting.items())
 
 
 class Phrases:
-    """Hashes of the phrases of a normal text."""
+    """Hashes of the words and phrases of a normal text, and which places pass the sketches `heavy` of 1, 2, ... words."""
 
-    def __init__(self, lang: str, data: bytes) -> None:
+    def __init__(self, lang: str, data: bytes, heavy: list[np.ndarray], bits: int) -> None:
         words, self.start, self.end = word_hashes(np.frombuffer(data, np.uint8), _VALUES)
-        self.word = words != _DOT
         seed = word_hashes(np.frombuffer(lang.encode() or b" ", np.uint8), _VALUES, np.zeros(256, bool))[0][0]
-        self.hashes, self.inside, self.words = [mix(words ^ seed)], [self.word], 1
-
-    def longer(self) -> None:
-        """Goes on to phrases of one word more."""
-        last, n = self.hashes[-1], max(len(self.hashes[-1]) - 1, 0)
-        self.hashes.append(mix(last[:n] * _A + self.hashes[0][self.words :] * _B + np.uint64(self.words)))
-        self.inside.append(self.inside[-1][:n] & self.word[self.words :])
-        self.words += 1
-
-    def cells(self, bits: int) -> np.ndarray:
-        return (self.hashes[-1] >> np.uint64(64 - bits)).astype(np.int64)
-
-    def likely(self, heavy: list[np.ndarray], bits: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(words, places whose phrase of so many words may reach the least count), from one word on, as far as there are sketches, and then once more, by the parts alone."""
-        yield 1, np.flatnonzero(self.word)
-        passed = self.word
-        for known in [*heavy, None]:
-            self.longer()
-            n = len(self.inside[-1])
-            passed = self.inside[-1] & passed[:n] & passed[1 : n + 1]
-            if known is not None:
-                at = np.flatnonzero(passed)
-                cells = self.cells(bits)[at]
-                passed = np.zeros(n, bool)
-                passed[at] = known[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1
-            yield self.words, np.flatnonzero(passed)
-
-
-def sketch(docs: DataFrame, heavy: list, bits: int, least: int) -> np.ndarray:
-    """One bit a cell: whether the phrases of len(heavy) + 2 words that fall into it, and whose parts pass `heavy`, have `least` occurrences together. docs: text, language."""
-    cap, shared = min(least, 65535), docs.sparkSession.sparkContext.broadcast(heavy)
-    width = min(BLOCK_BITS, bits)
+        self.bits, self.word = bits, words != _DOT
+        self.hashes, self.passing = [mix(words ^ seed)], []
+        for known in heavy:
+            inside = self.likely()
+            at = np.flatnonzero(inside)
+            cells = self.cells(at)
+            inside[at] = known[cells >> 3] >> (cells & 7).astype(np.uint8) & 1 == 1
+            self.passing.append(inside)
+
+    def likely(self) -> np.ndarray:
+        """Whether the phrase of one word more than those that passed may pass too; from here on, hashes[-1] is of these."""
+        if not self.passing:
+            return self.word.copy()
+        return self._longer(self.passing[-1])
+
+    def _longer(self, parts: np.ndarray) -> np.ndarray:
+        n, k = max(len(parts) - 1, 0), len(self.hashes)
+        self.hashes.append(mix(self.hashes[-1][:n] * _A + self.hashes[0][k:] * _B + np.uint64(k)))
+        return parts[:n] & parts[1:]
+
+    def pairs(self) -> np.ndarray:
+        """All pairs of neighbouring words, whatever passes."""
+        return self._longer(self.word)
+
+    def cells(self, at: np.ndarray) -> np.ndarray:
+        return (self.hashes[-1][at] >> np.uint64(64 - self.bits)).astype(np.int64)
+
+
+def sketches(docs: DataFrame, heavy: list[np.ndarray], bits: int, least: int) -> list[np.ndarray]:
+    """heavy, and the next sketch, or the first two: one bit a cell, whether what falls into it has `least` occurrences together. docs: text, language."""
+    cap, width = min(least, 65535), max(bits - BLOCKS, 3)
+    new = 1 if heavy else 2
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+
+    def sent(gathered: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        cells, counts = np.unique(np.concatenate(gathered), return_counts=True)
+        counts = np.minimum(counts, cap).astype(np.uint16)
+        blocks, edges = np.unique(cells >> width, return_index=True)
+        ends = np.append(edges[1:], len(cells))
+        steps = np.diff(cells, prepend=0)
+        steps[edges] = cells[edges] & (1 << width) - 1
+        steps = steps.astype(np.uint32)
+        for i in range(0, len(edges), 256):
+            some = list(zip(edges[i : i + 256].tolist(), ends[i : i + 256].tolist(), strict=True))
+            yield pa.record_batch([pa.array(blocks[i : i + 256].astype(np.int64)), pa.array([steps[a:b].tobytes() for a, b in some], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in some], pa.binary())], names=["block", "steps", "counts"])
 
     def touched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, size = [], 0
         for lang, data in by_language(batches):
-            phrases = Phrases(lang, data)
-            *_, (_, at) = phrases.likely(shared.value, bits)
-            cells, counts = np.unique(phrases.cells(bits)[at], return_counts=True)
-            counts = np.minimum(counts, cap).astype(np.uint16)
-            edges = np.flatnonzero(np.diff(cells >> width, prepend=-1))
-            ends = np.append(edges[1:], len(cells))
-            offsets = (cells & (1 << width) - 1).astype(np.uint16)
-            for i in range(0, len(edges), 1000):
-                some = list(zip(edges[i : i + 1000].tolist(), ends[i : i + 1000].tolist(), strict=True))
-                yield pa.record_batch([pa.array([int(cells[a]) >> width for a, _ in some], pa.int64()), pa.array([offsets[a:b].tobytes() for a, b in some], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in some], pa.binary())], names=["block", "cells", "counts"])
+            phrases = Phrases(lang, data, shared.value, bits)
+            for i in range(new):
+                at = np.flatnonzero(phrases.pairs() if i else phrases.likely())
+                gathered.append((phrases.cells(at) + (i << bits)).astype(np.uint32))
+                size += len(at)
+            if size >= GATHERED:
+                yield from sent(gathered)
+                gathered, size = [], 0
+        if size:
+            yield from sent(gathered)
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
-        for batch in slices(batches):
-            for block, cells, counts in zip(*batch.columns, strict=True):
+        for batch in slices(batches, 64):
+            for block, steps, counts in zip(*batch.columns, strict=True):
                 block = block.as_py()
                 if block not in sums:
                     sums[block] = np.zeros(1 << width, np.uint16)
-                to, at = sums[block], np.frombuffer(cells.as_py(), np.uint16)  # a row names a cell once
-                to[at] = np.minimum(to[at] + np.frombuffer(counts.as_py(), np.uint16).astype(np.int64), cap)
+                to, at = sums[block], np.cumsum(np.frombuffer(steps.as_py(), np.uint32), dtype=np.int64)  # a row names a cell once
+                to[at] = np.minimum(to[at].astype(np.int64) + np.frombuffer(counts.as_py(), np.uint16), cap)
         for block, to in sums.items():
             yield pa.record_batch([pa.array([block], pa.int64()), pa.array([np.packbits(to >= cap, bitorder="little").tobytes()], pa.binary())], names=["block", "full"])
 
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    size = 1 << width >> 3
-    for r in docs.mapInArrow(touched, "block long, cells binary, counts binary").repartition("block").mapInArrow(summed, "block long, full binary").toLocalIterator():
+    out, size = np.zeros(new << bits >> 3, np.uint8), 1 << width >> 3
+    for r in docs.mapInArrow(touched, "block long, steps binary, counts binary").repartition("block").mapInArrow(summed, "block long, full binary").toLocalIterator():
         out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.full, np.uint8)
-    return out
+    return [*heavy, *np.split(out, new)]
 
 
-def candidates(docs: DataFrame, heavy: list, bits: int) -> DataFrame:
-    """(lang, phrase) of the phrases of two and more words whose cells pass. docs: text, language."""
-    shared = docs.sparkSession.sparkContext.broadcast(heavy)
+def symbols(phrases: Phrases) -> tuple[str, int]:
+    """The shard as a string: so many symbols a word, dots for delimiters and for words that don't pass."""
+    at = np.flatnonzero(phrases.passing[0])
+    known, number = np.unique(phrases.hashes[0][at], return_inverse=True)
+    each = 1 if len(known) <= SYMBOLS else 2
+    out = np.full((len(phrases.word), each), ord("."), "<u4")
+    if each == 1:
+        out[at, 0] = number + 0x100 + (number + 0x100 >= 0xD800) * 0x800  # not the surrogates
+    else:
+        out[at, 0], out[at, 1] = 0x100 + (number >> 16), 0x10000 + (number & 0xFFFF)
+    return out.tobytes().decode("utf-32-le"), each
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, data in by_language(batches):
-            phrases = Phrases(lang, data)
-            for words, at in phrases.likely(shared.value, bits):
-                if not 2 <= words <= len(heavy) + 1:
-                    continue
-                at = at[np.unique(phrases.hashes[-1][at], return_index=True)[1]]
-                for i in range(0, len(at), 10_000):
-                    some = at[i : i + 10_000]
-                    texts = [data[a:b].decode() for a, b in zip(phrases.start[some].tolist(), phrases.end[some + words - 1].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array([lang] * len(texts), pa.string()), pa.array(texts, pa.string())], names=["lang", "phrase"])
-
-    return docs.mapInArrow(found, "lang string, phrase string").distinct()
-
-
-def _automata(broadcast, made: dict = {}) -> dict:  # noqa: B006 the dict is the worker's memory between tasks
-    import ahocorasick
-
-    if made.get("of") is not broadcast.value:
-        made.clear()
-        out = {}
-        for lang, phrases in broadcast.value.items():
-            out[lang] = a = ahocorasick.Automaton()
-            for i, phrase in enumerate(phrases):
-                a.add_word(f" {phrase} ", i)
-            a.make_automaton()
-        made |= {"of": broadcast.value, "automata": out}
-    return made["automata"]
-
-
-def matches(docs: DataFrame, patterns: dict[str, list[str]], with_words: bool) -> DataFrame:
-    """(lang, phrase, f): occurrences of each pattern in its language; with_words: also of all words, as phrase ''. docs: text, language."""
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
+
+def matches(docs: DataFrame, heavy: list[np.ndarray], bits: int) -> DataFrame:
+    """(lang, phrase, f) by shard: occurrences of the words and phrases that pass, and of all words together as ''. docs: text, language."""
+    shared = docs.sparkSession.sparkContext.broadcast(heavy)
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata, words = _automata(shared), Counter()
-        sums = {lang: np.zeros(len(p), np.int64) for lang, p in shared.value.items()}
+        import ahocorasick
+
+        total: Counter = Counter()
         for lang, data in by_language(batches):
-            if with_words:
-                words[lang] += data.count(b" ") + 1 - data.count(b".")
-            if lang in automata:
-                found = Counter(map(itemgetter(1), automata[lang].iter(f" {data.decode()} ")))
-                sums[lang][np.fromiter(found, np.int64, len(found))] += np.fromiter(found.values(), np.int64, len(found))
-        if words:
-            yield pa.record_batch([pa.array(list(words), pa.string()), pa.array([""] * len(words)), pa.array(words.values(), pa.int64())], names=["lang", "phrase", "f"])
-        for lang, f in sums.items():
-            some = np.flatnonzero(f)
+            phrases = Phrases(lang, data, shared.value, bits)
+            total[lang] += int(phrases.word.sum())
+            text, each = symbols(phrases)
+            automaton, patterns = ahocorasick.Automaton(), []
+            for k, (passing, hashes) in enumerate(zip(phrases.passing, phrases.hashes, strict=True), 1):
+                at = np.flatnonzero(passing)
+                at = at[np.unique(hashes[at], return_index=True)[1]]
+                for i in at.tolist():
+                    automaton.add_word(text[i * each : (i + k) * each], len(patterns))
+                    patterns.append((i, i + k - 1))
+            if not patterns:
+                continue
+            automaton.make_automaton()
+            found = Counter(map(itemgetter(1), automaton.iter(text)))
+            begin, end = phrases.start.tolist(), phrases.end.tolist()
+            del automaton, phrases, text
+            some = list(found.items())
             for i in range(0, len(some), 10_000):
-                at = some[i : i + 10_000].tolist()
-                yield pa.record_batch([pa.array([lang] * len(at)), pa.array([shared.value[lang][k] for k in at]), pa.array(f[at], pa.int64())], names=["lang", "phrase", "f"])
+                part = some[i : i + 10_000]
+                texts = [data[begin[a] : end[b]].decode() for a, b in (patterns[x] for x, _ in part)]
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(texts, pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
+        if total:
+            yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "f"])
 
-    return docs.mapInArrow(scanned, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return docs.mapInArrow(scanned, "lang string, phrase string, f long")
 
 
-def counted(docs: DataFrame, least: int, longest: int, scratch: Scratch) -> DataFrame:
-    """Stored (lang, phrase, f): exact counts of all phrases of 2 to `longest` words with at least `least` occurrences, and of some with fewer, of their words, and of all words as ''. docs: text, language."""
-    spark = docs.sparkSession
+def counted(docs: DataFrame, least: int, longest: int) -> DataFrame:
+    """(lang, phrase, f): exact counts of all phrases of up to `longest` words with at least `least` occurrences, and of all words together as ''. docs: text, language."""
     size = docs.agg(F.sum(F.octet_length(docs.columns[0]))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / BYTES_A_CELL, 1))), LEAST_BITS), MOST_BITS)
     heavy: list[np.ndarray] = []
-    while len(heavy) < longest - 1:
-        heavy.append(sketch(docs, heavy, bits, least))
-    phrases = scratch.stored(candidates(docs, heavy, bits), "candidates")
-    words = phrases.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
-    patterns = phrases.unionByName(words)
-    total = patterns.agg(F.sum(F.octet_length("phrase") + 2)).first()[0] or 0
-    blocks = max(1, math.ceil(total / BLOCK_BYTES))
-    path, out = f"{scratch.path}/patterns-{uuid.uuid4().hex}", f"{scratch.path}/counts-{uuid.uuid4().hex}"
-    patterns.withColumn("block", F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)).cast("int")).write.partitionBy("block").parquet(path)
-    patterns = spark.read.schema("lang string, phrase string, block int").parquet(path)
-    for b in range(blocks):
-        of: dict[str, list[str]] = {}
-        for r in patterns.where(F.col("block") == b).select("lang", "phrase").toLocalIterator():
-            of.setdefault(r.lang, []).append(r.phrase)
-        matches(docs, of, b == 0).write.mode("append").parquet(out)
-    return spark.read.schema("lang string, phrase string, f long").parquet(out)
+    while len(heavy) < longest:
+        heavy = sketches(docs, heavy, bits, least)
+    return matches(docs, heavy, bits).groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("phrase") == ""))
 
 
 def scored(counts: DataFrame, least: int, share: int) -> DataFrame:
@@ -234,7 +223,7 @@ def mine(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least:
     docs = docs.select(F.col(text_col), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
     scratch = Scratch(docs.sparkSession, "collocations")
     try:
-        counts = counted(docs, least, longest, scratch)
+        counts = scratch.stored(counted(docs, least, longest), "counts")
         kept = scored(counts, least, share)
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         salt = F.pmod(F.xxhash64("phrase"), F.lit(64))  # each salt's first `top` hold the language's

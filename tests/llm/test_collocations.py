@@ -46,9 +46,9 @@ def sample(rng, n):
     return [(text(), rng.choice(["en", "fr", None, ""])) for _ in range(n)] + [("New York City. " * 30, "en"), (None, "en"), ("", None), (" \t. ", "de")]
 
 
-@pytest.mark.parametrize("settings", [{}, {"BLOCK_BYTES": 40}, {"LEAST_BITS": 3, "MOST_BITS": 3}, {"BATCH_BYTES": 50, "BLOCK_BITS": 8}])
+@pytest.mark.parametrize("settings", [{}, {"SYMBOLS": 3}, {"LEAST_BITS": 3, "MOST_BITS": 3}, {"SHARD_BYTES": 50, "GATHERED": 20}])
 def test_against_plain_counts(spark, monkeypatch, settings):
-    """Also with many automata, with a sketch too small to tell anything, and in small batches."""
+    """Also with two symbols a word, with a sketch too small to tell anything, and in small shards."""
     for k, v in settings.items():
         monkeypatch.setattr(co, k, v)
     rows = sample(random.Random(1), 150)
@@ -86,9 +86,9 @@ def test_no_rows_and_no_phrases(spark):
 
 def test_normal_text():
     assert co.normal("A  b,\tC..d\n") == b"a b . c . . d ."
-    p = co.Phrases("en", co.normal("a b. a b c"))
-    p.longer()
-    assert p.inside[1].tolist() == [True, False, False, True, True]
+    p = co.Phrases("en", co.normal("a b. a b c"), [], 16)
+    assert p.likely().tolist() == [True, True, False, True, True, True]
+    assert p.pairs().tolist() == [True, False, False, True, True]
     assert p.hashes[1][0] == p.hashes[1][3]
     assert len(np.unique(p.hashes[1])) == 4
 
