@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than apart.
 
 1. Sketches: a word's or phrase's hash names a cell; a cell's sum bounds the counts of what falls into it from above. One scan fills the sketches of words and pairs, one more each that of phrases of one word more, whose parts (without the last word, without the first) must pass the sketch before. Tasks send the cells that they touch; each block of cells is summed in one task, row by row; what comes back is one bit a cell, whether its sum reaches the least count.
-2. Each task goes through its documents in shards. A shard's words and phrases in cells that pass are compiled into a pyahocorasick automaton of its own, which then scans the shard and counts all, also overlapping, matches. A shard is a string with a symbol for each word; delimiters guard it: where a piece ends, and in place of words that no pattern has, stands a dot, which no pattern has either. So an automaton is bounded by its shard, each document is scanned once however many candidates there are, and nothing is broadcast but the bits.
+2. Each task goes through its documents in shards. A shard's words and phrases in cells that pass are compiled into a pyahocorasick automaton of its own, which then scans the shard and counts all, also overlapping, matches. A shard is its words with one space between and a lone dot where a piece ends; patterns begin and end with a space, which is the guard: a match begins and ends with a word, and none has a dot, so none crosses a piece. An automaton is bounded by its shard, each document is scanned once however many candidates there are, and nothing is broadcast but the bits.
 3. Spark adds up the counts of the shards; thresholds and scores work on the exact sums.
 
 Words and phrases are told apart by hashes of 64 bits within a shard."""
@@ -26,9 +26,6 @@ SHARD_BYTES, GATHERED = 8 << 20, 4 << 20
 BYTES_A_CELL, LEAST_BITS, MOST_BITS = 8, 16, 28
 #: A sketch is summed in so many blocks, as a power of two.
 BLOCKS = 9
-#: Distinct words that one symbol each can stand for; more take two symbols each.
-SYMBOLS = 1_000_000
-
 #: What parts pieces: fixed values.
 PARTS = b".,;:!?\n\x0b\x0c\r"
 _TABLE = bytes.maketrans(UPPER.encode() + PARTS, LOWER.encode() + b"." * len(PARTS))
@@ -142,19 +139,6 @@ def sketches(docs: DataFrame, heavy: list[np.ndarray], bits: int, least: int) ->
     return [*heavy, *np.split(out, new)]
 
 
-def symbols(phrases: Phrases) -> tuple[str, int]:
-    """The shard as a string: so many symbols a word, dots for delimiters and for words that don't pass."""
-    at = np.flatnonzero(phrases.passing[0])
-    known, number = np.unique(phrases.hashes[0][at], return_inverse=True)
-    each = 1 if len(known) <= SYMBOLS else 2
-    out = np.full((len(phrases.word), each), ord("."), "<u4")
-    if each == 1:
-        out[at, 0] = number + 0x100 + (number + 0x100 >= 0xD800) * 0x800  # not the surrogates
-    else:
-        out[at, 0], out[at, 1] = 0x100 + (number >> 16), 0x10000 + (number & 0xFFFF)
-    return out.tobytes().decode("utf-32-le"), each
-
-
 def matches(docs: DataFrame, heavy: list[np.ndarray], bits: int) -> DataFrame:
     """(lang, phrase, f) by shard: occurrences of the words and phrases that pass, and of all words together as ''. docs: text, language."""
     shared = docs.sparkSession.sparkContext.broadcast(heavy)
@@ -166,25 +150,24 @@ def matches(docs: DataFrame, heavy: list[np.ndarray], bits: int) -> DataFrame:
         for lang, data in by_language(batches):
             phrases = Phrases(lang, data, shared.value, bits)
             total[lang] += int(phrases.word.sum())
-            text, each = symbols(phrases)
+            begin, end = phrases.start.tolist(), phrases.end.tolist()
             automaton, patterns = ahocorasick.Automaton(), []
             for k, (passing, hashes) in enumerate(zip(phrases.passing, phrases.hashes, strict=True), 1):
                 at = np.flatnonzero(passing)
-                at = at[np.unique(hashes[at], return_index=True)[1]]
-                for i in at.tolist():
-                    automaton.add_word(text[i * each : (i + k) * each], len(patterns))
-                    patterns.append((i, i + k - 1))
+                for i in at[np.unique(hashes[at], return_index=True)[1]].tolist():
+                    phrase = data[begin[i] : end[i + k - 1]].decode()
+                    automaton.add_word(f" {phrase} ", len(patterns))
+                    patterns.append(phrase)
             if not patterns:
                 continue
+            del phrases, begin, end
             automaton.make_automaton()
-            found = Counter(map(itemgetter(1), automaton.iter(text)))
-            begin, end = phrases.start.tolist(), phrases.end.tolist()
-            del automaton, phrases, text
+            found = Counter(map(itemgetter(1), automaton.iter(f" {data.decode()} ")))
+            del automaton
             some = list(found.items())
             for i in range(0, len(some), 10_000):
                 part = some[i : i + 10_000]
-                texts = [data[begin[a] : end[b]].decode() for a, b in (patterns[x] for x, _ in part)]
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array(texts, pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([patterns[x] for x, _ in part], pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
         if total:
             yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "f"])
 
