@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 from array import array
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
@@ -32,7 +32,7 @@ def words_of(text: str | None) -> list[bytes]:
 class WuManber:
     """Patterns of one class of lengths: stretches of `blob` from `starts` on, of `lengths`.
 
-    m: the shortest pattern's length. table: for each hash of a block of `block` bytes within the patterns' first m bytes, how far its last place is from m at least; other blocks let the search move by m - block + 1. Blocks that share a hash share the smaller shift, which skips nothing. suffixes: the hashes of the blocks that end at m, in order; of equal ones, the patterns are a bucket."""
+    m: the shortest pattern's length. table: for each hash of a block of `block` bytes within the patterns' first m bytes, how far its last place is from m at least; other blocks let the search move by m - block + 1. Blocks that share a hash share the smaller shift, which skips nothing. buckets: the patterns in the order of the hash of the block that ends at m, then of that of their first m bytes; within: of equal ones, in the order of length, then of the whole pattern's hash. So a bucket, however large, is searched by bisection for the text's own bytes."""
 
     def __init__(self, blob: bytes, starts: np.ndarray, lengths: np.ndarray) -> None:
         self.blob = blob
@@ -50,27 +50,37 @@ class WuManber:
             h = crc32(blob[end - b : end]) & self.mask
             if shift < self.table[h]:
                 self.table[h] = shift
-        last = np.array([crc32(blob[s + m - b : s + m]) & self.mask for s in starts.tolist()], np.uint32)
-        order = np.argsort(last, kind="stable")
-        self.suffixes, self.order = array("I", last[order].tolist()), array("I", order.tolist())
+        ends = list(zip(starts.tolist(), lengths.tolist(), strict=True))
+        bucket = np.fromiter(((crc32(blob[s + m - b : s + m]) & self.mask) << 32 | crc32(blob[s : s + m]) for s, _ in ends), np.uint64, len(ends))
+        within = np.fromiter((n << 32 | crc32(blob[s : s + n]) for s, n in ends), np.uint64, len(ends))
+        order = np.lexsort((within, bucket))
+        self.buckets, self.within, self.order = array("Q", bucket[order].tobytes()), array("Q", within[order].tobytes()), array("I", order.tolist())
         self.starts, self.lengths = array("I", starts.tolist()), array("I", lengths.tolist())
 
     def find(self, text: bytes) -> Iterator[tuple[int, int]]:
         """(start, number of the pattern) of all occurrences, overlapping ones too."""
-        m, b, table, mask, suffixes, blob, at, n = self.m, self.block, self.table, self.mask, self.suffixes, self.blob, self.m, len(text)
+        m, b, table, mask, buckets, within, blob, at, n = self.m, self.block, self.table, self.mask, self.buckets, self.within, self.blob, self.m, len(text)
         while at <= n:
             h = crc32(text[at - b : at]) & mask
             step = table[h]
             if step:
                 at += step
                 continue
-            for k in range(bisect_left(suffixes, h), len(suffixes)):
-                if suffixes[k] != h:
-                    break
-                p = self.order[k]
-                start = self.starts[p]
-                if text.startswith(blob[start : start + self.lengths[p]], at - m):
-                    yield at - m, p
+            begin = at - m
+            bucket = h << 32 | crc32(text[begin:at])
+            k = bisect_left(buckets, bucket)
+            stop = k if k == len(buckets) or buckets[k] != bucket else bisect_right(buckets, bucket, k)
+            while k < stop:  # each length that the bucket has
+                length = within[k] >> 32
+                whole = length << 32 | crc32(text[begin : begin + length])
+                for i in range(bisect_left(within, whole, k, stop), stop):
+                    if within[i] != whole:
+                        break
+                    p = self.order[i]
+                    start = self.starts[p]
+                    if text.startswith(blob[start : start + length], begin):
+                        yield begin, p
+                k = bisect_left(within, length + 1 << 32, k, stop)
             at += 1
 
 

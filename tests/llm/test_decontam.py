@@ -4,6 +4,7 @@ import hashlib
 import pickle
 import random
 import re
+import time
 import tracemalloc
 
 import numpy as np
@@ -57,6 +58,31 @@ def test_shifts_never_skip_a_match():
     assert sorted((i, patterns[p]) for i, p in search.find(text)) == want
 
 
+def test_a_full_bucket_is_bisected():
+    """Items of one template share a block: the search doesn't grow with their number."""
+    tail = "common tail of nine words that all items share"
+    text = " ".join(f"{k:06d} {tail}" for k in range(0, 3000, 3))
+    took = []
+    for n in (1000, 8000):
+        windows = decontam.Windows([(f"i{k}", f"{k:06d} {tail}") for k in range(n)])
+        began = time.process_time()
+        _, spans, found = windows.search(text)
+        took.append(time.process_time() - began)
+        assert found == sorted(f"i{k}" for k in range(0, min(n, 3000), 3))
+    assert took[1] < 3 * took[0] + 0.2
+
+
+def test_equal_beginnings_of_one_length_and_of_many():
+    head = "one two three four five six seven eight nine"
+    items = [(f"i{k}", f"{head} {'x' * (k % 7)}{k}") for k in range(3000)]
+    windows = decontam.Windows(items)
+    text = " ".join(f"{head} {'x' * (k % 7)}{k}" for k in range(0, 4000, 7)) + f" {head} xx {head}"
+    began = time.process_time()
+    _, spans, found = windows.search(text)
+    assert time.process_time() - began < 1
+    assert found == sorted(f"i{k}" for k in range(0, 3000, 7))
+
+
 def test_stretches_of_a_long_item_have_all_its_windows():
     rng = random.Random(9)
     for n, most, window in ((0, 50, 10), (7, 50, 10), (10, 1, 10), (500, 50, 10), (500, 400, 3), (501, 10**6, 10)):
