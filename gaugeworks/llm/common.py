@@ -77,11 +77,16 @@ def with_fields(df: DataFrame, *fields: tuple[str, str]) -> StructType:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows, so that what a step returns takes little memory outside the heap at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows, and, but for a single longer row, of so many bytes, so that what a step returns takes little memory outside the heap at once."""
     for batch in batches:
-        for i in range(0, batch.num_rows, rows):
-            yield batch.slice(i, rows)
+        i = 0
+        while i < batch.num_rows:
+            part = batch.slice(i, rows)
+            while part.num_rows > 1 and part.nbytes > size:
+                part = part.slice(0, part.num_rows // 2)
+            i += part.num_rows
+            yield part
 
 
 def ascii_lower(c: Column) -> Column:

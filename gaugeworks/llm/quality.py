@@ -19,7 +19,7 @@ from pyspark.sql.types import StructType
 from .common import BASE, Scratch, byte_values, fresh, mix, slices, table, with_fields, word_hashes
 
 #: Labelled rows to learn from, and bytes of their features: those with the smallest hashes of doc_id, if there are more.
-TRAIN_ROWS, TRAIN_BYTES = 5000, 128 << 20
+TRAIN_ROWS, TRAIN_BYTES = 5000, 64 << 20
 BUCKETS = 1 << 18
 DIM = 8
 #: Rows gone through in gradient descent, and rows of a step: fewer rows are gone through more often.
@@ -189,7 +189,7 @@ def in_fold(doc_id: Column, fold: int = 0, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_rows: int = TRAIN_ROWS, train_bytes: int = TRAIN_BYTES) -> Model:
-    """Learns from labelled rows outside the held-out fold: at most train_rows, of at most train_bytes of features.
+    """Learns from labelled rows outside the held-out fold: at most train_rows, of at most train_bytes of features; a row that would pass the bound is left out.
 
     The texts are turned into features on the executors, into a table in the shared folder; of that, only the sample's come to the driver. Null labels and ids are left out; a document with several labels counts for each, one with several texts for each, a repeated row once."""
     sample = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~in_fold(F.col("doc_id"))).select("doc_id", F.col(label_col).cast("int").alias("y")).distinct()
@@ -209,23 +209,19 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", train_ro
     sizes = found.groupBy(*key).agg(F.max(F.octet_length("ids") + F.octet_length("counts")).alias("size"))
     taken, held = [], 0
     for r in sizes.orderBy(F.xxhash64("doc_id"), *key).limit(train_rows).collect():
+        if held + r["size"] > train_bytes:  # also a first row: no single text may pass the bound
+            continue
         held += r["size"]
-        if taken and held > train_bytes:
-            break
         taken.append((r["doc_id"], r["y"], r["print"]))
     if not taken:
         work.remove()
         return train([])
     chosen = docs.sparkSession.createDataFrame(taken, "doc_id long, y int, print long")
-    got = found.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("ids").alias("ids"), F.first("counts").alias("counts")).toArrow()
+    got = found.join(F.broadcast(chosen), key).groupBy(*key).agg(F.first("ids").alias("ids"), F.first("counts").alias("counts"))
+    # sorted by Spark, and read one part after the other, so that the driver holds the rows once
+    rows = [(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["counts"], np.float32), r["y"]) for r in got.repartitionByRange(16, *key).sortWithinPartitions(*key).toLocalIterator()]
     work.remove()
-    got = got.sort_by([(k, "ascending") for k in key]).combine_chunks()
-    # views of the table's own memory
-    view = lambda value, kind: np.frombuffer(value.as_buffer() or b"", kind)
-    model = train([(view(i, np.int32), view(n, np.float32), y.as_py()) for i, n, y in zip(got["ids"], got["counts"], got["y"], strict=True)])
-    del got
-    pa.default_memory_pool().release_unused()
-    return model
+    return train(rows)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "score", keep_text: bool = True) -> DataFrame:
