@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions.frames import with_fields
 from ..functions.kernels import quality_fault, resized
 from ..functions.scalars import sample_id
+from ..sources import jsonl, payloads
 from .quality import index_fingerprint
 
 
@@ -53,6 +55,37 @@ def counted(done: DataFrame, group: str) -> DataFrame:
     return done.groupBy(group).agg(F.count_if(fresh & F.col("fault").isNull()).alias("written"), F.count_if("known").alias("known"), F.count_if(fresh & F.col("fault").isNotNull()).alias("faulty"))
 
 
+def observed(done: DataFrame, group: str, groups: Sequence[str], counters: Observation) -> DataFrame:
+    """done, which counts as it passes by: in the job that writes it, `counters` gets written, known and faulty of each of `groups`, a closed list, and of all others together. So a run isn't read again for its counts."""
+    fresh, at = ~F.col("known"), F.col(group)
+    kinds = {"written": fresh & F.col("fault").isNull(), "known": F.col("known"), "faulty": fresh & F.col("fault").isNotNull()}
+    of = [(str(i), at == g) for i, g in enumerate(groups)] + [("other", F.coalesce(~at.isin(list(groups)), F.lit(True)))]
+    return done.observe(counters, *[F.count_if(here & is_).alias(f"{kind}:{i}") for i, here in of for kind, is_ in kinds.items()])
+
+
+def counters_of(spark: SparkSession, counters: Observation, group: str, groups: Sequence[str]) -> DataFrame:
+    """(group, written, known, faulty) of a job that has ended; a group without rows is left out, others are one row without a name."""
+    told = counters.get
+    rows = [(g, *(told[f"{kind}:{i}"] for kind in ("written", "known", "faulty"))) for i, g in [*((str(i), g) for i, g in enumerate(groups)), ("other", None)]]
+    return spark.createDataFrame([r for r in rows if any(r[1:])], f"`{group}` string, written long, known long, faulty long")
+
+
+def run(plan: DataFrame, root: str, group: str, groups: Sequence[str], kind: str, name: str, licence: str, source_url: str, ledger: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """An ingest from a plan (sample_id, the group, name, payload, fault and further columns) to payload files and their manifest below root: what is there already is passed over, faulty rows aren't written and are tried again by a later run. Returns the manifest and the run's counts.
+
+    One job reads the plan, writes and counts. A run that wrote something appends its licence event to the ledger."""
+    spark = plan.sparkSession
+    rest = StructType([f for f in plan.schema if f.name not in ("payload", "fault")])
+    counters = Observation()
+    done = observed(marked(plan, payloads.manifest(spark, root, rest)), group, groups, counters)
+    payloads.write_payloads(done.filter(~F.col("known") & F.col("fault").isNull()).select(*rest.names, "payload"), root)
+    counts, now = counters_of(spark, counters, group, groups), payloads.manifest(spark, root, rest)
+    if ledger and counts.agg(F.sum("written")).first()[0]:
+        named = [F.lit(v).alias(k) for k, v in (("type", kind), ("name", name), ("license", licence), ("source_url", source_url))]
+        jsonl.append_events(index_fingerprint(now, "sample_id").select(*named, F.col("fingerprint").alias("sha256_of_index")), ledger)
+    return now, counts
+
+
 def event(done: DataFrame, index: str, kind: str, name: str, licence: str, source_url: str) -> DataFrame:
     """The ledger's row of a run, with the fingerprint of the index column; no row if the run wrote nothing."""
     wrote = done.agg(F.coalesce(F.bool_or(~F.col("known") & F.col("fault").isNull()), F.lit(False)).alias("wrote"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -79,3 +79,47 @@ def rep_faults(reps: DataFrame, min_touch: int = 8, min_downs: int = 2) -> DataF
     bad = F.exists(p, lambda e: ~(finite(e["t"]) & finite(e["x"]) & finite(e["y"])))
     late = F.exists(F.sequence(F.lit(2), F.greatest(F.lit(2), F.size(p))), lambda i: (F.size(p) >= 2) & (F.try_element_at(p, i)["t"] <= F.try_element_at(p, i - 1)["t"]))
     return reps.withColumn("reason", F.when(F.size(p) < min_touch, "too_few_touch").when(F.col("downs") < min_downs, "too_few_keys").when(bad, "non_finite_touch").when(late, "non_monotonic_time"))
+
+
+#: What each type of ledger event must and may have, and of what kind: fixed values of the ledger's format.
+LEDGER = (
+    *[(t, f, True, k) for t in ("bonafide_dataset_ingested", "real_attack_dataset_ingested") for f, k in (("name", "text"), ("license", "text"), ("source_url", "url"), ("sha256_of_index", "sha256"))],
+    ("real_attack_dataset_ingested", "attack_types", True, "list"),
+    *[("generator_registered", f, True, k) for f, k in (("name", "text"), ("version", "text"), ("license", "text"), ("commercial_ok", "flag"), ("model_hash", "text"))],
+    *[("ontology_citation", f, r, k) for f, r, k in (("attack_type", True, "text"), ("axis", True, "text"), ("paper", True, "text"), ("doi", False, "text"), ("url", False, "url"))],
+    *[("dfdc_bonafide_dataset_ingested", f, True, k) for f, k in (("license", "text"), ("source_url", "url"), ("n_chunks", "count"), ("n_videos", "count"), ("n_frames_written", "count"), ("detection_rate", "rate"), ("real_filenames_sha256", "sha256"))],
+    *[(t, "ingested_at", False, "time") for t in ("bonafide_dataset_ingested", "real_attack_dataset_ingested", "dfdc_bonafide_dataset_ingested")],
+    ("generator_registered", "registered_at", False, "time"),
+)
+
+
+def ledger_faults(events: DataFrame, key: str, rules: Sequence[tuple[str, str, bool, str]] = LEDGER) -> DataFrame:
+    """(key, field, fault) of ledger events, one for an event and field: `unknown_type` (field `type`), `missing` (required and null), `unexpected` (not of this type), `wrong_kind` (an empty text, no URL, no digest, a count below 0, a rate outside 0 to 1, an empty list, a text that is no flag or time).
+
+    The wide rows are unpivoted once to their fields that have a value; the rule table, some dozens of rows, is broadcast. A column that events don't have counts as null. Times default when an event is made, so they aren't required."""
+    spark = events.sparkSession
+    fields = [c for c in events.columns if c not in (key, "type")]
+    pairs = [F.struct(F.lit(c).alias("field"), (F.to_json(F.col(c)) if events.schema[c].dataType.typeName() == "array" else F.col(c).cast("string")).alias("text")) for c in fields]
+    rows = events.select(F.col(key).alias("_k"), F.col("type").alias("_t"), F.filter(F.array(*pairs), lambda p: p["text"].isNotNull()).alias("_p"))
+    rule = F.broadcast(spark.createDataFrame(rules, "_t string, field string, required boolean, kind string"))
+    known = F.broadcast(spark.createDataFrame(sorted({(r[0],) for r in rules}), "_t string").withColumn("_known", F.lit(True)))
+    typed = rows.join(known, "_t", "left")
+    unknown = typed.filter(F.col("_known").isNull()).select("_k", F.lit("type").alias("field"), F.lit("unknown_type").alias("fault"))
+    typed = typed.filter("_known")
+    have = typed.select("_k", "_t", F.explode("_p").alias("p")).select("_k", "_t", "p.*").join(rule, ["_t", "field"], "left")
+    text, number = F.col("text"), F.expr("try_cast(text AS double)")
+    good = (
+        F.when(F.col("kind") == "url", text.rlike(r"^https?://\S+$"))
+        .when(F.col("kind") == "sha256", text.rlike("^[0-9a-f]{64}$"))
+        .when(F.col("kind") == "count", F.coalesce((number >= 0) & (number == F.floor(number)), F.lit(False)))
+        .when(F.col("kind") == "rate", F.coalesce(number.between(0, 1), F.lit(False)))
+        .when(F.col("kind") == "flag", text.isin("true", "false"))
+        .when(F.col("kind") == "list", F.coalesce(F.json_array_length("text") > 0, F.lit(False)))
+        .when(F.col("kind") == "time", F.expr("try_cast(text AS timestamp)").isNotNull())
+        .otherwise(text.rlike(r"\S"))
+    )
+    wrong = have.select("_k", "field", F.when(F.col("kind").isNull(), "unexpected").when(~good, "wrong_kind").alias("fault")).filter(F.col("fault").isNotNull())
+    names = F.transform("_p", lambda p: p["field"])
+    needed = typed.select("_k", "_t", names.alias("_n")).join(rule.filter("required"), "_t")
+    missing = needed.filter(~F.array_contains("_n", F.col("field"))).select("_k", "field", F.lit("missing").alias("fault"))
+    return unknown.unionByName(wrong).unionByName(missing).withColumnRenamed("_k", key)

@@ -3,7 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
-from gaugeworks.plans import catalogue
+from gaugeworks.plans import catalogue, runs  # noqa: F401 runs adds its queries to the catalogue's
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.SQL))
