@@ -40,9 +40,9 @@ def eer(scored: DataFrame, by: Sequence[str] = (), weight: str | None = None) ->
     by = list(by)
     diff = F.abs(F.col("fpr") - F.col("fnr"))
     best = F.min_by(F.struct(((F.col("fpr") + F.col("fnr")) / 2).alias("eer"), F.col("score").alias("threshold")), F.struct(diff.alias("d"), F.col("score").alias("s")))
-    found = rates(scored, by, weight).groupBy(*by).agg(F.min(diff).alias("least"), best.alias("b"))
-    hit = F.col("least") < 1
-    return found.select(*by, F.coalesce(F.when(hit, F.col("b.eer")), F.lit(0.5)).alias("eer"), F.when(hit, F.col("b.threshold")).alias("threshold"))
+    found = rates(scored, by, weight).groupBy(*by).agg(F.min(diff).alias("_least"), best.alias("_best"))
+    hit = F.col("_least") < 1
+    return found.select(*by, F.coalesce(F.when(hit, F.col("_best.eer")), F.lit(0.5)).alias("eer"), F.when(hit, F.col("_best.threshold")).alias("threshold"))
 
 
 def apcer_by_species(scored: DataFrame, threshold: float, by: Sequence[str] = ()) -> DataFrame:

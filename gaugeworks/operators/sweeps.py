@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.running import numbered
+from ..sources.shared import kept
+from . import metrics
+
 CELL = ["capacity", "data_level"]
 
 
@@ -59,3 +66,49 @@ def curve_verdict(curve: DataFrame) -> DataFrame:
 def oversized_skipped(curve: DataFrame, pool: Column) -> DataFrame:
     """A size beyond the pool is skipped, never cut down to it."""
     return curve.withColumn("skipped", F.col("n_real") > pool)
+
+
+def nested_curve(pool: DataFrame, key: str, sizes: Sequence[int], seed: int, threshold: float = 0.5) -> DataFrame:
+    """(n_real, skipped, eer, threshold, apcer, bpcer, acer) of nested subsets of the pool (key, label, score, attack_type): the first n rows in an order drawn by seed and key. A size beyond the pool is a skipped row without figures, never cut down.
+
+    One pass over the pool: a row falls into the smallest subset that has it, rows are counted by subset, score and class, and only these counts are repeated for the larger subsets. Keys are unique; rows of one key stand at one place."""
+    sizes = sorted({int(n) for n in sizes})
+    drawn = pool.select(F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256).alias("_o"), "label", "score", "attack_type")
+    placed = numbered(kept(drawn, "pool"), "_o", "_p")
+    listed = F.array(*[F.lit(n).cast("long") for n in sizes])
+    inside = F.filter(listed, lambda n: n > F.col("_p"))
+    counts = placed.withColumn("_s", F.get(inside, F.lit(0))).groupBy("_s", "label", "score", "attack_type").agg(F.count(F.lit(1)).alias("weight"))
+    total = placed.count()
+    usable = F.filter(listed, lambda n: (n >= F.col("_s")) & (n <= total))
+    nested = kept(counts.filter(F.col("_s").isNotNull()).select(F.explode(usable).alias("n_real"), "label", "score", "attack_type", "weight"), "nested")
+    low = F.sum(F.when(F.col("score") < threshold, F.col("weight")).otherwise(0))
+    by_class = nested.groupBy("n_real", "label", "attack_type").agg(low.alias("low"), F.sum("weight").alias("n"))
+    apcer = F.coalesce(F.max(F.when((F.col("label") == 1) & F.col("attack_type").isNotNull(), F.col("low") / F.col("n"))), F.lit(0.0))
+    bona = F.col("label") == 0
+    bpcer = F.coalesce(F.try_divide(F.sum(F.when(bona, F.col("n") - F.col("low"))), F.sum(F.when(bona, F.col("n")))), F.lit(0.0))
+    rates = by_class.groupBy("n_real").agg(apcer.alias("apcer"), bpcer.alias("bpcer")).withColumn("acer", (F.col("apcer") + F.col("bpcer")) / 2)
+    done = metrics.eer(nested, ["n_real"], "weight").join(rates, "n_real")
+    every = pool.sparkSession.createDataFrame([(n, n > total) for n in sizes], "n_real long, skipped boolean")
+    return every.join(done, "n_real", "left")
+
+
+def finished(spark, root: str, schema: str) -> DataFrame:
+    """Cells below root; none if there are none yet."""
+    try:
+        return spark.read.schema(schema).parquet(root)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def run_grid(rows: DataFrame, grid: DataFrame, root: str, by: Sequence[str], threshold: float = 0.5) -> DataFrame:
+    """The grid's cells (by, eer, threshold, apcer, bpcer, acer, n) below root. Only cells that aren't there are worked out, all in one grouped plan, and written a partition each, replacing what a lost run may have left of them; so a run that was stopped goes on, and each cell is there once. A cell without rows stays open."""
+    spark, by = rows.sparkSession, list(by)
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    schema = f"eer double, threshold double, apcer double, bpcer double, acer double, n long, {kinds}"
+    todo = grid.select(*by).distinct().join(finished(spark, root, schema).select(*by), by, "left_anti")
+    open_ = kept(rows.join(todo, by, "left_semi"), "grid")
+    cells = metrics.eer(open_, by).join(metrics.error_rates(open_, threshold, by), by).join(open_.groupBy(*by).agg(F.count(F.lit(1)).alias("n")), by)
+    cells.select("eer", "threshold", "apcer", "bpcer", "acer", "n", *by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(root)
+    return finished(spark, root, schema)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import generate, ingest, quality
+from ..operators import generate, ingest, quality, sweeps
 from ..sources import payloads
 from ..sources import proxies as src
 from ..sources.shared import shared_folder
 from ..streaming import events as streams
-from .catalogue import query
+from .catalogue import eer_sql, query, r6
 
 LANGS = ("de", "en", "es", "fr")
 
@@ -90,3 +90,35 @@ def stream_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     checked = streams.in_order(streams.event_stream(spark, f"{sf}/events.parquet").select("user_id", "event_id", "ts"), "user_id", "event_id", "ts")
     good, bad = streams.run_to_lanes(checked, shared_folder(spark, "lanes"))
     return good.select("user_id", "event_id", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("user_id", "event_id", "fault"))
+
+
+CURVE_POOL = """pool AS (SELECT l_orderkey || '-' || l_linenumber AS key, CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END AS label, CASE WHEN l_linestatus = 'O' THEN l_returnflag END AS attack_type,
+  ((l_partkey * 31 + l_suppkey * 17 + l_linenumber * 7 + CASE WHEN l_linestatus = 'O' THEN 200 ELSE 0 END) % 1000) / 1000::DOUBLE AS score, l_linenumber || '-' || l_returnflag AS cell FROM lineitem)"""
+SIZES = (50, 500, 2000, 5000, 10**12)
+NESTED = CURVE_POOL + f""", ranked AS (SELECT *, row_number() OVER (ORDER BY sha256('7|' || key)) AS r FROM pool), sizes AS (SELECT unnest({list(SIZES)}) AS n_real), skips AS (SELECT n_real, n_real > (SELECT count(*) FROM pool) AS skipped FROM sizes),
+scored AS (SELECT n_real, label, attack_type, score FROM ranked JOIN skips ON r <= n_real AND NOT skipped),
+ap AS (SELECT n_real, max(a) AS apcer FROM (SELECT n_real, avg(CASE WHEN score < 0.5 THEN 1.0 ELSE 0 END) AS a FROM scored WHERE label = 1 AND attack_type IS NOT NULL GROUP BY n_real, attack_type) GROUP BY 1),
+bp AS (SELECT n_real, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0 END) AS bpcer FROM scored WHERE label = 0 GROUP BY 1)"""
+
+
+def _pool(spark: SparkSession, sf: str) -> DataFrame:
+    rows = src.table(spark, sf, "lineitem")
+    label = (F.col("l_linestatus") == "O").cast("int")
+    score = ((F.col("l_partkey") * 31 + F.col("l_suppkey") * 17 + F.col("l_linenumber") * 7 + 200 * label) % 1000) / F.lit(1000.0)
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("key"), label.alias("label"), F.when(label == 1, F.col("l_returnflag")).alias("attack_type"), score.alias("score"), F.concat_ws("-", "l_linenumber", "l_returnflag").alias("cell"))
+
+
+@query(eer_sql("n_real", ctes=NESTED, final="""SELECT s.n_real, s.skipped, CASE WHEN NOT s.skipped THEN round(e.eer, 6) END AS eer, CASE WHEN NOT s.skipped THEN e.threshold END AS threshold, CASE WHEN NOT s.skipped THEN round(coalesce(apcer, 0), 6) END AS apcer, CASE WHEN NOT s.skipped THEN round(coalesce(bpcer, 0), 6) END AS bpcer,
+  CASE WHEN NOT s.skipped THEN round((coalesce(apcer, 0) + coalesce(bpcer, 0)) / 2, 6) END AS acer FROM skips s LEFT JOIN e ON e.n_real = s.n_real LEFT JOIN ap ON ap.n_real = s.n_real LEFT JOIN bp ON bp.n_real = s.n_real"""))
+def curve_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """A curve over nested subsets of all line items, from one pass; sizes beyond the pool are skipped."""
+    return r6(sweeps.nested_curve(_pool(spark, sf), "key", SIZES, 7), "eer", "apcer", "bpcer", "acer")
+
+
+@query(eer_sql("cell", rows="pool", ctes=CURVE_POOL))
+def sweep_grid_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of all line items in two runs over one folder: the first is stopped halfway, the second goes on."""
+    rows, root = _pool(spark, sf), shared_folder(spark, "grid")
+    grid = rows.select("cell").distinct()
+    sweeps.run_grid(rows, grid.filter(F.crc32(F.col("cell").cast("binary")) % 2 == 0), root, ["cell"])
+    return r6(sweeps.run_grid(rows, grid, root, ["cell"]).select("cell", "eer", "threshold"), "eer")

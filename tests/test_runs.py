@@ -153,3 +153,36 @@ def test_ledger_faults(spark):
     names = [c.strip().split()[0] for c in schema.split(",")]
     found = quality.ledger_faults(spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema), "id").collect()
     assert {tuple(r) for r in found} == want and len(found) == len(want)
+
+
+def test_grid_goes_on_and_writes_each_cell_once(spark, tmp_path):
+    from gaugeworks.operators import metrics, sweeps
+
+    rows = spark.range(600).select((F.col("id") % 4).cast("int").alias("a"), F.concat(F.lit("l"), F.col("id") % 2).alias("b"), (F.col("id") % 3 == 0).cast("int").alias("label"), F.when(F.col("id") % 3 == 0, F.lit("print")).alias("attack_type"), (F.col("id") * 37 % 101 / 101).alias("score"))
+    grid, root = rows.select("a", "b").distinct().unionByName(spark.createDataFrame([(9, "none")], "a int, b string")), f"file://{tmp_path}/grid"
+    assert sweeps.run_grid(rows, grid.filter("a < 2"), root, ["a", "b"]).count() == 2
+    first = {f: os.stat(tmp_path / "grid" / f).st_mtime_ns for f in tree(tmp_path / "grid") if f.endswith(".parquet")}
+    out = sweeps.run_grid(rows, grid, root, ["a", "b"])
+    want = {(r["a"], r["b"]): (r["eer"], r["threshold"]) for r in metrics.eer(rows, ["a", "b"]).collect()}
+    assert {(r["a"], r["b"]): (r["eer"], r["threshold"]) for r in out.collect()} == want and out.count() == 4
+    assert all(os.stat(tmp_path / "grid" / f).st_mtime_ns == t for f, t in first.items())  # finished cells aren't touched
+    assert sweeps.run_grid(rows, grid, root, ["a", "b"]).count() == 4
+
+
+def test_nested_curve_is_that_of_each_subset(spark):
+    import hashlib
+
+    from gaugeworks.operators import metrics, sweeps
+
+    rows = [(i, int(i % 3 == 0), ("print", "mask")[i % 2] if i % 3 == 0 else None, (i * 37 % 50) / 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "k int, label int, attack_type string, score double")
+    got = {r["n_real"]: r for r in sweeps.nested_curve(df, "k", [10, 60, 200, 201], 5).collect()}
+    order = sorted(rows, key=lambda r: hashlib.sha256(f"5|{r[0]}".encode()).hexdigest())
+    for n in (10, 60, 200):
+        part = spark.createDataFrame(order[:n], df.schema)
+        one, rates = metrics.eer(part).first(), metrics.error_rates(part, 0.5).first()
+        assert (got[n]["eer"], got[n]["threshold"], got[n]["skipped"]) == (one["eer"], one["threshold"], False)
+        assert abs(got[n]["acer"] - rates["acer"]) < 1e-9 and abs(got[n]["apcer"] - rates["apcer"]) < 1e-9
+    assert got[201]["skipped"] and got[201]["eer"] is None
+    empty = sweeps.nested_curve(df.limit(0), "k", [5], 5).collect()
+    assert [(r["n_real"], r["skipped"]) for r in empty] == [(5, True)]
