@@ -1,7 +1,7 @@
 """Phrases whose words stand together more often than apart.
 
 1. Sketches: a word's or phrase's hash names a cell; a cell's sum bounds the counts of what falls into it from above. One scan fills the sketches of words and pairs, one more each that of phrases of one word more, whose parts (without the last word, without the first) must pass the sketch before. Tasks send the cells that they touch; each block of cells is summed in one task, row by row; what comes back is one bit a cell, whether its sum reaches the least count.
-2. Each task goes through its documents in shards. A shard's words and phrases in cells that pass are compiled into a pyahocorasick automaton of its own, which then scans the shard and counts all, also overlapping, matches. A shard is its words with one space between and a lone dot where a piece ends; patterns begin and end with a space, which is the guard: a match begins and ends with a word, and none has a dot, so none crosses a piece. An automaton is bounded by its shard, each document is scanned once however many candidates there are, and nothing is broadcast but the bits.
+2. Each task goes through its documents in shards. A shard's phrases in cells that pass are compiled into a pyahocorasick automaton of its own, which then scans the shard and counts all, also overlapping, matches. (Its single words, which are parts of candidates but none themselves, are counted as they are hashed.) A shard is its words with one space between and a lone dot where a piece ends; patterns begin and end with a space, which is the guard: a match begins and ends with a word, and none has a dot, so none crosses a piece. An automaton is bounded by its shard, each document is scanned once however many candidates there are, and nothing is broadcast but the bits.
 3. Spark adds up the counts of the shards; thresholds and scores work on the exact sums.
 
 Words and phrases are told apart by hashes of 64 bits within a shard."""
@@ -151,23 +151,26 @@ def matches(docs: DataFrame, heavy: list[np.ndarray], bits: int) -> DataFrame:
             phrases = Phrases(lang, data, shared.value, bits)
             total[lang] += int(phrases.word.sum())
             begin, end = phrases.start.tolist(), phrases.end.tolist()
-            automaton, patterns = ahocorasick.Automaton(), []
+            automaton, patterns, some = ahocorasick.Automaton(), [], []
             for k, (passing, hashes) in enumerate(zip(phrases.passing, phrases.hashes, strict=True), 1):
                 at = np.flatnonzero(passing)
-                for i in at[np.unique(hashes[at], return_index=True)[1]].tolist():
+                _, first, counts = np.unique(hashes[at], return_index=True, return_counts=True)
+                if k == 1:
+                    some = [(data[begin[i] : end[i]].decode(), f) for i, f in zip(at[first].tolist(), counts.tolist(), strict=True)]
+                    continue
+                for i in at[first].tolist():
                     phrase = data[begin[i] : end[i + k - 1]].decode()
                     automaton.add_word(f" {phrase} ", len(patterns))
                     patterns.append(phrase)
-            if not patterns:
-                continue
             del phrases, begin, end
-            automaton.make_automaton()
-            found = Counter(map(itemgetter(1), automaton.iter(f" {data.decode()} ")))
-            del automaton
-            some = list(found.items())
+            if patterns:
+                automaton.make_automaton()
+                found = Counter(map(itemgetter(1), automaton.iter(f" {data.decode()} ")))
+                some += [(patterns[x], f) for x, f in found.items()]
+            del automaton, patterns
             for i in range(0, len(some), 10_000):
                 part = some[i : i + 10_000]
-                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([patterns[x] for x, _ in part], pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
+                yield pa.record_batch([pa.array([lang] * len(part), pa.string()), pa.array([p for p, _ in part], pa.string()), pa.array([f for _, f in part], pa.int64())], names=["lang", "phrase", "f"])
         if total:
             yield pa.record_batch([pa.array(list(total), pa.string()), pa.array([""] * len(total)), pa.array(list(total.values()), pa.int64())], names=["lang", "phrase", "f"])
 
