@@ -130,6 +130,80 @@ def test_an_inline_end_tag_closes_no_block():
     assert html_extract.extract("<article><b>one <p>two </b>three</p><p>four</article>") == "one\ntwo three\nfour"
 
 
+#: Paragraphs for page shapes below, which are written by hand, apart from the operator, with the blocks that a reader takes for the article.
+P = paragraphs(12, 21)
+NAV = "<div class=nav><a href=a>Home</a> <a href=b>News</a></div>"
+FOOT = "<footer><p>Imprint, contact</p></footer>"
+LINKS = "<div class=x1><ul>" + "".join(f"<li><a href={i}>Story number {i}</a></li>" for i in range(6)) + "</ul></div>"
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 6, 8, 12])
+def test_sections_columns_and_divs_without_an_article(n):
+    p = P[:n]
+    row = lambda x: f"<div class=row><div class=col><p>{x}</p></div></div>"
+    shapes = [
+        ("".join(f"<section><h2>Part {i}</h2><p>{x}</p></section>" for i, x in enumerate(p)), [y for i, x in enumerate(p) for y in (f"Part {i}", x)]),
+        ("".join(f"<div><p>{x}</p></div>" for x in p), p),
+        ("<div class=row><h1>Title</h1></div>" + "".join(row(x) for x in p), ["Title", *p]),
+        ("<h1>Title</h1>" + "".join(row(f"{x} {x} {x}") for x in p), ["Title", *(f"{x} {x} {x}" for x in p)]),
+        ("".join(row(x) for x in p) + row("The end."), [*p, "The end."]),
+        ("".join(f"<div>{x}</div>" for x in p), p),
+        ("".join(f"<x-part><p>{x}</x-part>" for x in p), p),
+    ]
+    for body, want in shapes:
+        assert html_extract.extract(f"<body>{NAV}{body}{FOOT}</body>") == "\n".join(want)
+
+
+SHAPES = {
+    "links beside": (f"<div class=wrap>{LINKS}<div class=c>{''.join(f'<p>{x}</p>' for x in P[:3])}</div>{LINKS}</div><div>\xa9 2024 Acme</div>", P[:3]),
+    "layout table": (f"<table><tr><td>{LINKS}</td><td><p>{P[0]}</p><p>{P[1]}</p></td></tr></table>", P[:2]),
+    "breaks": (f"<div>{'<br><br>'.join(P[:3])}</div>", [" ".join(P[:3])]),
+    "intro apart": (f"<h1>Title</h1><div class=intro><p>{P[0]}</p></div><div class=rest>{''.join(f'<p>{x} {x}</p>' for x in P[1:])}</div>", ["Title", P[0], *(f"{x} {x}" for x in P[1:])]),
+    "list within": (f"<h1>Title</h1><div><p>{P[0]}</p><ul><li>one of two</li><li>two</li></ul></div><div><p>{P[1]}</p></div>", ["Title", P[0], "one of two", "two", P[1]]),
+    "links between": (f"<div><p>{P[0]}</p></div>{LINKS}<div><p>{P[1]}</p></div>", P[:2]),
+    "title apart": (f"<div class=t><h1>Title</h1></div><div class=c><p>{P[0]}</p><p>{P[1]}</p></div>", ["Title", *P[:2]]),
+    "main of columns": (f"<main><div class=row><h1>Title</h1></div>{''.join(f'<div class=row><div class=col><p>{x}</p></div></div>' for x in P[:3])}</main>", ["Title", *P[:3]]),
+    "short texts": ("".join(f"<div><p>Short text {i}, here.</p></div>" for i in range(3)), [f"Short text {i}, here." for i in range(3)]),
+    "figure between": (f"<div class=c><p>{P[0]}</p></div><figure><img src=x><figcaption>A caption</figcaption></figure><div class=c><p>{P[1]}</p></div>", [P[0], "A caption", P[1]]),
+    "named entries": (f"<div class=site-content><div class=entry><p>{P[0]}</p></div><div class=entry><p>{P[1]} {P[2]}</p></div></div>", [P[0], f"{P[1]} {P[2]}"]),
+    "entries in body": (f"<div class=entry><p>{P[0]}</p></div><div class=entry><p>{P[1]} {P[2]}</p></div>", [P[0], f"{P[1]} {P[2]}"]),
+    "table of data": (f"<div><p>{P[0]}</p><table><tr><th>A</th><td>1</td></tr></table><p>{P[1]}</p></div>", [P[0], "A", "1", P[1]]),
+    "a part that goes ends a block": ("<article><div>one<nav>x</nav>two</div></article>", ["one", "two"]),
+    "fieldset of text": (f"<article><p>{P[0]}</p><fieldset><legend>Box</legend><p>text</p></fieldset><p>{P[2]}</p></article>", [P[0], "Box", "text", P[2]]),
+    "fieldset of fields": (f"<article><p>{P[0]}</p><fieldset><legend>Box</legend><input></fieldset><p>{P[2]}</p></article>", [P[0], P[2]]),
+    "quotes and asides": (f"<article><p>{P[0]}</p><aside class=pull-quote>A word</aside><aside><blockquote>Two words</blockquote></aside><aside>More <a href=x>links</a></aside><p>{P[1]}</p></article>", [P[0], "A word", "Two words", P[1]]),
+    "cdata": (f"<article><p>{P[0]}<![CDATA[x>y]]></p><p>{P[1]}<![CDATA[never closed></p></article>", P[:2]),
+    "copyright": (f"<article><p>{P[0]}</p><p class=copyright>\xa9 2024 Acme Corporation Ltd of London. All rights reserved.</p></article>", P[:1]),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+def test_page_shapes(name):
+    body, want = SHAPES[name]
+    assert html_extract.extract(f"<body>{NAV}{body}{FOOT}</body>") == "\n".join(want)
+
+
+@pytest.mark.parametrize(
+    "part",
+    ["<script>x()</script>", "<style>p{}</style>", "<svg><path d=1 /></svg>", "<math><mi>x</mi></math>", "<button>Go</button>", "<button><div>Go</div></button>", "<input>", "<select><option>a</select>", "<iframe src=x></iframe>", "<noscript>x</noscript>", "<template><p>z</p></template>", "<video></video>", "<picture><source><img></picture>", "<o:p></o:p>", "<my-tag></my-tag>", "<output></output>"],
+)
+def test_what_is_no_block_splits_no_paragraph(part):
+    assert html_extract.extract(f"<article><p>{P[0]} before {part}after</p><p>{P[1]}</p></article>") == f"{P[0]} before after\n{P[1]}"
+
+
+@pytest.mark.parametrize("name", "legal promotion alert banner copyright search respond sponsor subscribe".split())
+def test_prose_in_an_article_stays_whatever_its_name(name):
+    body = f"<p>{P[0]}</p><p class={name}>{P[1]}</p><p>{P[2]}</p>"
+    assert html_extract.extract(f"<article>{body}</article>") == "\n".join(P[:3])
+    assert html_extract.extract(f"<body><div class=post-content>{body}</div></body>") == "\n".join(P[:3])
+    assert html_extract.extract(f"<article>{body.replace(P[1], P[1] + '<a href=x>Join</a>')}</article>") == f"{P[0]}\n{P[2]}"
+
+
+@pytest.mark.parametrize("name", "comment ad advert cookie-notice notice reply sponsored".split())
+def test_comments_adverts_and_notices_go(name):
+    assert html_extract.extract(f"<article><p>{P[0]}</p><p class={name}>{P[1]}</p><p>{P[2]}</p></article>") == f"{P[0]}\n{P[2]}"
+
+
 @pytest.mark.parametrize("opening", ["<div>", "<b>", "<a href=x>", "<li>", "<p>", "<b><p>a</b>", "<ul><li>", "<table><tr><td>", "<span class=comment>", "</b>", "<", "<a b='c", "<b><li>"])
 def test_time_is_linear_in_depth(opening):
     def seconds(n):
