@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, fresh, removed, sha256_hex, shared_dir, table
@@ -17,19 +19,45 @@ from .common import ascii_lower, fresh, removed, sha256_hex, shared_dir, table
 #: Bytes of text in a batch, and the least number of batches.
 BATCH_BYTES, LEAST_BATCHES = 1 << 40, 4
 FANOUT = 2
+#: Bytes of a bucket of the run that holds all keys, and of a key in it.
+BUCKET_BYTES, KEY_BYTES = 256 << 20, 16
 MIN_CHARS = 10
 BLANK = " \t\n\x0b\x0c\r"
 #: Parts of the documents, by number, that batches are made of.
 QUANTILES = 1024
 
 
+#: Lets a scan of buckets that are one sorted file each say so, which saves the sort before a join.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+
+
+@contextmanager
+def sorted_scans(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(ORDERED)
+    spark.conf.set(ORDERED, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(ORDERED, before)
+
+
+def bucket_count(spark: SparkSession, keys: int) -> int:
+    """Buckets for so many keys, each of at most BUCKET_BYTES on average: a multiple of the shuffle partitions, so that a bucket is written by one task and is one file, within what Spark allows."""
+    dealt, most = int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, dealt * max(1, min(math.ceil(keys * KEY_BYTES / BUCKET_BYTES / dealt), most // dealt)))
+
+
 class Run:
     """A table with columns h1 and h2 among others, in buckets of these, sorted by them."""
 
     def __init__(self, rows: DataFrame, buckets: int) -> None:
         self.spark, self.schema, self.name = rows.sparkSession, rows.schema, f"line_run_{uuid.uuid4().hex}"
         self.path = shared_dir(self.spark, "line-run")
-        rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.path).saveAsTable(self.name)
+        try:
+            rows.write.bucketBy(buckets, "h1", "h2").sortBy("h1", "h2").option("path", self.path).saveAsTable(self.name)
+        except BaseException:
+            self.remove()
+            raise
 
     def rows(self) -> DataFrame:
         """In its buckets: a join on h1 and h2 with what is dealt alike needs no shuffle of it."""
@@ -49,7 +77,7 @@ class Runs:
 
     def __init__(self, spark: SparkSession, fanout: int = FANOUT, buckets: int | None = None) -> None:
         self.spark, self.fanout, self.levels = spark, fanout, []
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets or bucket_count(spark, 0)
 
     def all(self) -> list[Run]:
         return [r for level in self.levels for r in level]
@@ -61,6 +89,10 @@ class Runs:
 
     def absorb(self, keys: DataFrame) -> Run:
         """Marks which of the keys (h1, h2 and others; each key once) the runs have, adds the others as a run, compacts full levels, and returns the marked keys. Whoever takes them removes them, where compaction has not made them superfluous."""
+        with sorted_scans(self.spark):
+            return self._absorbed(keys)
+
+    def _absorbed(self, keys: DataFrame) -> Run:
         marked, seen = keys, F.lit(False)
         for i, run in enumerate(self.all()):
             marked = marked.join(self._new(run).withColumn(f"in_{i}", F.lit(True)), ["h1", "h2"], "left")
@@ -98,7 +130,7 @@ def _bounds(docs: DataFrame, batch_bytes: int, least: int) -> list[int]:
 def dropped_lines(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches: int = LEAST_BATCHES) -> DataFrame:
     """(doc_id, version, place) of the lines of docs (doc_id, version, text) that a smaller doc_id holds; places count from 1. Lines whose key is shorter than MIN_CHARS code points stay out.
 
-    A line that very many documents share is one row of a batch's keys after partial aggregation; the join that brings the first document of a shared key back to the lines is a skewed one which adaptive execution splits. Keys are told apart by 128 bits of hash. Only what is returned is left in the shared folder."""
+    A line that very many documents share is one row of a batch's keys after partial aggregation; the join that brings the first document of a shared key back to the lines is a skewed one which adaptive execution splits. Keys are told apart by 128 bits of hash. Buckets follow from the number of lines, which the job that writes them counts. Only what is returned is left in the shared folder, also when a job fails."""
     spark = docs.sparkSession
     cuts = _bounds(docs, batch_bytes, least_batches)
     batch = F.lit(0)
@@ -114,20 +146,27 @@ def dropped_lines(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches
     for f in (lambda line: F.btrim(line, F.lit(BLANK)), ascii_lower, hashes):
         hashed = F.transform(hashed, f)
     lines, drops = shared_dir(spark, "lines"), shared_dir(spark, "dropped-lines")
-    docs.select("doc_id", "version", hashed.alias("lines"), batch.alias("batch")).write.partitionBy("batch").parquet(lines)
     schema = "doc_id long, version long, lines array<struct<h1: long, h2: long>>, batch int"
-    runs = Runs(spark)
-    for b in range(len(cuts) + 1):
-        own = spark.read.schema(schema).parquet(lines).filter(F.col("batch") == b).select("doc_id", "version", F.posexplode("lines").alias("place", "h")).filter("h is not null")
-        own = own.select("doc_id", "version", (F.col("place") + 1).alias("place"), "h.h1", "h.h2")
-        taken = runs.absorb(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
-        shared = taken.files().filter("seen or hi > lo").select("h1", "h2", F.when(~F.col("seen"), F.col("lo")).alias("lo"))
-        found = own.join(shared, ["h1", "h2"]).filter("lo is null or doc_id > lo")
-        found.select("doc_id", "version", "place").write.mode("append").parquet(drops)
-        if taken not in runs.all():
-            taken.remove()
-    runs.remove()
-    removed(spark, lines)
+    counted, runs = Observation(), None
+    try:
+        parts = docs.select("doc_id", "version", hashed.alias("lines"), batch.alias("batch"))
+        parts.observe(counted, F.sum(F.size(F.filter("lines", lambda h: h.isNotNull()))).alias("keys")).write.partitionBy("batch").parquet(lines)
+        runs = Runs(spark, buckets=bucket_count(spark, counted.get["keys"] or 0))
+        for b in range(len(cuts) + 1):
+            own = spark.read.schema(schema).parquet(lines).filter(F.col("batch") == b).select("doc_id", "version", F.posexplode("lines").alias("place", "h")).filter("h is not null")
+            own = own.select("doc_id", "version", (F.col("place") + 1).alias("place"), "h.h1", "h.h2")
+            taken = runs.absorb(own.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+            try:
+                shared = taken.files().filter("seen or hi > lo").select("h1", "h2", F.when(~F.col("seen"), F.col("lo")).alias("lo"))
+                found = own.join(shared, ["h1", "h2"]).filter("lo is null or doc_id > lo")
+                found.select("doc_id", "version", "place").write.mode("append").parquet(drops)
+            finally:
+                if taken not in runs.all():
+                    taken.remove()
+    finally:
+        if runs:
+            runs.remove()
+        removed(spark, lines)
     return spark.read.schema("doc_id long, version long, place int").parquet(drops)
 
 

@@ -81,14 +81,65 @@ def test_runs_are_joined_without_a_shuffle_of_them(spark):
         joined = keys
         for i, r in enumerate(runs.all()):
             joined = joined.join(runs._new(r).withColumn(f"in_{i}", F.lit(True)), ["h1", "h2"], "left")
-        plan = joined._jdf.queryExecution().executedPlan().toString()
+        with line_dedup.sorted_scans(spark):
+            plan = joined._jdf.queryExecution().executedPlan().toString()
         assert len(runs.all()) == 2 and plan.count("SortMergeJoin") == 2
         assert plan.count("Exchange hashpartitioning") == 1  # that of the keys' aggregation
+        assert plan.count("Sort [") == 1  # of the keys; runs are sorted files
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         runs.remove()
 
 
+def test_buckets_grow_with_the_keys(spark):
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    a_bucket = line_dedup.BUCKET_BYTES // line_dedup.KEY_BYTES
+    assert [line_dedup.bucket_count(spark, n * a_bucket) for n in (0, 1, dealt, dealt + 1, 10 * dealt)] == [dealt, dealt, dealt, 2 * dealt, 10 * dealt]
+    assert line_dedup.bucket_count(spark, 10**15) == 100_000
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", dealt - 1)
+    try:
+        assert line_dedup.bucket_count(spark, 0) == dealt - 1
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
+def test_more_buckets_than_shuffle_partitions(spark, monkeypatch):
+    """Same results; a bucket of a run is one file however many there are."""
+    monkeypatch.setattr(line_dedup, "BUCKET_BYTES", 200)
+    docs, files = sample(2), []
+    whole = line_dedup.Run.__init__
+
+    def watched(self, rows, buckets):
+        whole(self, rows, buckets)
+        names = [f.rsplit("_", 1)[1] for f in self.spark.read.parquet(self.path).inputFiles()]
+        files.append((buckets, len(names) == len(set(names))))
+
+    monkeypatch.setattr(line_dedup.Run, "__init__", watched)
+    got = sorted((r["doc_id"], r["n_lines_"], r["n_dropped"], r["text"]) for r in run(spark, docs))
+    want = brute(docs)
+    assert got == sorted((d, *want[d, t]) for d, t in docs)
+    assert all(n > 4 and n % 4 == 0 and single for n, single in files)
+
+
+def test_a_failed_batch_leaves_no_tables(spark, monkeypatch):
+    kept, tables = line_dedup.Run.files, lambda: [t.name for t in spark.catalog.listTables() if t.name.startswith("line_run_")]
+    calls = []
+
+    def breaks(self):
+        calls.append(self)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return kept(self)
+
+    monkeypatch.setattr(line_dedup.Run, "files", breaks)
+    before = tables()
+    try:
+        run(spark, sample(3))
+    except RuntimeError as e:
+        assert str(e) == "lost"
+    assert len(calls) == 3 and tables() == before
+
+
 def test_no_rows(spark):
     assert line_dedup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
