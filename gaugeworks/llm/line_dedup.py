@@ -150,8 +150,8 @@ def dropped_lines(docs: DataFrame, batch_bytes: int = BATCH_BYTES, least_batches
     counted, runs = Observation(), None
     try:
         parts = docs.select("doc_id", "version", hashed.alias("lines"), batch.alias("batch"))
-        parts.observe(counted, F.sum(F.size(F.filter("lines", lambda h: h.isNotNull()))).alias("keys")).write.partitionBy("batch").parquet(lines)
-        runs = Runs(spark, buckets=bucket_count(spark, counted.get["keys"] or 0))
+        parts.observe(counted, F.sum(F.size("lines")).alias("lines")).write.partitionBy("batch").parquet(lines)
+        runs = Runs(spark, buckets=bucket_count(spark, counted.get["lines"] or 0))
         for b in range(len(cuts) + 1):
             own = spark.read.schema(schema).parquet(lines).filter(F.col("batch") == b).select("doc_id", "version", F.posexplode("lines").alias("place", "h")).filter("h is not null")
             own = own.select("doc_id", "version", (F.col("place") + 1).alias("place"), "h.h1", "h.h2")
