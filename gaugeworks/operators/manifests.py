@@ -46,12 +46,16 @@ def shuffled_take(rows: DataFrame, by: Sequence[str], key: str, seed: int, n: in
     return first_per(drawn, by, ["_o", key], n).drop("_o")
 
 
+def placed(identities: DataFrame, identity: str, order: str) -> DataFrame:
+    """(identity, place): the identities' numbers in order of `order`, from 0 on. Repeated pairs count once."""
+    return numbered(kept(identities.select(F.col(identity).alias("identity"), F.col(order).alias("_o")).distinct(), "identities"), "_o", "place").drop("_o")
+
+
 def work_items(identities: DataFrame, identity: str, order: str, per_identity: int, modality: str, attacks: Sequence[tuple[str, float]], master_seed: int) -> DataFrame:
     """(sample_id, identity, sub, counter, dispatch_seed, attack, seed): each identity per_identity times, numbered in order of identity and sub.
 
     `order`, a number or a text, is unique for an identity, and its place is one number however often it is repeated. The attack is drawn by the dispatch seed's place in the running weights of the sorted names."""
-    placed = numbered(kept(identities.select(F.col(identity).alias("identity"), F.col(order).alias("_o")).distinct(), "identities"), "_o", "_p")
-    items = placed.select("identity", (F.col("_p") * per_identity).alias("_base"), F.explode(F.sequence(F.lit(0), F.lit(per_identity - 1))).alias("sub"))
+    items = placed(identities, identity, order).select("identity", (F.col("place") * per_identity).alias("_base"), F.explode(F.sequence(F.lit(0), F.lit(per_identity - 1))).alias("sub"))
     items = items.withColumn("counter", F.col("_base") + F.col("sub")).withColumn("dispatch_seed", derive_seed(F.lit(master_seed), F.lit(modality), F.lit("_dispatch"), F.col("counter")))
     names = sorted(attacks)
     total, upto, attack = sum(w for _, w in names), 0.0, None

@@ -482,7 +482,7 @@ def covariance_by_subject(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def mahalanobis_score(spark: SparkSession, sf: str) -> DataFrame:
     p = src.profiles(spark, sf)
-    fitted = profiles.fitted(profiles.covariances(p, "subject", "vector", 64), "subject", 64)
+    fitted = profiles.profiled(p, "subject", "vector", 64)
     return profiles.distances(p, fitted, "subject", "vector", 64).select("vec_id", "subject", F.round("distance", 6).alias("distance"))
 
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import generate, ingest, quality, sweeps
+from ..functions import tables
+from ..operators import generate, ingest, manifests, quality, sweeps
 from ..sources import payloads
 from ..sources import proxies as src
 from ..sources.shared import shared_folder
 from ..streaming import events as streams
-from .catalogue import eer_sql, query, r6
+from .catalogue import ATTACKS, SQL, eer_sql, query, r6
 
 LANGS = ("de", "en", "es", "fr")
 
@@ -122,3 +125,18 @@ def sweep_grid_run(spark: SparkSession, sf: str) -> DataFrame:
     grid = rows.select("cell").distinct()
     sweeps.run_grid(rows, grid.filter(F.crc32(F.col("cell").cast("binary")) % 2 == 0), root, ["cell"])
     return r6(sweeps.run_grid(rows, grid, root, ["cell"]).select("cell", "eer", "threshold"), "eer")
+
+
+@query(SQL["key_down_up_pairs"])
+def table_function_key_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """key_down_up_pairs by the table function, from SQL."""
+    tables.register(spark)
+    return spark.sql("SELECT session, code, down_t, up_t FROM key_pairs(TABLE({events}))", events=src.keys(spark, sf).withColumnRenamed("us", "t"))
+
+
+@query(SQL["work_items"])
+def table_function_work_items(spark: SparkSession, sf: str) -> DataFrame:
+    """work_items by the table function, from SQL."""
+    tables.register(spark)
+    placed = manifests.placed(src.table(spark, sf, "supplier"), "s_name", "s_suppkey")
+    return spark.sql("SELECT * FROM work_items(TABLE({placed}), 5, 'face', {attacks}, 11)", placed=placed, attacks=json.dumps(dict(ATTACKS)))

@@ -114,3 +114,26 @@ def test_evaluation_is_numpys(spark):
         assert abs(got[domain]["auth_eer"] - brute_eer(scores, np.array([float(r[1] == "imposter") for r in test if r[1] != "bot"]))) < 1e-9
         p = 1 / (1 + np.exp(-(((v(test, "genuine", "imposter", "bot") - every.mean(axis=0)) / std) @ w + b)))
         assert abs(got[domain]["bot_accuracy"] - ((p >= 0.5) == np.array([r[1] == "bot" for r in test])).mean()) < 1e-9
+
+
+def test_models_without_rows(spark):
+    """Nothing learned gives no scores; a domain without sessions has the values of an empty set; nulls are passed over."""
+    none = spark.createDataFrame([], "session string, label string, vector array<double>")
+    got = {r["domain"]: (r["auth_eer"], r["bot_accuracy"]) for r in evaluation.evaluated(none, none, 3).collect()}
+    assert got == {"in": (0.5, 0.0), "cross": (0.5, 0.0)}
+    rows = spark.createDataFrame([("a", "bot", [1.0, 2.0]), ("b", "genuine", None), ("c", "genuine", [0.0, 5.0])], "session string, label string, vector array<double>")
+    empty = profiles.logistic(rows.filter("false"), "vector", "label")
+    assert [r["score"] for r in profiles.logistic_scores(rows, "vector", *empty).collect()] == [None] * 3
+    scores = {r["session"]: r["score"] for r in evaluation.bot_scores(rows, rows, steps=50).collect()}
+    assert scores["b"] is None and scores["a"] > 0.5 > scores["c"]
+
+
+def test_profiles_are_those_of_covariances(spark):
+    rng = np.random.default_rng(9)
+    rows = spark.createDataFrame([(i % 3 or None, rng.normal(1e6, 3, 4).tolist()) for i in range(50)] + [(1, None)], "g int, v array<double>")
+    cov = {r["g"]: np.array(r["cov"]).reshape(4, 4) for r in profiles.covariances(rows, "g", "v", 4).collect()}
+    for r in profiles.profiled(rows, "g", "v", 4, ridge=0.01, shrink=0.2).collect():
+        c = cov.pop(r["g"])
+        want = np.linalg.pinv(0.8 * c + 0.2 * np.diag(np.diag(c)) + 0.01 * np.eye(4))
+        assert np.allclose(np.array(r["inverse"]).reshape(4, 4), want, rtol=1e-9, atol=0)
+    assert not cov
