@@ -11,11 +11,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frames import with_fields
 from ..functions.scalars import code_label
 from ..operators.manifests import last_wins, restricted
 from .jsonl import append_unseen, existing
 from .schemas import SESSION, SESSION_MANIFEST
 
+#: Payload files that a task reads at once.
+FILES_A_BATCH = 200
 IMAGES = "*.{png,jpg,jpeg,PNG,JPG,JPEG}"
 
 
@@ -51,6 +54,10 @@ def identity_list(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("identity")).filter(F.col("identity") != "")
 
 
+def _opened(root: str) -> tuple[pa.fs.FileSystem, str]:
+    return pa.fs.FileSystem.from_uri(re.sub(r"^(file:)?/(?=[^/])", "file:///", root))
+
+
 def write_sessions(payloads: DataFrame, root: str, manifest: str = "manifest") -> DataFrame:
     """Writes each session (session_id, label, subject_id and its events, one row each) as a JSON file of its own below root/sessions, and appends those whose session_id isn't there yet to the manifest root/manifest, with the file's path and sha256; returns the manifest.
 
@@ -58,7 +65,7 @@ def write_sessions(payloads: DataFrame, root: str, manifest: str = "manifest") -
     text = payloads.select("session_id", "label", "subject_id", F.to_json(F.struct(*payloads.columns)).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, base = pa.fs.FileSystem.from_uri(re.sub(r"^(file:)?/(?=[^/])", "file:///", root))
+        fs, base = _opened(root)
         fs.create_dir(f"{base}/sessions", recursive=True)
         for b in batches:
             for name, content in zip(b.column("session_id"), b.column("text"), strict=True):
@@ -79,11 +86,27 @@ def write_sessions(payloads: DataFrame, root: str, manifest: str = "manifest") -
 
 
 def session_payloads(spark: SparkSession, manifest: DataFrame, root: str) -> DataFrame:
-    """manifest rows with the session in their payload file (one JSON object a file), by its path below root."""
-    files = spark.read.text(root, wholetext=True, pathGlobFilter="*.json", recursiveFileLookup=True)
-    below = root.rstrip("/").rpartition(":")[2].lstrip("/")
-    parsed = files.select(F.regexp_replace(F.col("_metadata.file_path"), rf"^.*?\Q{below}\E/", "").alias("payload_path"), F.from_json("value", SESSION).alias("s"), F.sha2(F.encode("value", "UTF-8"), 256).alias("sha256"))
-    return manifest.join(parsed, "payload_path")
+    """manifest rows with the session in their payload file (one JSON object a file, *.json), by its path below root; rows whose file is missing or empty are left out.
+
+    The tasks open the files that their rows name: the driver lists none, however many there are."""
+    names, rest = [c for c in manifest.columns if c != "payload_path"], manifest.filter(F.col("payload_path").endswith(".json"))
+
+    def content(fs: pa.fs.FileSystem, path: str) -> bytes | None:
+        try:
+            with fs.open_input_stream(path, compression=None) as file:
+                return file.read() or None
+        except FileNotFoundError:
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = _opened(root)
+        for b in batches:
+            for i in range(0, b.num_rows, FILES_A_BATCH):
+                part = b.slice(i, FILES_A_BATCH)
+                yield part.append_column("_content", pa.array([content(fs, f"{base}/{p.as_py()}") for p in part.column("payload_path")], pa.binary()))
+
+    read = rest.mapInArrow(run, with_fields(rest, _content="binary")).filter("_content is not null")
+    return read.select("payload_path", *names, F.from_json(F.col("_content").cast("string"), SESSION).alias("s"), F.sha2("_content", 256).alias("sha256"))
 
 
 def spoof_labels(spark: SparkSession, json_path: str | None, text_path: str | None, classes: dict[int, str], place: int = 40) -> DataFrame:
