@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import kernels
 from ..functions import scalars as fn
+from ..functions.frames import dealt
 from ..operators import evaluation, features, generate, ingest, manifests, metrics, profiles, quality, reps, splits, sweeps
 from ..sources import files
 from ..sources import proxies as src
@@ -799,8 +800,9 @@ def auth_bot_evaluation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def kernel_pictures(spark: SparkSession, sf: str) -> DataFrame:
-    """Small pictures made of hashes of the suppliers' names, each attacked in three ways."""
-    s = src.table(spark, sf, "supplier").select("s_suppkey", F.unhex(F.repeat(F.sha2("s_name", 512), 27)).alias("pixels"), F.explode(F.array(*map(F.lit, sorted(kernels.KERNELS)))).alias("attack"))
+    """Small pictures made of hashes of the suppliers' names, each attacked in three ways. The suppliers are dealt first, as their small table would be one task's."""
+    names = dealt(src.table(spark, sf, "supplier").select("s_suppkey", "s_name"), 300, "s_suppkey")
+    s = names.select("s_suppkey", F.unhex(F.repeat(F.sha2("s_name", 512), 27)).alias("pixels"), F.explode(F.array(*map(F.lit, sorted(kernels.KERNELS)))).alias("attack"))
     made = kernels.simulated(s.select("s_suppkey", "pixels", F.lit(24).alias("height"), F.lit(24).alias("width"), "attack", fn.derive_seed("s_suppkey", "attack").alias("seed"), F.lit(None).cast("map<string, double>").alias("params")), sensor="webcam")
     return made.select("s_suppkey", "attack", F.sha2("attacked", 256).alias("sha256"), "fault")
 
