@@ -71,9 +71,11 @@ def oversized_skipped(curve: DataFrame, pool: Column) -> DataFrame:
 def nested_curve(pool: DataFrame, key: str, sizes: Sequence[int], seed: int, threshold: float = 0.5) -> DataFrame:
     """(n_real, skipped, eer, threshold, apcer, bpcer, acer) of nested subsets of the pool (key, label, score, attack_type): the first n rows in an order drawn by seed and key. A size beyond the pool is a skipped row without figures, never cut down.
 
-    One pass over the pool: a row falls into the smallest subset that has it, rows are counted by subset, score and class, and only these counts are repeated for the larger subsets. Keys are unique; rows of one key stand at one place."""
+    One pass over the pool: a row falls into the smallest subset that has it, rows are counted by subset, score and class, and only these counts are repeated for the larger subsets. Rows of one key follow each other by label, score and class, so that a size that cuts them has one result; SQL that orders by the key alone leaves it open."""
     sizes = sorted({int(n) for n in sizes})
-    drawn = pool.select(F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256).alias("_o"), "label", "score", "attack_type")
+    ranked = F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256)
+    rest = F.to_json(F.array(*[F.col(c).cast("string") for c in ("label", "score", "attack_type")]), {"ignoreNullFields": "false"})
+    drawn = pool.select(F.concat_ws("|", ranked, rest).alias("_o"), "label", "score", "attack_type")
     placed = numbered(kept(drawn, "pool"), "_o", "_p")
     listed = F.array(*[F.lit(n).cast("long") for n in sizes])
     inside = F.filter(listed, lambda n: n > F.col("_p"))
