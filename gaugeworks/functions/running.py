@@ -55,8 +55,9 @@ def sums_before(df: DataFrame, order: str, sums: dict[str, str], by: Sequence[st
     placed = df.withColumn("_part", _cuts_below(value, cuts))
     totals = placed.groupBy(*by, "_part").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     across, within = before(window(by).orderBy("_part")), before(window(by, "_part").orderBy(order))
-    bases = totals.select(*by, "_part", *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_b_{c}") for c in sums])
-    out = placed.join(bases, [*by, "_part"])
+    bases = totals.select(*[F.col(c).alias(f"_g_{c}") for c in [*by, "_part"]], *[F.coalesce(F.sum(f"_t_{c}").over(across), F.lit(0)).alias(f"_b_{c}") for c in sums])
+    same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in [*by, "_part"]]  # null is a group, too
+    out = placed.join(bases, same)
     return out.select(*df.columns, *[(F.coalesce(F.sum(c).over(within), F.lit(0)) + F.col(f"_b_{c}")).alias(name) for c, name in sums.items()])
 
 

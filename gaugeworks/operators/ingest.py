@@ -9,18 +9,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
-from pyspark.sql.window import Window
 
 from ..functions.frames import with_fields
 from ..functions.kernels import quality_fault, resized
+from ..functions.running import sums_before
 from ..functions.scalars import sample_id
 from ..sources import jsonl, payloads
 from .quality import index_fingerprint
 
+#: Rows of a group, with their payloads, that one task numbers.
+PLAN_ROWS = 20_000
+
 
 def planned(files: DataFrame, group: str, order: str, prefix: Column, cap: int | None = None) -> DataFrame:
-    """files with place (from 0 in order within the group) and sample_id; with a cap, the first of each group only, which is the feature."""
-    numbered = files.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1)
+    """files with place (from 0 in order within the group) and sample_id; with a cap, the first of each group only, which is the feature. `order` is a number or a text. A large group is numbered in stretches, as its rows with their payloads are too much for one task. files is read several times."""
+    numbered = sums_before(files.withColumn("_one", F.lit(1)), order, {"_one": "place"}, [group], PLAN_ROWS).drop("_one").withColumn("place", F.col("place").cast("int"))
     taken = numbered if cap is None else numbered.filter(F.col("place") < cap)
     return taken.withColumn("sample_id", sample_id(prefix, F.col(group), F.col("place")))
 

@@ -186,3 +186,37 @@ def test_nested_curve_is_that_of_each_subset(spark):
     assert got[201]["skipped"] and got[201]["eer"] is None
     empty = sweeps.nested_curve(df.limit(0), "k", [5], 5).collect()
     assert [(r["n_real"], r["skipped"]) for r in empty] == [(5, True)]
+
+
+def test_a_large_group_of_a_plan_is_numbered_in_stretches(spark, monkeypatch):
+    """Places as by one window over each group, null among them, without any task that holds a group."""
+    from gaugeworks.operators import ingest
+
+    monkeypatch.setattr(ingest, "PLAN_ROWS", 20)
+    rows = [(None if i % 5 == 0 else "a" if i % 5 < 4 else "b", (i * 7919) % 100_003, f"payload {i}") for i in range(400)]
+    plan = ingest.planned(spark.createDataFrame(rows, "class string, id int, payload string"), "class", "id", F.lit("real"))
+    want, seen = {}, {}
+    for c, i, p in sorted(rows, key=lambda r: r[1]):
+        want[i] = (c, seen.setdefault(c, 0), p)
+        seen[c] += 1
+    assert {r["id"]: (r["class"], r["place"], r["payload"]) for r in plan.collect()} == want
+    assert dict(plan.dtypes)["place"] == "int"
+    windows = [x for x in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Window " in x and "payload" not in x.split("Window ")[0]]
+    assert windows and all("_part#" in x for x in windows)
+
+
+def test_few_suppliers_make_pictures_in_several_tasks(spark):
+    from gaugeworks.plans import catalogue
+
+    assert catalogue.kernel_pictures(spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 4  # of 300 of its 1,000 suppliers each
+
+
+def test_nested_subsets_of_repeated_keys_do_not_depend_on_how_rows_are_dealt(spark):
+    from gaugeworks.operators import sweeps
+
+    rows = [(f"k{i // 4}", i % 2, (i * 37 % 100) / 100, "p" if i % 2 else None) for i in range(120)]
+    found = []
+    for given in (rows, rows[::-1], rows[1::2] + rows[::2]):
+        pool = spark.createDataFrame(given, "key string, label int, score double, attack_type string").coalesce(1)
+        found.append(sorted(map(tuple, sweeps.nested_curve(pool, "key", (10, 49, 50, 51, 1000), 7).collect())))
+    assert found[0] == found[1] == found[2]
