@@ -322,3 +322,36 @@ def test_real_files_and_chosen_subjects(spark):
     one, two = ({r["subject"] for r in ingest.chosen_subjects(x, "subject", 7, 3).collect()} for x in (rows, rows.repartition(5)))
     assert one == two and len(one) == 7
     assert one != {r["subject"] for r in ingest.chosen_subjects(rows, "subject", 7, 4).collect()}
+
+
+def test_places_are_rounded_as_in_duckdb(spark, tables):
+    """Means of whole microseconds that lie between two of them; DuckDB rounds x * 1e6."""
+    from gaugeworks.plans.catalogue import r6
+
+    ends = [280069.5, 281818.5, 260006.5, 129363.5, -129363.5, 0.5, 2.0, 1e9 + 0.5]
+    values = [e / 1e6 for e in ends] + [None, float("nan")]
+    theirs = [tables.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchone()[0] for v in values[:-1]]
+    rows = r6(spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double"), "v").orderBy("i").collect()
+    assert [r["v"] for r in rows[:-1]] == theirs and np.isnan(rows[-1]["v"])
+
+
+def test_equal_numbers_have_no_correlation_however_they_are_dealt(spark):
+    """Moments of the parts of a group, joined, may have a variance of 1e-17 where there is none."""
+    df = spark.range(59 * 2000).select(F.expr("id div 59").alias("s"), F.expr("9.2D + (id div 59) / 100000D").alias("x"), F.expr("double(7 * id % 11)").alias("y")).repartition(13)
+    found = df.groupBy("s").agg(scalars.correlation("x", "y").alias("a"), scalars.correlation("y", "x").alias("b")).collect()
+    assert len(found) == 2000 and all(r["a"] == 0.0 and r["b"] == 0.0 for r in found)
+
+
+def test_means_of_times_are_sums_in_order(spark):
+    """The sum of times one after the other, also where parts of a group are joined, as where a task spills."""
+    flights = {s: [((7919 * (25 * s + i)) % 320_011 + 80_000) / 1e6 for i in range(24)] for s in range(200)}
+    rows = spark.createDataFrame([(s, i, v) for s, vs in flights.items() for i, v in enumerate(vs)], "session int, i int, flight double")
+    dealt = rows.repartition(5).withColumn("_flight", features._upto("flight", "i")).repartition(7)
+    found = {r["session"]: r["m"] for r in dealt.groupBy("session").agg(features._mean("flight", "_flight", "i").alias("m")).collect()}
+    expected = {}
+    for s, vs in flights.items():
+        total = 0.0
+        for v in vs:  # sum() is more exact
+            total += v
+        expected[s] = total / len(vs)
+    assert found == expected
