@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ..functions.running import numbered
+from ..functions.running import sums_before
 from ..sources.shared import kept
 from . import metrics
 
@@ -68,21 +69,34 @@ def oversized_skipped(curve: DataFrame, pool: Column) -> DataFrame:
     return curve.withColumn("skipped", F.col("n_real") > pool)
 
 
+#: Hex digits by which nested_curve() counts its rows.
+DIGITS = 4
+
+
 def nested_curve(pool: DataFrame, key: str, sizes: Sequence[int], seed: int, threshold: float = 0.5) -> DataFrame:
-    """(n_real, skipped, eer, threshold, apcer, bpcer, acer) of nested subsets of the pool (key, label, score, attack_type): the first n rows in an order drawn by seed and key. A size beyond the pool is a skipped row without figures, never cut down.
-
-    One pass over the pool: a row falls into the smallest subset that has it, rows are counted by subset, score and class, and only these counts are repeated for the larger subsets. Rows of one key follow each other by label, score and class, so that a size that cuts them has one result; SQL that orders by the key alone leaves it open."""
-    sizes = sorted({int(n) for n in sizes})
-    ranked = F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256)
-    rest = F.to_json(F.array(*[F.col(c).cast("string") for c in ("label", "score", "attack_type")]), {"ignoreNullFields": "false"})
-    drawn = pool.select(F.concat_ws("|", ranked, rest).alias("_o"), "label", "score", "attack_type")
-    placed = numbered(kept(drawn, "pool"), "_o", "_p")
-    listed = F.array(*[F.lit(n).cast("long") for n in sizes])
-    inside = F.filter(listed, lambda n: n > F.col("_p"))
-    counts = placed.withColumn("_s", F.get(inside, F.lit(0))).groupBy("_s", "label", "score", "attack_type").agg(F.count(F.lit(1)).alias("weight"))
-    total = placed.count()
-    usable = F.filter(listed, lambda n: (n >= F.col("_s")) & (n <= total))
-    nested = kept(counts.filter(F.col("_s").isNotNull()).select(F.explode(usable).alias("n_real"), "label", "score", "attack_type", "weight"), "nested")
+    """(n_real, skipped, eer, threshold, apcer, bpcer, acer) of nested subsets of the pool (key, label, score, attack_type): the first n rows in an order drawn by seed and key. A size beyond the pool is a skipped row without figures, never cut down. Rows of one key follow each other by label, score and class, so that a size that cuts them has one result; SQL that orders by the key alone leaves it open.
+
+    Nothing but a few rows is put in order. Rows are counted by the first digits of their digests, which tells for each size the bucket where it ends. All rows of other buckets lie inside or outside as a whole, and are only counted; those of the buckets where a size ends are numbered. The pool is read twice, and neither stored nor shuffled."""
+    spark, sizes, classes = pool.sparkSession, sorted({int(n) for n in sizes}), ["label", "score", "attack_type"]
+    digest = F.sha2(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string")), 256)
+    buckets = kept(pool.groupBy(F.substring(digest, 1, DIGITS).alias("_b")).agg(F.count(F.lit(1)).alias("n")), "buckets")  # at most 16 ** DIGITS rows
+    upto = buckets.withColumn("upto", F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    total = buckets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    usable = [n for n in sizes if n <= total]
+    ends = [upto.filter(F.col("upto") >= n).orderBy("_b").select("_b", (F.col("upto") - F.col("n")).alias("before")).first() if n > 0 else ("", 0) for n in usable]
+    marked = pool.select(digest.alias("_d"), *classes).withColumn("_b", F.substring("_d", 1, DIGITS))
+    rest = F.to_json(F.array(*[F.col(c).cast("string") for c in classes]), {"ignoreNullFields": "false"})
+    # how many sizes end before a row's bucket; the row's place in the order, where one ends in it
+    before_it = sum(((F.lit(b) < F.col("_b")).cast("int") for b, _ in ends), F.lit(0))
+    there = F.col("_b").isin([b for b, _ in ends])
+    counts = kept(marked.groupBy(before_it.alias("_s"), F.when(there, F.col("_b")).alias("_b"), F.when(there, F.concat_ws("|", "_d", rest)).alias("_o"), *classes).agg(F.count(F.lit(1)).alias("n")), "counts")
+    number = F.array(*[F.lit(n) for n in usable]).cast("array<long>")
+    whole = counts.filter("_o is null").select(F.explode(F.slice(number, F.col("_s") + 1, F.lit(len(usable)))).alias("n_real"), *classes, F.col("n").alias("weight"))
+    bases = spark.createDataFrame(sorted({(b, before) for b, before in ends}), "_b string, before long")
+    placed = sums_before(kept(counts.filter("_o is not null").join(F.broadcast(bases), "_b"), "cut"), "_o", {"n": "_p"}, ["_b"])  # a row per size at most
+    inside = F.least(F.col("n"), F.col("n_real") - F.col("before") - F.col("_p"))
+    split = placed.withColumn("n_real", F.explode(number)).withColumn("weight", inside).filter("weight > 0").select("n_real", *classes, "weight")
+    nested = kept(whole.unionByName(split).groupBy("n_real", *classes).agg(F.sum("weight").alias("weight")), "nested")
     low = F.sum(F.when(F.col("score") < threshold, F.col("weight")).otherwise(0))
     by_class = nested.groupBy("n_real", "label", "attack_type").agg(low.alias("low"), F.sum("weight").alias("n"))
     apcer = F.coalesce(F.max(F.when((F.col("label") == 1) & F.col("attack_type").isNotNull(), F.col("low") / F.col("n"))), F.lit(0.0))
@@ -90,7 +104,7 @@ def nested_curve(pool: DataFrame, key: str, sizes: Sequence[int], seed: int, thr
     bpcer = F.coalesce(F.try_divide(F.sum(F.when(bona, F.col("n") - F.col("low"))), F.sum(F.when(bona, F.col("n")))), F.lit(0.0))
     rates = by_class.groupBy("n_real").agg(apcer.alias("apcer"), bpcer.alias("bpcer")).withColumn("acer", (F.col("apcer") + F.col("bpcer")) / 2)
     done = metrics.eer(nested, ["n_real"], "weight").join(rates, "n_real")
-    every = pool.sparkSession.createDataFrame([(n, n > total) for n in sizes], "n_real long, skipped boolean")
+    every = spark.createDataFrame([(n, n > total) for n in sizes], "n_real long, skipped boolean")
     return every.join(done, "n_real", "left")
 
 

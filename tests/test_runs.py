@@ -220,3 +220,29 @@ def test_nested_subsets_of_repeated_keys_do_not_depend_on_how_rows_are_dealt(spa
         pool = spark.createDataFrame(given, "key string, label int, score double, attack_type string").coalesce(1)
         found.append(sorted(map(tuple, sweeps.nested_curve(pool, "key", (10, 49, 50, 51, 1000), 7).collect())))
     assert found[0] == found[1] == found[2]
+
+
+def test_a_curve_orders_only_rows_where_a_size_ends(spark, monkeypatch):
+    """Nothing as long as the pool is stored, also with a key of very many rows; counts are those of the whole order."""
+    import hashlib
+    import json
+
+    from gaugeworks.operators import metrics, sweeps
+
+    rows = [(f"k{i if i % 4 else 0}", i % 2, (i * 37 % 50) / 50, "p" if i % 2 else None) for i in range(20_000)]
+    pool = spark.createDataFrame(rows, "key string, label int, score double, attack_type string")
+    stored, kept = [], sweeps.kept
+    monkeypatch.setattr(sweeps, "DIGITS", 2, raising=False)
+    monkeypatch.setattr(sweeps, "kept", lambda df, what: stored.append(kept(df, what)) or stored[-1])
+    text = lambda r: json.dumps([str(r[1]), str(r[2]), r[3]], separators=(",", ":"))
+    order = sorted(rows, key=lambda r: (hashlib.sha256(f"7|{r[0]}".encode()).hexdigest(), text(r)))
+    many = next(i for i, r in enumerate(order) if r[0] == "k0")  # the first of 5,000 of one key
+    sizes = [0, 30, many, many + 1, many + 2500, many + 5000, 20_000, 20_001]
+    got = {r["n_real"]: r for r in sweeps.nested_curve(pool, "key", sizes, 7).collect()}
+    assert len(got) == len(sizes) and max(df.count() for df in stored) < 5_000
+    assert got[0]["eer"] is None and got[20_001]["skipped"]
+    for n in sizes[1:-1]:
+        part = spark.createDataFrame(order[:n], pool.schema)
+        one, rates = metrics.eer(part).first(), metrics.error_rates(part, 0.5).first()
+        assert (got[n]["eer"], got[n]["threshold"]) == (one["eer"], one["threshold"])
+        assert abs(got[n]["bpcer"] - rates["bpcer"]) < 1e-9 and abs(got[n]["apcer"] - rates["apcer"]) < 1e-9
